@@ -1,0 +1 @@
+"""Empty on purpose: the work covered by this library has no streams, windows or state."""
