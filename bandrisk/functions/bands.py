@@ -35,6 +35,12 @@ NOT_AT_RISK_LABEL = "Not at Risk"
 AT_RISK_BANDS = tuple(b for b in BANDS if b.key != "very_low")
 
 
+def band_condition(value: str, band: Band) -> str:
+    """SQL condition that the column ``value`` lies in ``band``; NULL for a NULL value."""
+    above = f"`{value}` >= {float(band.lower)!r}D"
+    return above if band.upper is None else f"{above} AND `{value}` < {float(band.upper)!r}D"
+
+
 def in_band(value: Column, band: Band) -> Column:
     """True where ``value`` lies in ``band``; NULL for a NULL value."""
     above = value >= F.lit(band.lower)

@@ -1,105 +1,96 @@
 """Polygons as arrays of edges, and point-in-polygon tests on them.
 
-Built from higher-order functions only, so everything stays in the JVM and in the plan.
+The functions give SQL expressions over higher-order functions, so everything stays in the JVM and
+in the plan. Their arguments are SQL expressions too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-_NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-_POINT = rf"\s*{_NUMBER}\s+{_NUMBER}\s*"
-_RING = rf"\s*\({_POINT}(?:,{_POINT})*\)\s*"
-_POLYGON = rf"\({_RING}(?:,{_RING})*\)"
-# Possessive-free but linear: every alternative starts with a different character.
-WKT_PATTERN = (
-    rf"(?i)^\s*(?:POLYGON\s*(?:EMPTY|{_POLYGON})"
-    rf"|MULTIPOLYGON\s*(?:EMPTY|\(\s*{_POLYGON}\s*(?:,\s*{_POLYGON}\s*)*\)))\s*$"
-)
+# Degrees. Coordinates beyond belong to the outermost cells, so the number of cells is bounded.
+LON_RANGE = (-180.0, 180.0)
+LAT_RANGE = (-90.0, 90.0)
 
 
-def wkt_edges(wkt: Column) -> Column:
-    """All ring edges of a POLYGON or MULTIPOLYGON text as ``array<struct<ring,pos,x1,y1,x2,y2>>``.
+def _is_polygon(wkt: str) -> str:
+    """Whether a text has the outline of a POLYGON or MULTIPOLYGON, not looking into its rings.
 
-    Text of another kind, or with a ring that is not closed, fails the query.
+    Rings shrink to a mark and lists of marks to one mark, by patterns that need no stack however
+    long the text is.
     """
 
-    def ring_edges(points: Column, ring: Column) -> Column:
-        edges = F.transform(
-            F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))),
-            lambda end, i: F.struct(
-                ring.cast("int").alias("ring"),
-                i.cast("int").alias("pos"),
-                F.get(points, i)["x"].alias("x1"),
-                F.get(points, i)["y"].alias("y1"),
-                end["x"].alias("x2"),
-                end["y"].alias("y2"),
-            ),
-        )
-        first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
-        closed = (F.size(points) >= 4) & (first["x"] == last["x"]) & (first["y"] == last["y"])
-        return F.when(closed, edges).otherwise(F.raise_error(F.lit("polygon ring is not closed")))
-
-    def ring_points(text: Column) -> Column:
-        return F.transform(F.split(text, ","), point)
-
-    def point(text: Column) -> Column:
-        xy = F.split(F.trim(text), r"\s+")
-        return F.struct(F.get(xy, F.lit(0)).cast("double").alias("x"), F.get(xy, F.lit(1)).cast("double").alias("y"))
-
-    rings = F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), 1), ring_points)
-    parsed = F.flatten(F.transform(rings, ring_edges))
-    return F.when(F.coalesce(wkt.rlike(WKT_PATTERN), F.lit(False)), parsed).otherwise(
-        F.raise_error(F.concat(F.lit("not a POLYGON or MULTIPOLYGON: "), F.coalesce(wkt, F.lit("NULL"))))
-    )
+    def shrink(text: str, unit: str) -> str:
+        return rf"regexp_replace(regexp_replace({text}, r'{unit}', '@'), r'\s*,\s*@', '')"
 
+    one = shrink(wkt, r"\([^()]*\)")
+    many = shrink(one, r"\(\s*@\s*\)")
+    return rf"""coalesce(not contains({wkt}, '@') and (
+        {wkt} rlike r'(?i)^\s*(MULTI)?POLYGON\s*EMPTY\s*$'
+        or {one} rlike r'(?i)^\s*POLYGON\s*\(\s*@\s*\)\s*$'
+        or {many} rlike r'(?i)^\s*MULTIPOLYGON\s*\(\s*@\s*\)\s*$'), false)"""
 
-def _side(edge: Column, x: Column, y: Column) -> Column:
-    """Positive where the point lies left of the edge, zero on its line."""
-    return (edge["x2"] - edge["x1"]) * (y - edge["y1"]) - (x - edge["x1"]) * (edge["y2"] - edge["y1"])
 
+def wkt_edges(wkt: str) -> str:
+    """All ring edges of a POLYGON or MULTIPOLYGON text as ``array<struct<ring,pos,x1,y1,x2,y2>>``.
 
-def on_edge(edge: Column, x: Column, y: Column) -> Column:
-    return (
-        x.between(F.least(edge["x1"], edge["x2"]), F.greatest(edge["x1"], edge["x2"]))
-        & y.between(F.least(edge["y1"], edge["y2"]), F.greatest(edge["y1"], edge["y2"]))
-        & (_side(edge, x, y) == 0)
-    )
+    Text of another kind, points that are not two numbers, and rings that are not closed fail the
+    query.
+    """
+    rings = rf"""
+        transform(regexp_extract_all({wkt}, r'\(([^()]*)\)', 1), text ->
+            transform(split(text, ','), pair ->
+                transform(split(trim(pair), r'\s+'), number -> try_cast(number as double))))"""
+    edges = f"""
+        flatten(transform({rings}, (points, ring) -> case
+            when exists(points, p -> size(p) <> 2 or p[0] is null or p[1] is null) then
+                raise_error('polygon point is not two numbers')
+            when size(points) < 4 or points[0] <> points[size(points) - 1] then
+                raise_error('polygon ring is not closed')
+            else transform(slice(points, 2, size(points) - 1), (next, pos) ->
+                named_struct('ring', ring, 'pos', pos, 'x1', points[pos][0], 'y1', points[pos][1],
+                             'x2', next[0], 'y2', next[1])) end))"""
+    return f"""
+        case when {_is_polygon(wkt)} then {edges}
+        else raise_error(concat('not a POLYGON or MULTIPOLYGON: ', coalesce({wkt}, 'NULL'))) end"""
+
+
+def test_edge(edge: str) -> str:
+    """The parts of an edge that ``covers`` needs.
+
+    ``run`` and ``rise`` are turned so that ``run * (y - y1) - (x - x1) * rise`` is positive for
+    points left of the edge, whichever way it was drawn, and zero on its line.
+    """
+    upward = f"{edge}.y2 > {edge}.y1"
+    run, rise = f"({edge}.x2 - {edge}.x1)", f"({edge}.y2 - {edge}.y1)"
+    return f"""named_struct(
+        'x1', {edge}.x1, 'y1', {edge}.y1,
+        'run', if({upward}, {run}, -{run}), 'rise', if({upward}, {rise}, -{rise}),
+        'west', least({edge}.x1, {edge}.x2), 'east', greatest({edge}.x1, {edge}.x2),
+        'south', least({edge}.y1, {edge}.y2), 'north', greatest({edge}.y1, {edge}.y2))"""
 
 
-def crosses_ray(edge: Column, x: Column, y: Column) -> Column:
-    """True where the edge crosses the ray from the point to the right."""
-    upward = edge["y2"] > edge["y1"]
-    return ((edge["y1"] > y) != (edge["y2"] > y)) & ((_side(edge, x, y) > 0) == upward)
+test_edge.__test__ = False
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
-    """True where the point is inside by the even-odd rule, or on an edge.
+def covers(edges: str, x: str, y: str, crossed: str = "0") -> str:
+    """True where the point is inside by the even-odd rule, or on one of the ``test_edge`` edges.
 
-    One pass over the edges: 0 and 1 count crossings modulo two, -1 stands for "on an edge".
+    ``crossed`` edges are known to be crossed by a ray to the right. One pass over the others: 0
+    and 1 count crossings modulo two, -1 stands for "on an edge". Edges at another height, the
+    usual case, cost two comparisons.
     """
-    return (
-        F.aggregate(
-            edges,
-            F.lit(0),
-            lambda state, e: F.when(state < 0, state)
-            .when(on_edge(e, x, y), F.lit(-1))
-            .when(crosses_ray(e, x, y), 1 - state)
-            .otherwise(state),
-        )
-        != 0
-    )
-
-
-# Degrees. Coordinates beyond belong to the outermost cells, so the number of cells is bounded.
-LON_RANGE = (-180.0, 180.0)
-LAT_RANGE = (-90.0, 90.0)
+    turn = f"(e.run * ({y} - e.y1) - ({x} - e.x1) * e.rise)"
+    return f"""
+        aggregate({edges}, {crossed}, (state, e) ->
+            case when {y} < e.south or {y} > e.north then state
+                 when {turn} = 0 and {x} >= e.west and {x} <= e.east then -1
+                 when {turn} > 0 and {y} < e.north and state >= 0 then 1 - state
+                 else state end) <> 0"""
 
 
-def grid_cell(coordinate: Column, size: float, bounds: tuple[float, float]) -> Column:
+def grid_cell(coordinate: str, size: float, bounds: tuple[float, float]) -> str:
     """Grid position of a coordinate. Never decreases as the coordinate grows; NULL for NULL or NaN."""
     low, high = (int(b // size) for b in bounds)
-    cell = F.floor(F.nanvl(coordinate, F.lit(None).cast("double")) / F.lit(float(size)))
     # least() and greatest() skip NULLs, so keep the NULL apart.
-    return F.when(cell.isNotNull(), F.least(F.greatest(cell, F.lit(low)), F.lit(high)).cast("int"))
+    return f"""
+        case when not isnan({coordinate}) and {coordinate} is not null then
+            cast(least(greatest(floor({coordinate} / {float(size)!r}D), {low}), {high}) as int) end"""

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandrisk.functions.bands import AT_RISK_BANDS, BANDS, Band, in_band
+from bandrisk.functions.bands import AT_RISK_BANDS, BANDS, Band, band_condition
 from bandrisk.functions.indexes import INDEX_KEYS
 
 
@@ -39,7 +39,7 @@ def raw_cells(
 ) -> DataFrame:
     """Unrounded cells per group; a cell nobody falls into is NULL."""
     sums = [
-        F.sum(F.when(in_band(F.col(v), b), F.col(measure))).alias(cell_name(v, b))
+        F.expr(f"sum(CASE WHEN {band_condition(v, b)} THEN `{measure}` END) AS `{cell_name(v, b)}`")
         for v in value_cols
         for b in bands
     ]
@@ -48,12 +48,12 @@ def raw_cells(
 
 def merge_cells(df: DataFrame, by: Sequence[str | Column], cells: Sequence[str]) -> DataFrame:
     """Roll raw cells up to coarser groups."""
-    return df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in cells])
+    return df.groupBy(*by).agg(*[F.expr(f"sum(`{c}`) AS `{c}`") for c in cells])
 
 
 def round_cells(df: DataFrame, cells: Sequence[str]) -> DataFrame:
     """Finish raw cells: round half away from zero, and zero where there is nothing."""
-    return df.withColumns({c: F.coalesce(F.round(F.col(c)), F.lit(0.0)) for c in cells})
+    return df.withColumns({c: F.expr(f"coalesce(round(`{c}`), 0D)") for c in cells})
 
 
 def banded_sum(
@@ -111,7 +111,7 @@ def level_totals(cube: DataFrame) -> DataFrame:
         .agg(
             F.when(of_district, F.lit("district")).otherwise(F.lit("province")).alias("scope_level"),
             F.when(of_district, F.col("dist_code")).otherwise(F.col("prov_code_1")).alias("code"),
-            *[F.sum(c).alias(c) for c in cells],
+            *[F.expr(f"sum(`{c}`) AS `{c}`") for c in cells],
         )
         .select("scope_level", "code", *cells)
     )

@@ -6,6 +6,9 @@ first kind keeps no edges, the second kind is dropped. Any other cell keeps just
 can matter within it. Settlements then meet the polygons by an equality join on the cell, with
 the exact test as a further condition.
 
+The cell size follows the areas: the finest one that keeps the number of cells low. Finer cells
+mean fewer settlements that need the exact test.
+
 The settlement side is the big one. It is not moved when the cells have been measured to fit a
 broadcast. Beyond that both sides are shuffled on the cell and a salt, so that a cell with a large
 share of all settlements is spread over several tasks; the cells are then stored once, not cut anew
@@ -19,10 +22,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandrisk.functions.geometry import LAT_RANGE, LON_RANGE, covers, grid_cell, wkt_edges
+from bandrisk.functions.geometry import LAT_RANGE, LON_RANGE, covers, grid_cell, test_edge, wkt_edges
 from bandrisk.sources.store import materialise
 
-CELL_DEGREES = 0.5
+# Candidate cell sizes in degrees, coarse to fine; powers of two keep the cell arithmetic exact.
+CELL_SIZES = tuple(2.0**-k for k in range(-3, 11))
+CELLS_PER_POLYGON = 2048
+MAX_CELLS = 1 << 18
 # Measured bytes up to which cells are broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
 SALTS = 16
@@ -30,78 +36,72 @@ SALTS = 16
 
 def area_edges(areas: DataFrame) -> DataFrame:
     """Every edge of every polygon of ``areas(aoi_id, ord, wkt)``, one row each."""
-    return areas.select("aoi_id", "ord", F.inline(wkt_edges(F.col("wkt"))))
+    return areas.select("aoi_id", "ord", F.inline(F.expr(wkt_edges("wkt"))))
+
+
+def cell_size(areas: DataFrame) -> float:
+    """The finest cell size that keeps the boxes around the polygons within the allowed cells.
 
+    One small job over the areas; counts for all candidate sizes, one row, come to the driver.
+    """
+    box = "named_struct('w', {0}(transform(e, v -> {1}(v.x1, v.x2))), 'h', {0}(transform(e, v -> {1}(v.y1, v.y2))))"
+    boxes = (
+        areas.select(F.expr(wkt_edges("wkt")).alias("e"))
+        .select(F.expr(box.format("array_min", "least")).alias("low"), F.expr(box.format("array_max", "greatest")).alias("high"))
+        .where("low.w IS NOT NULL")
+    )
 
-def area_cells(areas: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """Grid cells of ``areas(aoi_id, ord, wkt)``: ``aoi_id, cx, cy, whole, edges``.
+    def cells_across(side: str, size: float, bounds: tuple[float, float]) -> str:
+        """At most so many cells along one side; not more than the grid has."""
+        return f"least(floor((high.{side} - low.{side}) / {size}D) + 2, {(bounds[1] - bounds[0]) / size + 1}D)"
 
-    ``whole`` cells are covered entirely and have no edges. A polygon is cut into rows of cells
+    polygons, *counts = boxes.agg(
+        F.count(F.lit(1)),
+        *[
+            F.expr(f"coalesce(sum({cells_across('w', size, LON_RANGE)} * {cells_across('h', size, LAT_RANGE)}), 0D)")
+            for size in CELL_SIZES
+        ],
+    ).first()
+    allowed = min(MAX_CELLS, CELLS_PER_POLYGON * polygons)
+    fitting = [size for size, cells in zip(CELL_SIZES, counts) if cells <= allowed]
+    return min(fitting, default=CELL_SIZES[0])
+
+
+def area_cells(areas: DataFrame, cell: float) -> DataFrame:
+    """Grid cells of ``areas(aoi_id, ord, wkt)``: ``aoi_id, cx, cy, whole, crossed, edges``.
+
+    ``whole`` cells are covered entirely and have no edges; the others have those to test. A polygon is cut into rows of cells
     first and each row into cells after, so an edge is looked at once per row it spans.
     """
 
-    def cell_span(edge: Column, axis: str) -> tuple[Column, Column]:
-        bounds = LON_RANGE if axis == "x" else LAT_RANGE
-        a, b = edge[f"{axis}1"], edge[f"{axis}2"]
-        return grid_cell(F.least(a, b), cell, bounds), grid_cell(F.greatest(a, b), cell, bounds)
-
-    def with_spans(edge: Column) -> Column:
-        (left, right), (bottom, top) = cell_span(edge, "x"), cell_span(edge, "y")
-        return F.struct(
-            *[edge[c].alias(c) for c in ("x1", "y1", "x2", "y2")],
-            left.alias("left"),
-            right.alias("right"),
-            bottom.alias("bottom"),
-            top.alias("top"),
-        )
+    placed = f"""
+        transform({wkt_edges("wkt")}, v -> transform(array({test_edge("v")}), e -> named_struct(
+            'edge', e,
+            'left', {grid_cell("e.west", cell, LON_RANGE)}, 'right', {grid_cell("e.east", cell, LON_RANGE)},
+            'bottom', {grid_cell("e.south", cell, LAT_RANGE)}, 'top', {grid_cell("e.north", cell, LAT_RANGE)}))[0])"""
 
-    def extreme(edges: str, field: str, pick) -> Column:
-        return pick(F.transform(F.col(edges), lambda e: e[field]))
-
-    # An empty polygon has no extremes, hence no sequence and no rows.
-    polygons = areas.select("aoi_id", F.transform(wkt_edges(F.col("wkt")), with_spans).alias("all_edges"))
-    rows = polygons.select(
-        "aoi_id",
-        "all_edges",
-        F.explode(
-            F.sequence(extreme("all_edges", "bottom", F.array_min), extreme("all_edges", "top", F.array_max))
-        ).alias("cy"),
-    ).select(
-        "aoi_id",
-        "cy",
-        F.filter("all_edges", lambda e: (e["bottom"] <= F.col("cy")) & (e["top"] >= F.col("cy"))).alias("row_edges"),
-    )
-    cells = (
-        rows.select(
-            "aoi_id",
-            "cy",
-            "row_edges",
-            F.explode(
-                F.sequence(extreme("row_edges", "left", F.array_min), extreme("row_edges", "right", F.array_max))
-            ).alias("cx"),
-        )
-        .select(
-            "aoi_id",
-            "cx",
-            "cy",
-            # An edge to the left of the cell cannot cross a ray that runs to the right.
-            F.filter("row_edges", lambda e: e["right"] >= F.col("cx")).alias("near"),
-        )
-    )
-    touched = F.exists("near", lambda e: e["left"] <= F.col("cx"))
-    middle = ((F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell)
+    def each_from(edges: str, low: str, high: str) -> str:
+        """Explode into the grid positions the edges span. No edges, as in an empty polygon, give no rows."""
+        return f"explode(sequence(array_min({edges}.{low}), array_max({edges}.{high})))"
+
+    # For a point of a cell, an edge to the left is never crossed by a ray to the right, and an edge
+    # to the right that spans the whole row always is: such edges need no test.
+    passes = "e.left > cx and e.bottom < cy and e.top > cy"
     return (
-        cells.withColumn("touched", touched)
-        .where(F.col("touched") | covers(F.col("near"), *middle))
-        .select(
+        areas.selectExpr("aoi_id", f"{placed} as all_edges")
+        .selectExpr("aoi_id", "all_edges", f"{each_from('all_edges', 'bottom', 'top')} as cy")
+        .selectExpr("aoi_id", "cy", "filter(all_edges, e -> e.bottom <= cy and e.top >= cy) as row_edges")
+        .selectExpr("aoi_id", "cy", "row_edges", f"{each_from('row_edges', 'left', 'right')} as cx")
+        .selectExpr("aoi_id", "cx", "cy", "filter(row_edges, e -> e.right >= cx) as near")
+        .selectExpr("*", "exists(near, e -> e.left <= cx) as touched")
+        .where(f"touched or {covers('near.edge', f'((cx + 0.5D) * {cell}D)', f'((cy + 0.5D) * {cell}D)')}")
+        .selectExpr(
             "aoi_id",
             "cx",
             "cy",
-            (~F.col("touched")).alias("whole"),
-            F.when(
-                F.col("touched"),
-                F.transform("near", lambda e: F.struct(*[e[c].alias(c) for c in ("x1", "y1", "x2", "y2")])),
-            ).alias("edges"),
+            "not touched as whole",
+            f"if(touched, size(filter(near, e -> {passes})) % 2, null) as crossed",
+            f"if(touched, filter(near, e -> not ({passes})).edge, null) as edges",
         )
     )
 
@@ -117,15 +117,17 @@ class AreaIndex:
 
 
 def index_areas(
-    areas: DataFrame, cell: float = CELL_DEGREES, broadcast_limit: int = BROADCAST_LIMIT
+    areas: DataFrame, cell: float | None = None, broadcast_limit: int = BROADCAST_LIMIT
 ) -> AreaIndex:
-    """Cut areas into cells and measure them, in one small job that returns one row.
+    """Cut areas into cells and measure them, in small jobs that return one row each.
 
     The measured bytes decide between broadcast and shuffle. The box around the cells becomes a
     range filter on the settlement scan, which can skip whole files and row groups.
     """
+    if cell is None:
+        cell = cell_size(areas)
     cells = area_cells(areas, cell)
-    row_bytes = F.lit(64) + F.lit(48) * F.coalesce(F.size("edges"), F.lit(0))
+    row_bytes = F.lit(64) + F.lit(88) * F.coalesce(F.size("edges"), F.lit(0))
     size, west, east, south, north = cells.agg(
         F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0)),
         F.min("cx"),
@@ -168,11 +170,8 @@ def _in_box(points: DataFrame, index: AreaIndex) -> DataFrame:
 
 def _located(points: DataFrame, index: AreaIndex) -> DataFrame:
     """Points of the box around the areas with their cell, salted if they are to be shuffled."""
-    located = _in_box(points, index).withColumns(
-        {
-            "_cx": grid_cell(F.col("lon"), index.cell, LON_RANGE),
-            "_cy": grid_cell(F.col("lat"), index.cell, LAT_RANGE),
-        }
+    located = _in_box(points, index).selectExpr(
+        "*", f"{grid_cell('lon', index.cell, LON_RANGE)} as _cx", f"{grid_cell('lat', index.cell, LAT_RANGE)} as _cy"
     )
     if index.small:
         return located
@@ -196,6 +195,10 @@ def _same_cell(points: DataFrame, cells: DataFrame, index: AreaIndex) -> Column:
     return same if index.small else same & (points["_salt"] == cells["salt"])
 
 
+# Whether a located point is within the polygon of a cell it was joined to.
+_INSIDE = f"whole or {covers('edges', 'lon', 'lat', 'crossed')}"
+
+
 def _helper_columns(index: AreaIndex) -> list[str]:
     return ["_cx", "_cy"] + ([] if index.small else ["_salt"])
 
@@ -207,8 +210,7 @@ def points_in_areas(points: DataFrame, index: AreaIndex) -> DataFrame:
     """
     located = _located(points, index)
     cells = _side_to_join(index.cells, index)
-    inside = cells["whole"] | covers(cells["edges"], located["lon"], located["lat"])
-    return located.join(cells, _same_cell(located, cells, index) & inside, "left_semi").drop(*_helper_columns(index))
+    return located.join(cells, _same_cell(located, cells, index) & F.expr(_INSIDE), "left_semi").drop(*_helper_columns(index))
 
 
 def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:
@@ -222,7 +224,5 @@ def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:
     nearby = _side_to_join(index.cells.select("aoi_id", "cx", "cy").distinct(), index)
     candidates = located.join(nearby, _same_cell(located, nearby, index), "inner").drop("cx", "cy", "salt")
     cells = _side_to_join(index.cells.withColumnRenamed("aoi_id", "area"), index)
-    inside = cells["whole"] | covers(cells["edges"], candidates["lon"], candidates["lat"])
-    return candidates.join(
-        cells, (candidates["aoi_id"] == cells["area"]) & _same_cell(candidates, cells, index) & inside, "left_semi"
-    ).drop(*_helper_columns(index))
+    same = (candidates["aoi_id"] == cells["area"]) & _same_cell(candidates, cells, index)
+    return candidates.join(cells, same & F.expr(_INSIDE), "left_semi").drop(*_helper_columns(index))

@@ -48,23 +48,35 @@ def _children(t: Inputs, flag: str, code: str | None = None) -> DataFrame:
     return scope.scope_children(t.hazard, t.settlement, scope.Scope(flag, code))
 
 
+POINT_COLUMNS = ("vuid", "vuid_population", "lon", "lat")
+
+
+def _points(t: Inputs) -> DataFrame:
+    """Settlements for the area queries.
+
+    A small test table is one file, hence one task for the whole exact test; spread such a table
+    over the cores. A table of many files is left where it is.
+    """
+    points = t.settlement.select(*POINT_COLUMNS)
+    cores = t.spark.sparkContext.defaultParallelism
+    return points.repartition(cores, "vuid") if len(points.inputFiles()) < cores else points
+
+
 def aoi_settlements(t: Inputs) -> DataFrame:
-    points = t.settlement.select("vuid", "lon", "lat")
-    return spatial.points_by_area(points, spatial.index_areas(t.aoi)).select("aoi_id", "vuid")
+    return spatial.points_by_area(_points(t), spatial.index_areas(t.aoi)).select("aoi_id", "vuid")
 
 
 def aoi_union_settlements(t: Inputs) -> DataFrame:
-    points = t.settlement.select("vuid", "lon", "lat")
-    return spatial.points_in_areas(points, spatial.index_areas(t.aoi)).select("vuid")
+    return spatial.points_in_areas(_points(t), spatial.index_areas(t.aoi)).select("vuid")
 
 
 def exposure_aoi(t: Inputs) -> DataFrame:
     areas = spatial.index_areas(t.aoi.where(F.col("aoi_id") == DRAWN_AREA))
-    return scope.scope_total(t.hazard, t.settlement, scope.Scope(scope.AREA_FLAG, areas=areas))
+    return scope.scope_total(t.hazard, _points(t), scope.Scope(scope.AREA_FLAG, areas=areas))
 
 
 def exposure_aoi_batch(t: Inputs) -> DataFrame:
-    return scope.area_totals(t.hazard, t.settlement, t.aoi, spatial.index_areas(t.aoi))
+    return scope.area_totals(t.hazard, _points(t), t.aoi, spatial.index_areas(t.aoi))
 
 
 def exposure_scope_batch(t: Inputs) -> DataFrame:
