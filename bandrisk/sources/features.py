@@ -31,7 +31,10 @@ def read_features(spark: SparkSession, path: str, properties: str | None = None,
 def write_features(features: DataFrame, path: str) -> None:
     """One GeoJSON feature per line; properties that are NULL are left out."""
     names = [c for c in features.columns if c != "geometry"]
-    geometry = F.coalesce(F.col("geometry"), F.lit("null")) if "geometry" in features.columns else F.lit("null")
+    geometry = F.lit("null")
+    if "geometry" in features.columns:
+        # The text may come from an indented document; JSON has no line breaks inside its strings.
+        geometry = F.coalesce(F.translate("geometry", "\r\n", "  "), geometry)
     line = F.concat(
         F.lit('{"type":"Feature","properties":'),
         F.to_json(F.struct(*names)),
