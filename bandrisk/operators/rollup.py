@@ -67,7 +67,11 @@ def banded_sum(
     return round_cells(raw_cells(df, by, value_cols, measure, bands), cell_names(value_cols, bands))
 
 
-# The finest admin grouping any total or child table needs.
+# The groupings that each product needs, and the one they can all be rolled up from. A key that is
+# not asked for is not read, not shuffled and not compared.
+LEVEL_KEYS = ("prov_code_1", "dist_code")
+PROVINCE_KEYS = ("hazard_prov_code", "prov_na_en")
+DISTRICT_KEYS = ("prov_code_1", "hazard_dist_code", "dist_na_en")
 CUBE_KEYS = (
     "prov_code_1",
     "dist_code",
@@ -78,13 +82,13 @@ CUBE_KEYS = (
 )
 
 
-def admin_cube(joined: DataFrame) -> DataFrame:
-    """Raw cells at the finest admin grouping.
+def admin_cube(joined: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
+    """Raw cells by admin keys.
 
     The one pass over the big tables. Its size follows the number of admin units, not of
     settlements, and every admin total and child table is a further rollup of it.
     """
-    return raw_cells(joined, CUBE_KEYS)
+    return raw_cells(joined, keys)
 
 
 def national_total(cube: DataFrame) -> DataFrame:

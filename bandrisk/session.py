@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Settings the jobs count on. The number of shuffle partitions is left to the cluster; the
-# adaptive planner merges small ones and splits heavy ones.
+# adaptive planner merges small ones, splits heavy ones, and spares a join the sort where every
+# partition was measured to fit a hash table.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
 }
 

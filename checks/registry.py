@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +30,14 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         return derived_view(self.spark, self.sf_dir, name)
 
-    def cube(self) -> DataFrame:
-        return rollup.admin_cube(settlement_hazard(self.hazard, self.settlement))
+    def cube(self, keys: Sequence[str] = rollup.CUBE_KEYS) -> DataFrame:
+        return rollup.admin_cube(settlement_hazard(self.hazard, self.settlement), keys)
 
     def levels(self) -> DataFrame:
-        return rollup.level_totals(self.cube())
+        return rollup.level_totals(self.cube(rollup.LEVEL_KEYS))
+
+    def provinces(self) -> DataFrame:
+        return rollup.province_children(self.cube(rollup.PROVINCE_KEYS))
 
     def based_levels(self) -> DataFrame:
         return panels.with_baseline(self.levels(), rollup.baseline_totals(self.settlement))
@@ -84,18 +87,24 @@ def exposure_scope_batch(t: Inputs) -> DataFrame:
 
 
 def table_with_total(t: Inputs) -> DataFrame:
-    cube = t.cube()
+    cube = t.cube(rollup.PROVINCE_KEYS)
     total = rollup.national_total(cube).withColumn("na_en", F.lit(COUNTRY_LABEL))
     return panels.in_table_order(panels.table_rows(total, rollup.province_children(cube)))
 
 
-def scope_tables(t: Inputs) -> DataFrame:
-    cube = t.cube()
+def scope_tables(t: Inputs, cube: DataFrame | None = None) -> DataFrame:
+    cube = t.cube() if cube is None else cube
     children = panels.scope_children_rows(rollup.province_children(cube), rollup.district_children(cube))
     names = panels.scope_names(cube, COUNTRY_LABEL)
     return panels.scope_table_rows(rollup.level_totals(cube), names, children)
 
 
+def panel_list(t: Inputs) -> DataFrame:
+    cube = t.cube()
+    totals = panels.with_baseline(rollup.level_totals(cube), rollup.baseline_totals(t.settlement))
+    return panels.panel_documents(totals, scope_tables(t, cube))
+
+
 def quick_overview(t: Inputs) -> DataFrame:
     pop_total = t.settlement.agg(F.sum("vuid_population").alias("pop_total"))
     parts = dashboard.quick_overview(t.hazard, t.settlement, scope.Scope(), pop_total, COUNTRY_LABEL)
@@ -138,10 +147,10 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "donut_series": lambda t: panels.donut_series(t.based_levels()),
     "table_with_total": table_with_total,
     "scope_tables": scope_tables,
-    "panel_list": lambda t: panels.panel_documents(t.based_levels(), scope_tables(t)),
+    "panel_list": panel_list,
     "quick_overview": quick_overview,
-    "child_last_wins": lambda t: boundary.last_name_wins(rollup.province_children(t.cube())),
-    "boundary_children": lambda t: boundary.with_children(t.boundary, rollup.province_children(t.cube())),
+    "child_last_wins": lambda t: boundary.last_name_wins(t.provinces()),
+    "boundary_children": lambda t: boundary.with_children(t.boundary, t.provinces()),
     "boundary_parent": boundary_parent,
     "susceptibility_class": lambda t: classify.susceptibility_class(t.hazard),
     "susceptibility_matrix": lambda t: classify.susceptibility_matrix(classify.susceptibility_class(t.hazard)),
