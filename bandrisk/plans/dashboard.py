@@ -1,4 +1,8 @@
-"""The dashboard of one scope as a set of lazy sections."""
+"""The dashboard of one scope as a set of sections.
+
+Sections are written by jobs of their own, so what they share is computed once and stored first:
+the cube if child units are asked for, else the one row of totals. Both are small.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from bandrisk.operators.boundary import with_children, with_scope_total
 from bandrisk.operators.rollup import cell_names, national_total
 from bandrisk.plans.panels import bar_series, donut_series, table_rows
 from bandrisk.plans.scope import Scope, children_of, scope_cube, scope_total
+from bandrisk.sources.store import materialise
 
 SECTIONS = ("baseline", "children", "totals", "features")
 
@@ -31,22 +36,22 @@ def dashboard(
     excludes: Collection[str] = (),
     cube: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Named DataFrames of a scope; what is not asked for is not planned, what is not used not run.
+    """Named DataFrames of a scope; what is not asked for is neither planned nor run.
 
-    ``pop_total`` is the baseline population of the scope, one row with that column. ``cube`` may
-    be a stored ``scope_cube``, so that several sections share one pass over the big tables.
+    ``pop_total`` is the baseline population of the scope, one row with that column. A ``cube``
+    from an earlier call spares the pass over the big tables.
     """
     cells = cell_names()
     sections: dict[str, DataFrame] = {}
     if cube is None and wanted("children", includes, excludes):
-        cube = scope_cube(hazard, settlement, scope)
+        cube = materialise(scope_cube(hazard, settlement, scope))
     if wanted("baseline", includes, excludes):
         sections["baseline"] = pop_total
     if wanted("children", includes, excludes):
         sections["children"] = children_of(cube, scope)
     if wanted("totals", includes, excludes):
         if cube is None:
-            total = scope_total(hazard, settlement, scope)
+            total = materialise(scope_total(hazard, settlement, scope))
         else:
             total = national_total(cube)
         total = total.select(F.lit(label).alias("na_en"), *cells)
@@ -58,6 +63,7 @@ def dashboard(
             known = total.withColumn("pop_total", pop_total.select(F.col("pop_total").cast("double")).scalar())
             sections["donut"] = donut_series(known, ())
     if features is not None and wanted("features", includes, excludes) and "totals" in sections:
+        # A district's features show the district itself.
         if scope.level == "district":
             sections["features"] = with_scope_total(features, sections["totals"], label)
         elif "children" in sections:

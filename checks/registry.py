@@ -11,6 +11,7 @@ from bandrisk.functions.bands import AT_RISK_BANDS
 from bandrisk.operators import boundary, classify, rollup, spatial
 from bandrisk.operators.join import settlement_hazard
 from bandrisk.plans import dashboard, panels, scope
+from bandrisk.sources.store import materialise
 from checks.views import derived_view
 
 PROVINCE = "07"
@@ -30,9 +31,13 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         return derived_view(self.spark, self.sf_dir, name)
 
-    def cube(self, keys: Sequence[str] = rollup.CUBE_KEYS) -> DataFrame:
+    def cube(self, keys: Sequence[str]) -> DataFrame:
         return rollup.admin_cube(settlement_hazard(self.hazard, self.settlement), keys)
 
+    def stored_cube(self) -> DataFrame:
+        """The full cube, stored: jobs that use it in several ways pass over the big tables once."""
+        return materialise(self.cube(rollup.CUBE_KEYS))
+
     def levels(self) -> DataFrame:
         return rollup.level_totals(self.cube(rollup.LEVEL_KEYS))
 
@@ -93,14 +98,14 @@ def table_with_total(t: Inputs) -> DataFrame:
 
 
 def scope_tables(t: Inputs, cube: DataFrame | None = None) -> DataFrame:
-    cube = t.cube() if cube is None else cube
+    cube = t.stored_cube() if cube is None else cube
     children = panels.scope_children_rows(rollup.province_children(cube), rollup.district_children(cube))
     names = panels.scope_names(cube, COUNTRY_LABEL)
     return panels.scope_table_rows(rollup.level_totals(cube), names, children)
 
 
 def panel_list(t: Inputs) -> DataFrame:
-    cube = t.cube()
+    cube = t.stored_cube()
     totals = panels.with_baseline(rollup.level_totals(cube), rollup.baseline_totals(t.settlement))
     return panels.panel_documents(totals, scope_tables(t, cube))
 
@@ -137,7 +142,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "exposure_all_levels": lambda t: t.levels(),
     "exposure_long": lambda t: rollup.long_cells(t.levels(), panels.SCOPE_IDS),
     "exposure_scope_batch": exposure_scope_batch,
-    "exposure_scope_children": lambda t: scope.request_children(t.scope_request, t.cube()),
+    "exposure_scope_children": lambda t: scope.request_children(t.scope_request, t.stored_cube()),
     "baseline_population": lambda t: rollup.baseline_totals(t.settlement),
     "at_risk_summary": lambda t: panels.risk_summary(t.based_levels()).drop("not_at_risk"),
     "not_at_risk": lambda t: panels.risk_summary(t.based_levels()).select(
