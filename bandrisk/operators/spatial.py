@@ -11,8 +11,7 @@ mean fewer settlements that need the exact test.
 
 The settlement side is the big one. It is not moved when the cells have been measured to fit a
 broadcast. Beyond that both sides are shuffled on the cell and a salt, so that a cell with a large
-share of all settlements is spread over several tasks; the cells are then stored once, not cut anew
-for every use.
+share of all settlements is spread over several tasks.
 """
 
 from __future__ import annotations
@@ -119,14 +118,14 @@ class AreaIndex:
 def index_areas(
     areas: DataFrame, cell: float | None = None, broadcast_limit: int = BROADCAST_LIMIT
 ) -> AreaIndex:
-    """Cut areas into cells and measure them, in small jobs that return one row each.
+    """Cut areas into cells, store those and measure them; a row of figures comes to the driver.
 
     The measured bytes decide between broadcast and shuffle. The box around the cells becomes a
     range filter on the settlement scan, which can skip whole files and row groups.
     """
     if cell is None:
         cell = cell_size(areas)
-    cells = area_cells(areas, cell)
+    cells = materialise(area_cells(areas, cell))
     row_bytes = F.lit(64) + F.lit(88) * F.coalesce(F.size("edges"), F.lit(0))
     size, west, east, south, north = cells.agg(
         F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0)),
@@ -150,8 +149,7 @@ def index_areas(
             bound(south, LAT_RANGE, False),
             bound(north, LAT_RANGE, True),
         )
-    small = size <= broadcast_limit
-    return AreaIndex(cells if small else materialise(cells), small, box, cell)
+    return AreaIndex(cells, size <= broadcast_limit, box, cell)
 
 
 def _in_box(points: DataFrame, index: AreaIndex) -> DataFrame:
