@@ -26,7 +26,9 @@ from bandrisk.sources.store import materialise
 
 # Candidate cell sizes in degrees, coarse to fine; powers of two keep the cell arithmetic exact.
 CELL_SIZES = tuple(2.0**-k for k in range(-3, 11))
+# Cells to aim for: many per polygon while there are few polygons, not too few when there are many.
 CELLS_PER_POLYGON = 2048
+MIN_CELLS_PER_POLYGON = 64
 MAX_CELLS = 1 << 18
 # Measured bytes up to which cells are broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -61,7 +63,7 @@ def cell_size(areas: DataFrame) -> float:
             for size in CELL_SIZES
         ],
     ).first()
-    allowed = min(MAX_CELLS, CELLS_PER_POLYGON * polygons)
+    allowed = min(CELLS_PER_POLYGON * polygons, max(MAX_CELLS, MIN_CELLS_PER_POLYGON * polygons))
     fitting = [size for size, cells in zip(CELL_SIZES, counts) if cells <= allowed]
     return min(fitting, default=CELL_SIZES[0])
 
@@ -173,12 +175,8 @@ def _located(points: DataFrame, index: AreaIndex) -> DataFrame:
     )
     if index.small:
         return located
-    # Hash of the position, not a random number: the same on every retry of a task.
-    return located.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat", *_key_columns(points)), F.lit(SALTS)).cast("int"))
-
-
-def _key_columns(points: DataFrame) -> list[str]:
-    return [c for c in ("vuid",) if c in points.columns]
+    # A hash of the row, not a random number: the same on every retry of a task.
+    return located.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
 
 
 def _side_to_join(cells: DataFrame, index: AreaIndex) -> DataFrame:

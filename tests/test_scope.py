@@ -154,3 +154,12 @@ def test_quick_overview_has_totals_only(spark):
     parts = dashboard.quick_overview(h, s, Scope(), base, "Country")
     assert set(parts) == {"baseline", "totals", "bar", "donut", "table"}
     assert parts["table"].count() == 5 and parts["table"].where("not is_total").count() == 0
+
+
+def test_unit_without_a_code_answers_no_request(spark):
+    h, s = small_country(spark)
+    s = s.withColumn("prov_code_1", df_col("prov_code_1").substr(1, 0)).replace("", None, ["prov_code_1"])
+    cube = rollup.admin_cube(settlement_hazard(h, s))
+    requests = spark.createDataFrame([(1, "currentProvince", "")], "req_id bigint, flag string, code string")
+    row = scope.request_totals(requests, rollup.level_totals(cube)).first()
+    assert {row[c] for c in rollup.cell_names()} == {0.0}

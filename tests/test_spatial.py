@@ -154,6 +154,11 @@ def test_cell_size_follows_the_areas(spark):
     )
 
 
+def test_cells_stay_fine_when_polygons_are_many(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MAX_CELLS", 1)
+    assert spatial.cell_size(areas(spark, *["POLYGON((0 0,1 0,1 1,0 1,0 0))"] * 50)) <= 0.25
+
+
 def test_inner_cells_carry_no_edges(spark):
     cells = spatial.area_cells(areas(spark, SQUARE), 0.5)
     whole = cells.where("whole")
