@@ -45,21 +45,21 @@ def cell_size(areas: DataFrame) -> float:
 
     One small job over the areas; counts for all candidate sizes, one row, come to the driver.
     """
-    box = "named_struct('w', {0}(transform(e, v -> {1}(v.x1, v.x2))), 'h', {0}(transform(e, v -> {1}(v.y1, v.y2))))"
+    # Rings are closed, so the start points are all there is to a box.
     boxes = (
-        areas.select(F.expr(wkt_edges("wkt")).alias("e"))
-        .select(F.expr(box.format("array_min", "least")).alias("low"), F.expr(box.format("array_max", "greatest")).alias("high"))
-        .where("low.w IS NOT NULL")
+        areas.selectExpr(f"{wkt_edges('wkt')} as e")
+        .selectExpr("array_max(e.x1) - array_min(e.x1) as width", "array_max(e.y1) - array_min(e.y1) as height")
+        .where("width IS NOT NULL")
     )
 
-    def cells_across(side: str, size: float, bounds: tuple[float, float]) -> str:
+    def across(side: str, size: float, bounds: tuple[float, float]) -> str:
         """At most so many cells along one side; not more than the grid has."""
-        return f"least(floor((high.{side} - low.{side}) / {size}D) + 2, {(bounds[1] - bounds[0]) / size + 1}D)"
+        return f"least(floor({side} / {size}D) + 2, {(bounds[1] - bounds[0]) / size + 1}D)"
 
     polygons, *counts = boxes.agg(
         F.count(F.lit(1)),
         *[
-            F.expr(f"coalesce(sum({cells_across('w', size, LON_RANGE)} * {cells_across('h', size, LAT_RANGE)}), 0D)")
+            F.expr(f"coalesce(sum({across('width', size, LON_RANGE)} * {across('height', size, LAT_RANGE)}), 0D)")
             for size in CELL_SIZES
         ],
     ).first()
@@ -69,10 +69,11 @@ def cell_size(areas: DataFrame) -> float:
 
 
 def area_cells(areas: DataFrame, cell: float) -> DataFrame:
-    """Grid cells of ``areas(aoi_id, ord, wkt)``: ``aoi_id, cx, cy, whole, crossed, edges``.
+    """Grid cells of ``areas(aoi_id, ord, wkt)``.
 
-    ``whole`` cells are covered entirely and have no edges; the others have those to test. A polygon is cut into rows of cells
-    first and each row into cells after, so an edge is looked at once per row it spans.
+    Columns are ``aoi_id, cx, cy, whole, crossed, edges``. ``whole`` cells are covered entirely and
+    have no edges; the others have those to test. A polygon is cut into rows of cells first and each
+    row into cells after, so an edge is looked at once per row it spans.
     """
 
     placed = f"""
@@ -206,7 +207,8 @@ def points_in_areas(points: DataFrame, index: AreaIndex) -> DataFrame:
     """
     located = _located(points, index)
     cells = _side_to_join(index.cells, index)
-    return located.join(cells, _same_cell(located, cells, index) & F.expr(_INSIDE), "left_semi").drop(*_helper_columns(index))
+    matches = _same_cell(located, cells, index) & F.expr(_INSIDE)
+    return located.join(cells, matches, "left_semi").drop(*_helper_columns(index))
 
 
 def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:

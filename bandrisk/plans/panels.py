@@ -170,7 +170,7 @@ _SHARE = "decimal(20,2)"
 
 
 def panel_documents(totals: DataFrame, tables: DataFrame) -> DataFrame:
-    """The panels of all scopes as JSON: ``scope_level, scope_code, panel, index_pos, index_key, is_total, child_code, doc``.
+    """The panels of all scopes as JSON documents, ``doc``, with the columns that place them.
 
     A chart is one document: its slices or bars are few by nature. A table comes as a document per
     row, because nothing bounds the number of child units and no task should have to hold them all.
