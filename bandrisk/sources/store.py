@@ -2,28 +2,64 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the checkpoint folder from then on.
+class Scratch:
+    """Intermediate tables on storage that all executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; it must be shared by all
-    executors, so the data outlives any of them. Only a local session without one gets its own.
+    The folder is the one the session names in ``spark.checkpoint.dir``; a session without one gets
+    a folder beside its tables, in the warehouse. Tables are Parquet, so a later reader reads only
+    the columns it needs, and they outlive the executors that wrote them. ``close`` removes them
+    all; frames read from them must have been used by then. As a context manager it closes itself.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="bandrisk-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        self.folder = f"{base.rstrip('/')}/bandrisk-{uuid.uuid4().hex}"
+        self._kept: list[tuple[DataFrame, str]] = []
+
+    def path(self) -> str:
+        """A place for one more table."""
+        return f"{self.folder}/{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Compute ``df`` once and read it back from then on."""
+        path = self.path()
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((kept, path))
+        return kept
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove the files of one kept table."""
+        for kept, path in self._kept:
+            if kept is df:
+                self._delete(path)
+
+    def close(self) -> None:
+        self._delete(self.folder)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, store it for as long as the folder lives, and read it back from then on."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "vuid") -> None:
@@ -36,12 +72,10 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "vuid") -
     bucketed.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def write_by_region(df: DataFrame, path: str, keys: Sequence[str] = ("prov_code_1",), spread: int = 32) -> None:
+def write_by_region(df: DataFrame, path: str, keys: Sequence[str] = ("prov_code_1",)) -> None:
     """Write parquet in one folder per region, so that a regional query reads only its folder.
 
-    Rows are spread over ``spread`` tasks per region, by a hash of the row, so that a region with
-    most of the rows is not written by one task.
+    The rebalance hint lets the adaptive planner split a region with most of the rows by its
+    measured size, and merge small ones.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread)).cast("int")
-    spread_out = df.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt")
-    spread_out.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    df.hint("rebalance", *[F.col(key) for key in keys]).write.mode("overwrite").partitionBy(*keys).parquet(path)

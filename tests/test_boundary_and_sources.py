@@ -116,7 +116,7 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
 
 def test_regional_layout_prunes(spark, tmp_path):
     _, s = small_country(spark)
-    store.write_by_region(s, str(tmp_path / "s"), spread=3)
+    store.write_by_region(s, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(r.vuid for r in back.collect()) == sorted(r.vuid for r in s.collect())
     assert "PartitionFilters: [isnotnull(prov_code_1" in executed(back.where("prov_code_1 = '01'"))
