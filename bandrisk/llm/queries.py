@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandrisk.llm import decontaminate, packing, sharding, simhash, substring, url_filter
+from bandrisk.llm import ann, decontaminate, langid, packing, sharding, simhash, substring, url_filter
 from bandrisk.sources.store import Scratch
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), Scratch(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -25,6 +29,12 @@ def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_recurrent_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train_on(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring.remove_repeated(docs, Scratch(spark))
@@ -66,8 +76,10 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_small_world_search": op2_small_world_search,
     "op4_redirect_equivalence": op4_redirect_equivalence,
     "op5_simhash_balls": op5_simhash_balls,
+    "op6_recurrent_langid": op6_recurrent_langid,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_first_fit_packing": op8_first_fit_packing,
     "op9_minhash_containment": op9_minhash_containment,
