@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandrisk.llm import ann, decontaminate, langid, packing, sharding, simhash, substring, url_filter
+from bandrisk.llm import ann, decontaminate, langid, packing, sharding, simhash, substring, toxicity, url_filter
 from bandrisk.sources.store import Scratch
 
 
@@ -19,6 +19,14 @@ def op2_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
+def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    marked = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    categories = ("low_quality", "toxic")
+    chain = toxicity.train_on(docs, marked, categories)
+    return toxicity.predict(docs.select("doc_id", "text"), chain, categories).drop("text")
+
+
 def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), Scratch(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -77,6 +85,7 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_small_world_search": op2_small_world_search,
+    "op3_classifier_chain": op3_classifier_chain,
     "op4_redirect_equivalence": op4_redirect_equivalence,
     "op5_simhash_balls": op5_simhash_balls,
     "op6_recurrent_langid": op6_recurrent_langid,
