@@ -45,7 +45,7 @@ def op6_recurrent_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = substring.remove_repeated(docs, Scratch(spark))
+    cut = substring.remove_repeated(docs)
     return cut.select(
         "doc_id",
         F.col("_n_words").alias("n_words"),

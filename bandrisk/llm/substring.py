@@ -9,16 +9,19 @@ The first pass counts anchors in one count-min sketch per partition. The sketche
 cells or as bitmaps, whatever is smaller, and merged block by block; of the merged sketch only one
 bit per cell is kept, whether it was hit more than once. Its size is fixed, so it can be broadcast.
 The second pass hashes the windows whose anchor is estimated to be repeated, and groups them
-exactly, by 128 bits of their words. A full sketch lets more windows through, but loses none.
+exactly, by 96 bits of their words. Nearly all of them are repeated indeed, so the answer names the
+others, and each document is cut by its own estimates without those. A full sketch lets more windows
+through, but loses none.
 
-Windows that a task sees several times are marked there and sent once, so that a window in a third
-of all documents puts few rows into the shuffle.
+A window that a task sees several times is known to be repeated there and is sent once, so that a
+window in a third of all documents puts few rows into the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandrisk.llm.text import as_bytes, text_key
-from bandrisk.sources.store import Scratch
 
 WINDOW = 35
 ANCHOR = 8
@@ -51,9 +53,8 @@ def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of every word in order."""
-    tokens = text.split()
+def word_hashes(tokens: list[bytes]) -> np.ndarray:
+    """A hash of every word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
 
 
@@ -117,7 +118,7 @@ def _sketch(batches, window: int, anchor: int, bits: int, rows: int) -> Iterator
 
     for batch in batches:
         for text in batch.column("text"):
-            _, found = anchors(word_hashes(text.as_py()), window, anchor)
+            _, found = anchors(word_hashes(text.as_py().split()), window, anchor)
             waiting.append(found)
             size += len(found)
             if size > CHUNK_WORDS // 4:
@@ -197,149 +198,115 @@ class Repeated:
         return result
 
 
+def _places(hashes: np.ndarray, sketch: Repeated, window: int, anchor: int) -> np.ndarray:
+    """Starts of the windows of one document that are estimated to be repeated."""
+    lowest, _ = anchors(hashes, window, anchor)
+    return np.flatnonzero(sketch(lowest))
+
+
 def _candidates(batches, repeated, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Windows to be grouped, each once per chunk, and places that the chunk alone shows to be repeated."""
-    names = ["high", "low", "sure", "doc_id", "key", "start", "n"]
+    """Windows to be grouped, each once per chunk; without a place if the chunk alone shows it to be repeated."""
+    names = ["high", "low", "sure", "doc_id", "key", "start"]
     sketch = repeated.value
     ids, keys, starts, highs, lows = [], [], [], [], []
     size = 0
 
-    def flush(id_type) -> Iterator[pa.RecordBatch]:
+    def flush(id_type) -> pa.RecordBatch:
         high, low = np.concatenate(highs), np.concatenate(lows)
         start = np.concatenate(starts)
         doc = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
         order = np.lexsort((low, high))
         first = np.r_[True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])]
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(first) - 1
-        counts = np.bincount(group)
-        several = counts[group] > 1
-        # One row for each different window. Rows of windows that are known to be repeated carry no place.
-        sent = np.zeros(len(order), bool)
-        sent[order[first]] = True
-        sure = several[sent]
+        counts = np.diff(np.r_[np.flatnonzero(first), len(order)])
+        # In the order of the documents, so that their ids compress.
+        sent = order[first]
+        back = np.argsort(sent)
+        sent, sure = sent[back], counts[back] > 1
         owners = doc[sent]
-        yield pa.record_batch(
+        return pa.record_batch(
             [
                 pa.array(high[sent].view(np.int64)),
-                pa.array(low[sent].view(np.int64)),
+                pa.array(low[sent].view(np.int32)),
                 pa.array(sure),
                 pa.array([None if s else ids[d] for s, d in zip(sure.tolist(), owners.tolist())], id_type),
                 pa.array(np.array(keys, np.int64)[owners], mask=sure),
                 pa.array(start[sent].astype(np.int32), mask=sure),
-                pa.array(np.ones(len(owners), np.int32)),
             ],
             names,
         )
-        # Runs of places known to be repeated.
-        own_doc, own_start = doc[several], start[several]
-        if len(own_doc):
-            fresh = np.r_[True, (own_doc[1:] != own_doc[:-1]) | (own_start[1:] != own_start[:-1] + 1)]
-            begin = np.flatnonzero(fresh)
-            length = np.diff(np.r_[begin, len(own_doc)]).astype(np.int32)
-            none = pa.nulls(len(begin), pa.int64())
-            owners = own_doc[begin]
-            yield pa.record_batch(
-                [
-                    none,
-                    none,
-                    pa.nulls(len(begin), pa.bool_()),
-                    pa.array([ids[d] for d in owners.tolist()], id_type),
-                    pa.array(np.array(keys, np.int64)[owners]),
-                    pa.array(own_start[begin].astype(np.int32)),
-                    pa.array(length),
-                ],
-                names,
-            )
 
     for batch in batches:
         id_type = batch.column("doc_id").type
         for doc_id, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text")):
-            hashes = word_hashes(text.as_py())
-            lowest, _ = anchors(hashes, window, anchor)
-            places = np.flatnonzero(sketch(lowest))
+            hashes = word_hashes(text.as_py().split())
+            places = _places(hashes, sketch, window, anchor)
             if not len(places):
                 continue
             ids.append(doc_id.as_py())
             keys.append(key.as_py())
             starts.append(places)
             highs.append(_runs(hashes, window, _ROLL)[places])
-            lows.append(_runs(hashes, window, _ROLL_2)[places])
+            lows.append((_runs(hashes, window, _ROLL_2)[places] >> np.uint64(32)).astype(np.uint32))
             size += len(hashes)
             if size > CHUNK_WORDS:
-                yield from flush(id_type)
+                yield flush(id_type)
                 for kept in (ids, keys, starts, highs, lows):
                     kept.clear()
                 size = 0
     if ids:
-        yield from flush(id_type)
+        yield flush(id_type)
 
 
-def _repeated_places(batches) -> Iterator[pa.RecordBatch]:
-    """Places of windows that more than one row has; rows come sorted by window."""
-    names = ["doc_id", "key", "start", "n"]
+def _single_places(batches) -> Iterator[pa.RecordBatch]:
+    """Places of windows that no other row has; rows come sorted by window."""
+    names = ["doc_id", "key", "start"]
     held, held_known = None, False  # the last row of the batch before, and whether it was found repeated
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
-            table = pa.Table.from_batches([held, batch]).combine_chunks()
-            batch = table.to_batches()[0]
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         high, low = (batch.column(name).to_numpy() for name in ("high", "low"))
-        sure = batch.column("sure").to_numpy(zero_copy_only=False)
+        hit = batch.column("sure").to_numpy(zero_copy_only=False).copy()
         same = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
-        hit = sure.copy()
         hit[1:] |= same
         hit[:-1] |= same
         hit[0] |= held_known
         held, held_known = batch.slice(batch.num_rows - 1), bool(hit[-1])
-        out = hit[:-1] & ~sure[:-1]
-        if out.any():
-            picked = batch.slice(0, batch.num_rows - 1).filter(pa.array(out))
-            yield picked.select(names)
-    if held is not None and held_known and not held.column("sure")[0].as_py():
+        if not hit[:-1].all():
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(~hit[:-1])).select(names)
+    if held is not None and not held_known:
         yield held.select(names)
 
 
-def _spans(batches, window: int) -> Iterator[pa.RecordBatch]:
-    """One row per document with the spans of its covered words; rows come sorted by document and start."""
-    ids, keys, spans = [], [], []
+def _by_document(batches) -> Iterator[pa.RecordBatch]:
+    """One row per document with its places; rows come sorted by document and start."""
+    names = ["single_id", "single_key", "single"]
+    ids, keys, places = [], [], []
+
+    def rows(id_type: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array(ids, id_type), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))]
+        return pa.record_batch(columns, names)
+
     for batch in batches:
         id_type = batch.column("doc_id").type
-        rows = zip(*(batch.column(name).to_pylist() for name in ("doc_id", "key", "start", "n")))
-        for doc_id, key, start, n in rows:
-            end = start + n - 1 + window
+        for doc_id, key, start in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "key", "start"))):
             if not ids or ids[-1] != doc_id or keys[-1] != key:
                 if len(ids) >= 1000:
-                    yield _span_rows(ids, keys, spans, id_type)
-                    ids, keys, spans = [], [], []
+                    yield rows(id_type)
+                    ids, keys, places = [], [], []
                 ids.append(doc_id)
                 keys.append(key)
-                spans.append([start, end])
-            elif start <= spans[-1][-1]:
-                spans[-1][-1] = max(end, spans[-1][-1])
-            else:
-                spans[-1] += [start, end]
+                places.append([])
+            places[-1].append(start)
     if ids:
-        yield _span_rows(ids, keys, spans, id_type)
-
-
-def _span_rows(ids: list, keys: list, spans: list, id_type: pa.DataType) -> pa.RecordBatch:
-    columns = [pa.array(ids, id_type), pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.int32()))]
-    return pa.record_batch(columns, ["span_id", "span_key", "spans"])
-
+        yield rows(id_type)
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """``(span_id, span_key, spans)`` for each document with words covered by a repeated window.
 
-    ``spans`` holds the first word and the word after the last of each span in turn; ``span_key``
-    hashes the text.
-    """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    anchor = min(ANCHOR, window)
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), as_bytes(F.col("text")).alias("text"))
-    parts = rows.select("text").mapInArrow(
-        partial(_sketch, window=window, anchor=anchor, bits=sketch_bits, rows=SKETCH_ROWS),
+def merged_sketch(docs: DataFrame, window: int, sketch_bits: int) -> Repeated:
+    """The merged sketch of all documents: never more than SKETCH_ROWS * 2**sketch_bits bits, whatever the input."""
+    parts = docs.select(as_bytes(F.col("text")).alias("text")).mapInArrow(
+        partial(_sketch, window=window, anchor=min(ANCHOR, window), bits=sketch_bits, rows=SKETCH_ROWS),
         "row int, block int, dense boolean, body binary",
     )
     merged = (
@@ -347,50 +314,35 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, sket
         .sortWithinPartitions("row", "block")
         .mapInArrow(partial(_merge, bits=sketch_bits), "row int, block int, often binary")
     )
-    # Not more than SKETCH_ROWS * 2**sketch_bits bits come here, whatever the input.
-    sketch = Repeated([tuple(r) for r in merged.collect()], sketch_bits, SKETCH_ROWS)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    candidates = rows.mapInArrow(
-        partial(_candidates, repeated=shared, window=window, anchor=anchor),
-        f"high bigint, low bigint, sure boolean, doc_id {id_type}, key bigint, start int, n int",
-    )
-    stored = scratch.keep(candidates)
-    grouped = (
-        stored.where("high IS NOT NULL")
-        .repartition("high", "low")
-        .sortWithinPartitions("high", "low")
-        .mapInArrow(_repeated_places, f"doc_id {id_type}, key bigint, start int, n int")
-    )
-    known = stored.where("high IS NULL").select("doc_id", "key", "start", "n")
-    return (
-        grouped.unionByName(known)
-        .repartition("doc_id", "key")
-        .sortWithinPartitions("doc_id", "key", "start")
-        .mapInArrow(
-            partial(_spans, window=window), f"span_id {id_type}, span_key bigint, spans array<int>"
-        )
-    )
+    return Repeated([tuple(r) for r in merged.collect()], sketch_bits, SKETCH_ROWS)
 
 
-def _cut(batches, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches, names: list[str], repeated, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Every text without the words of its repeated windows."""
+    sketch = repeated.value
     for batch in batches:
         texts, n_words, n_removed = [], [], []
-        for text, spans in zip(batch.column("_bytes"), batch.column("_spans").to_pylist()):
+        for text, single in zip(batch.column("_bytes"), batch.column("_single")):
             tokens = text.as_py().split()
-            kept, at = [], 0
-            for begin, end in zip((spans or [])[::2], (spans or [])[1::2]):
-                kept += tokens[at:begin]
-                at = end
-            kept += tokens[at:]
-            texts.append(b" ".join(kept))
+            places = _places(word_hashes(tokens), sketch, window, anchor)
+            if single.is_valid:
+                places = np.setdiff1d(places, single.values.to_numpy(), assume_unique=True)
             n_words.append(len(tokens))
+            if len(places):
+                edges = np.zeros(len(tokens) + 1, np.int32)
+                np.add.at(edges, places, 1)
+                np.add.at(edges, places + window, -1)
+                kept = list(compress(tokens, (np.cumsum(edges[:-1]) == 0).tolist()))
+            else:
+                kept = tokens
+            texts.append(b" ".join(kept))
             n_removed.append(len(tokens) - len(kept))
         columns = [batch.column(name) for name in names]
         columns += [pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
         yield pa.record_batch(columns, [*names, "_kept", "_n_words", "_n_removed"])
 
 
-def remove_repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` with ``_kept``, ``_n_words`` and ``_n_removed`` beside them.
 
     ``_kept`` is the text without each word that lies in a window of ``window`` words whose sequence
@@ -398,25 +350,40 @@ def remove_repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW, ske
     texts shorter than a window keep all theirs. Repeated rows count as different places, so all
     their windows go. NULL ids are an id like any other. Other columns pass through unchanged.
     """
-    spans = repeated_spans(docs, scratch, window, sketch_bits)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    anchor = min(ANCHOR, window)
+    shared = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, window, sketch_bits))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), as_bytes(F.col("text")).alias("text"))
+    single = (
+        rows.mapInArrow(
+            partial(_candidates, repeated=shared, window=window, anchor=anchor),
+            f"high bigint, low int, sure boolean, doc_id {id_type}, key bigint, start int",
+        )
+        .repartition("high", "low")
+        .sortWithinPartitions("high", "low")
+        .mapInArrow(_single_places, f"doc_id {id_type}, key bigint, start int")
+        .repartition("doc_id", "key")
+        .sortWithinPartitions("doc_id", "key", "start")
+        .mapInArrow(_by_document, f"single_id {id_type}, single_key bigint, single array<int>")
+    )
     keyed = docs.withColumn("_text_key", text_key(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(spans["span_id"]) & (keyed["_text_key"] == spans["span_key"])
-    joined = keyed.join(spans, same, "left").withColumnRenamed("spans", "_spans")
+    same = keyed["doc_id"].eqNullSafe(single["single_id"]) & (keyed["_text_key"] == single["single_key"])
+    joined = keyed.join(single, same, "left").withColumnRenamed("single", "_single")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, as_bytes(F.col("text")).alias("_bytes"), "_spans").mapInArrow(
-        partial(_cut, names=docs.columns),
+    return joined.select(*columns, as_bytes(F.col("text")).alias("_bytes"), "_single").mapInArrow(
+        partial(_cut, names=docs.columns, repeated=shared, window=window, anchor=anchor),
         f"{schema}, _kept binary, _n_words bigint, _n_removed bigint",
     )
 
 
-def drop_repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages cut from the texts.
 
     A text nothing was cut from stays as it is, white space and NULL included. A text that was cut
     has its kept words joined by one space; it stays even if no word is left. ``n_chars`` follows.
     """
-    cut = remove_repeated(docs, scratch, window)
+    cut = remove_repeated(docs, window)
     changed = F.col("_n_removed") > 0
     text = F.when(changed, F.col("_kept").cast("string")).otherwise(F.col("text"))
     columns = {"text": text}
