@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandrisk.llm import ann, decontaminate, langid, packing, sharding, simhash, substring, toxicity, url_filter
+from bandrisk.llm import ann, decontaminate, html_extract, langid, packing, sharding, simhash, substring, toxicity, url_filter
 from bandrisk.sources.store import Scratch
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    forest = html_extract.train(html_extract.sample_words(pages))
+    return html_extract.extract(pages, forest).select("page_id", "url", "text", "n_chars")
+
+
 def op2_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), Scratch(spark))
 
@@ -84,6 +90,7 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_boosted_dom": op1_boosted_dom,
     "op2_small_world_search": op2_small_world_search,
     "op3_classifier_chain": op3_classifier_chain,
     "op4_redirect_equivalence": op4_redirect_equivalence,
