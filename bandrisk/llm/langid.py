@@ -319,5 +319,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language can't be told; the model learns from the rows themselves."""
-    found = predict(docs, train_on(docs))
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Columns of the input that have the names of the new ones are set aside meanwhile.
+    aside = {"lang_pred": "_input_lang_pred", "score": "_input_score"}
+    found = predict(docs.withColumnsRenamed(aside), train_on(docs)).where(F.col("lang_pred") != UNDETERMINED)
+    return found.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
