@@ -41,19 +41,15 @@ def band_condition(value: str, band: Band) -> str:
     return above if band.upper is None else f"{above} AND `{value}` < {float(band.upper)!r}D"
 
 
-def in_band(value: Column, band: Band) -> Column:
-    """True where ``value`` lies in ``band``; NULL for a NULL value."""
-    above = value >= F.lit(band.lower)
-    return above if band.upper is None else above & (value < F.lit(band.upper))
+def band_label(value: str, bands: Sequence[Band] = BANDS, default: str = NO_BAND_LABEL) -> Column:
+    """Label of the band that holds the column ``value``; ``default`` below all bands, for NULL and for NaN.
 
-
-def band_label(value: Column, bands: Sequence[Band] = BANDS, default: str = NO_BAND_LABEL) -> Column:
-    """Label of the band that holds ``value``; ``default`` below all bands and for NULL."""
-    ladder = None
+    Sums, unlike labels, count NaN as above every bound, hence in the highest band.
+    """
+    ladder = F.when(F.isnan(value), F.lit(default))
     for band in bands:
-        hit = in_band(value, band)
-        ladder = F.when(hit, F.lit(band.label)) if ladder is None else ladder.when(hit, F.lit(band.label))
-    return F.lit(default) if ladder is None else ladder.otherwise(F.lit(default))
+        ladder = ladder.when(F.expr(band_condition(value, band)), F.lit(band.label))
+    return ladder.otherwise(F.lit(default))
 
 
 def band_table(spark: SparkSession, bands: Sequence[Band] = BANDS) -> DataFrame:

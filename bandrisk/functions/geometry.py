@@ -29,15 +29,16 @@ def _is_polygon(wkt: str) -> str:
         or {many} rlike r'(?i)^\s*MULTIPOLYGON\s*\(\s*@\s*\)\s*$'), false)"""
 
 
-def wkt_edges(wkt: str) -> str:
-    """All ring edges of a POLYGON or MULTIPOLYGON text as ``array<struct<ring,pos,x1,y1,x2,y2>>``.
+def wkt_parts(wkt: str) -> str:
+    """The polygons of a POLYGON or MULTIPOLYGON text, each an array of its ring edges.
 
-    Text of another kind, points that are not two numbers, and rings that are not closed fail the
-    query.
+    Edges are ``struct<ring,pos,x1,y1,x2,y2>``; rings are numbered within their polygon. Text of
+    another kind, points that are not two numbers, and rings that are not closed fail the query.
     """
-    rings = rf"""
-        transform(regexp_extract_all({wkt}, r'\(([^()]*)\)', 1), text ->
-            transform(split(text, ','), pair ->
+    # Polygons are parted by ")),((", rings by "),("; what is left of a ring's brackets is trimmed.
+    rings = r"""
+        transform(split(part, r'\)\s*,\s*\('), text ->
+            transform(split(regexp_replace(text, r'(?i)^\s*(multi)?polygon[\s(]*|^[\s(]+|[\s)]+$', ''), ','), pair ->
                 transform(split(trim(pair), r'\s+'), number -> try_cast(number as double))))"""
     edges = f"""
         flatten(transform({rings}, (points, ring) -> case
@@ -48,9 +49,11 @@ def wkt_edges(wkt: str) -> str:
             else transform(slice(points, 2, size(points) - 1), (next, pos) ->
                 named_struct('ring', ring, 'pos', pos, 'x1', points[pos][0], 'y1', points[pos][1],
                              'x2', next[0], 'y2', next[1])) end))"""
-    return f"""
-        case when {_is_polygon(wkt)} then {edges}
-        else raise_error(concat('not a POLYGON or MULTIPOLYGON: ', coalesce({wkt}, 'NULL'))) end"""
+    return rf"""
+        case when not {_is_polygon(wkt)} then
+            raise_error(concat('not a POLYGON or MULTIPOLYGON: ', coalesce({wkt}, 'NULL')))
+        when {wkt} rlike r'(?i)EMPTY\s*$' then array()
+        else transform(split({wkt}, r'\)\s*\)\s*,\s*\(\s*\('), part -> {edges}) end"""
 
 
 def test_edge(edge: str) -> str:

@@ -33,7 +33,7 @@ def last_name_wins(children: DataFrame) -> DataFrame:
 def with_children(features: DataFrame, children: DataFrame) -> DataFrame:
     """Features with the figures of the child unit that has their code.
 
-    A feature without a child unit keeps its properties as they are. No broadcast hint: the child
+    A feature without a child unit keeps its properties as they are, and no number of map classes. No broadcast hint: the child
     side is an aggregate whose true size Spark knows by the time it joins.
     """
     latest = last_name_wins(children).select(
@@ -52,7 +52,9 @@ def with_children(features: DataFrame, children: DataFrame) -> DataFrame:
     names = ("na_en", "value", *FEATURE_CELLS)
     kept = [c for c in features.columns if c not in names]
     return joined.select(
-        *kept, *[taken(n).alias(n) for n in names], F.lit(CLASSES_OF_CHILDREN).alias("set_jenk_divider")
+        *kept,
+        *[taken(n).alias(n) for n in names],
+        F.when(F.col("_matched"), F.lit(CLASSES_OF_CHILDREN)).alias("set_jenk_divider"),
     )
 
 

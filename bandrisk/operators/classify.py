@@ -30,7 +30,7 @@ def class_name(index_key: str) -> str:
 
 def with_classes(df: DataFrame, indexes: Sequence[str] = INDEX_KEYS) -> DataFrame:
     """Add a ``<index>_class`` label per index."""
-    return df.withColumns({class_name(i): band_label(F.col(i)) for i in indexes})
+    return df.withColumns({class_name(i): band_label(i) for i in indexes})
 
 
 def susceptibility_class(hazard: DataFrame) -> DataFrame:
@@ -85,6 +85,29 @@ def settlement_profile(hazard: DataFrame, settlement: DataFrame) -> DataFrame:
     )
 
 
+def settlement_documents(profile: DataFrame) -> DataFrame:
+    """``vuid, doc``: the record of every settlement as one JSON document, base information and marked matrix.
+
+    A row of the matrix per index, an ``X`` under the one label that holds: five rows, whatever the data.
+    """
+
+    def row(index):
+        marks = [
+            F.when(F.col(class_name(index.key)) == label, F.lit("X")).otherwise(F.lit("")).alias(key)
+            for key, label in (("no_risk", NO_BAND_LABEL), *((b.key, b.label) for b in BANDS))
+        ]
+        return F.struct(F.lit(index.key).alias("key"), F.lit(index.record_title).alias("title"), *marks)
+
+    base = ("name_en", "dist_na_en", "prov_na_en", "area_text", "area_population_text")
+    record = F.struct(*base, "vuid_population_text", "vuid_buildings_text", F.array(*map(row, INDEXES)).alias("matrix"))
+    return profile.select("vuid", F.to_json(record, {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def write_settlement_documents(documents: DataFrame, path: str) -> None:
+    """Write settlement documents as JSON lines."""
+    documents.write.mode("overwrite").json(path)
+
+
 def settlement_record(profile: DataFrame, vuid) -> DataFrame:
     """The record of one settlement; no row if there is none."""
     return profile.where(F.col("vuid") == F.lit(vuid))

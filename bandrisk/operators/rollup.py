@@ -6,7 +6,8 @@ once whatever the number of cells, and Spark combines on the map side before it
 crosses the network is one row of cells per task and group, however hot a group is.
 
 Sums are kept unrounded ("raw") until the last level, since a total must be the rounded sum and
-not the sum of rounded parts.
+not the sum of rounded parts. They are whole numbers of millionths, so they are the same in any order
+of adding; a population with more than six decimals is rounded to six.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ from bandrisk.functions.bands import AT_RISK_BANDS, BANDS, Band, band_condition
 from bandrisk.functions.indexes import INDEX_KEYS
 
 
+# Raw sums count in these parts of one.
+PARTS = 1_000_000
+
+
+def exact(measure: str) -> str:
+    """A measure as a whole number of parts; sums of it do not depend on their order."""
+    return f"cast(round(`{measure}` * {PARTS}D) as bigint)"
+
+
 def cell_name(index_key: str, band: Band) -> str:
     return f"{index_key}_{band.key}"
 
@@ -30,6 +40,17 @@ def cell_names(value_cols: Sequence[str] = INDEX_KEYS, bands: Sequence[Band] = B
     return [cell_name(v, b) for v in value_cols for b in bands]
 
 
+def cell_expressions(
+    value_cols: Sequence[str] = INDEX_KEYS, measure: str = "vuid_population", bands: Sequence[Band] = BANDS
+) -> dict[str, str]:
+    """The raw sum of every cell, as SQL by name."""
+    return {
+        cell_name(v, b): f"sum(CASE WHEN {band_condition(v, b)} THEN {exact(measure)} END)"
+        for v in value_cols
+        for b in bands
+    }
+
+
 def raw_cells(
     df: DataFrame,
     by: Sequence[str | Column] = (),
@@ -38,12 +59,8 @@ def raw_cells(
     bands: Sequence[Band] = BANDS,
 ) -> DataFrame:
     """Unrounded cells per group; a cell nobody falls into is NULL."""
-    sums = [
-        F.expr(f"sum(CASE WHEN {band_condition(v, b)} THEN `{measure}` END) AS `{cell_name(v, b)}`")
-        for v in value_cols
-        for b in bands
-    ]
-    return df.groupBy(*by).agg(*sums)
+    sums = cell_expressions(value_cols, measure, bands)
+    return df.groupBy(*by).agg(*[F.expr(f"{e} AS `{name}`") for name, e in sums.items()])
 
 
 def merge_cells(df: DataFrame, by: Sequence[str | Column], cells: Sequence[str]) -> DataFrame:
@@ -53,7 +70,7 @@ def merge_cells(df: DataFrame, by: Sequence[str | Column], cells: Sequence[str])
 
 def round_cells(df: DataFrame, cells: Sequence[str]) -> DataFrame:
     """Finish raw cells: round half away from zero, and zero where there is nothing."""
-    return df.withColumns({c: F.expr(f"coalesce(round(`{c}`), 0D)") for c in cells})
+    return df.withColumns({c: F.expr(f"coalesce(round(`{c}` / {PARTS}D), 0D)") for c in cells})
 
 
 def banded_sum(
@@ -124,13 +141,14 @@ def level_totals(cube: DataFrame) -> DataFrame:
 
 def baseline_totals(settlement: DataFrame, measure: str = "vuid_population") -> DataFrame:
     """Population of the country, every province and every district, with or without a hazard row."""
-    parts = settlement.groupBy("prov_code_1", "dist_code").agg(F.sum(measure).alias("pop_total"))
-    country = parts.agg(F.sum("pop_total").alias("pop_total")).select(
+    parts = settlement.groupBy("prov_code_1", "dist_code").agg(F.expr(f"sum({exact(measure)})").alias("_sum"))
+    total = F.expr(f"sum(_sum) / {PARTS}D").alias("pop_total")
+    country = parts.agg(total).select(
         F.lit("country").alias("scope_level"), F.lit(None).cast("string").alias("code"), "pop_total"
     )
     levels = [
         parts.groupBy(F.col(code).alias("code"))
-        .agg(F.sum("pop_total").alias("pop_total"))
+        .agg(total)
         .select(F.lit(level).alias("scope_level"), "code", "pop_total")
         for level, code in (("province", "prov_code_1"), ("district", "dist_code"))
     ]

@@ -1,113 +1,199 @@
 """Settlements within drawn areas.
 
-A drawn area is a list of polygon texts, and covers what any of them covers. Each polygon is cut
-into the cells of a fixed grid. A cell no edge touches lies wholly inside or wholly outside: the
-first kind keeps no edges, the second kind is dropped. Any other cell keeps just the edges that
-can matter within it. Settlements then meet the polygons by an equality join on the cell, with
-the exact test as a further condition.
-
-The cell size follows the areas: the finest one that keeps the number of cells low. Finer cells
-mean fewer settlements that need the exact test.
-
-The settlement side is the big one. It is not moved when the cells have been measured to fit a
-broadcast. Beyond that both sides are shuffled on the cell and a salt, so that a cell with a large
-share of all settlements is spread over several tasks.
+A drawn area is a list of polygon texts and covers what any of their polygons covers. Each area is
+cut into the cells of a grid in three steps, from coarse to fine: a cell that lies wholly inside one
+of its polygons is kept as it is, one that lies outside all of them is dropped, and one that an edge
+touches is cut further, down to the finest size. Finest cells that are still touched keep, for each
+polygon, the edges that can matter in them. The cells of an area do not overlap, so a settlement
+meets at most one of them and nothing has to be made distinct.
+
+Figures of areas are sums of cells: settlements are summed up per finest cell once, whole cells of
+any size take the sums of what lies in them, and only settlements in touched cells are tested
+against edges. No pair of a settlement and an area it lies well inside of is ever made.
+
+The cell size follows the areas: the finest one that keeps the number of touched cells low. The
+settlement side is the big one. It is not moved when the cells have been measured to fit a
+broadcast; beyond that both sides are shuffled on the cell, and the adaptive planner splits a cell
+with a large share of all settlements by its measured size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandrisk.functions.geometry import LAT_RANGE, LON_RANGE, covers, grid_cell, test_edge, wkt_edges
+from bandrisk.functions.geometry import LAT_RANGE, LON_RANGE, covers, grid_cell, test_edge, wkt_parts
 from bandrisk.sources.store import materialise
 
 # Candidate cell sizes in degrees, coarse to fine; powers of two keep the cell arithmetic exact.
 CELL_SIZES = tuple(2.0**-k for k in range(-3, 11))
-# Cells to aim for: many per polygon while there are few polygons, not too few when there are many.
-CELLS_PER_POLYGON = 2048
-MIN_CELLS_PER_POLYGON = 64
+# Each step cuts a cell into so many along each side; sizes of cells are counted in steps from the finest.
+FANOUT_BITS = 3
+STEPS = 2
+# Touched cells to aim for: many per area while there are few areas, not too few when there are many.
+CELLS_PER_AREA = 2048
+MIN_CELLS_PER_AREA = 128
 MAX_CELLS = 1 << 18
 # Measured bytes up to which cells are broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
-SALTS = 16
 
 
 def area_edges(areas: DataFrame) -> DataFrame:
-    """Every edge of every polygon of ``areas(aoi_id, ord, wkt)``, one row each."""
-    return areas.select("aoi_id", "ord", F.inline(F.expr(wkt_edges("wkt"))))
+    """Every edge of every polygon of ``areas(aoi_id, ord, wkt)``, one row each; ``part`` numbers a text's polygons."""
+    parts = areas.select("aoi_id", "ord", F.posexplode(F.expr(wkt_parts("wkt"))).alias("part", "edges"))
+    return parts.select("aoi_id", "ord", "part", F.inline("edges"))
 
 
-def cell_size(areas: DataFrame) -> float:
-    """The finest cell size that keeps the boxes around the polygons within the allowed cells.
+def area_shapes(areas: DataFrame, union: bool = False) -> DataFrame:
+    """``aoi_id`` and ``parts``, the test edges of each polygon of the area, parsed from ``areas(aoi_id, ord, wkt)``.
 
-    One small job over the areas; counts for all candidate sizes, one row, come to the driver.
+    An area's texts come from one request, which bounds what is collected here. ``union`` makes one
+    area of all.
     """
-    # Rings are closed, so the start points are all there is to a box.
-    boxes = (
-        areas.selectExpr(f"{wkt_edges('wkt')} as e")
-        .selectExpr("array_max(e.x1) - array_min(e.x1) as width", "array_max(e.y1) - array_min(e.y1) as height")
-        .where("width IS NOT NULL")
-    )
+    tested = f"transform({wkt_parts('wkt')}, edges -> transform(edges, v -> {test_edge('v')}))"
+    parsed = areas.select(F.lit(0).alias("aoi_id") if union else "aoi_id", F.expr(tested).alias("parts"))
+    return parsed.groupBy("aoi_id").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+
 
-    def across(side: str, size: float, bounds: tuple[float, float]) -> str:
-        """At most so many cells along one side; not more than the grid has."""
-        return f"least(floor({side} / {size}D) + 2, {(bounds[1] - bounds[0]) / size + 1}D)"
-
-    polygons, *counts = boxes.agg(
-        F.count(F.lit(1)),
-        *[
-            F.expr(f"coalesce(sum({across('width', size, LON_RANGE)} * {across('height', size, LAT_RANGE)}), 0D)")
-            for size in CELL_SIZES
-        ],
-    ).first()
-    allowed = min(CELLS_PER_POLYGON * polygons, max(MAX_CELLS, MIN_CELLS_PER_POLYGON * polygons))
-    fitting = [size for size, cells in zip(CELL_SIZES, counts) if cells <= allowed]
+def cell_size(shapes: DataFrame) -> float:
+    """The finest cell size that keeps the cells touched by edges within the allowed number.
+
+    One small job over the shapes; counts for all candidate sizes, one row, come to the driver.
+    """
+    edges = shapes.select("aoi_id", F.explode(F.flatten("parts")).alias("e"))
+    spans = {
+        size: F.sum(F.expr(f"least((e.east - e.west + e.north - e.south) / {size}D + 1, {540 / size}D)"))
+        for size in CELL_SIZES
+    }
+    areas, *counts = edges.agg(F.count_distinct("aoi_id"), *spans.values()).first()
+    allowed = min(CELLS_PER_AREA * areas, max(MAX_CELLS, MIN_CELLS_PER_AREA * areas))
+    fitting = [size for size, cells in zip(CELL_SIZES, counts) if cells is not None and cells <= allowed]
     return min(fitting, default=CELL_SIZES[0])
 
 
-def area_cells(areas: DataFrame, cell: float) -> DataFrame:
-    """Grid cells of ``areas(aoi_id, ord, wkt)``.
+def _placed(edge: str, cell: float) -> str:
+    """An edge with the grid positions it spans."""
+    places = {
+        "left": grid_cell(f"{edge}.west", cell, LON_RANGE),
+        "right": grid_cell(f"{edge}.east", cell, LON_RANGE),
+        "bottom": grid_cell(f"{edge}.south", cell, LAT_RANGE),
+        "top": grid_cell(f"{edge}.north", cell, LAT_RANGE),
+    }
+    return f"named_struct('edge', {edge}, {', '.join(f'{k!r}, {v}' for k, v in places.items())})"
+
+
+# Products of degrees up to which a corner counts as being on an edge's line.
+_ON_LINE = 1e-9
+_LEFT, _RIGHT, _TOUCHES = -1, 1, 0
+
 
-    Columns are ``aoi_id, cx, cy, whole, crossed, edges``. ``whole`` cells are covered entirely and
-    have no edges; the others have those to test. A polygon is cut into rows of cells first and each
-    row into cells after, so an edge is looked at once per row it spans.
+def _beside(cell: float) -> str:
+    """Where the placed edge ``e`` passes the cell ``(cx, cy)`` of its rows: left, right, or through it, as SQL.
+
+    An edge passes beside a cell if all corners lie on one side of its line. The outermost cells are
+    open and have no corners; an edge that reaches their columns touches them.
     """
+    outer = " or ".join(
+        f"{c} <= {int(b[0] // cell)} or {c} >= {int(b[1] // cell)}" for c, b in (("cx", LON_RANGE), ("cy", LAT_RANGE))
+    )
+
+    def turn(x: str, low: str, high: str) -> str:
+        y = f"if(e.edge.run > 0, {low}, {high})"
+        return f"(e.edge.run * ({y} * {cell}D - e.edge.y1) - ({x} * {cell}D - e.edge.x1) * e.edge.rise)"
 
-    placed = f"""
-        transform({wkt_edges("wkt")}, v -> transform(array({test_edge("v")}), e -> named_struct(
-            'edge', e,
-            'left', {grid_cell("e.west", cell, LON_RANGE)}, 'right', {grid_cell("e.east", cell, LON_RANGE)},
-            'bottom', {grid_cell("e.south", cell, LAT_RANGE)}, 'top', {grid_cell("e.north", cell, LAT_RANGE)}))[0])"""
+    return f"""case when e.left > cx then {_RIGHT} when e.right < cx then {_LEFT} when {outer} then {_TOUCHES}
+        when {turn("(cx + 1)", "cy", "(cy + 1)")} > {_ON_LINE}D then {_RIGHT}
+        when {turn("cx", "(cy + 1)", "cy")} < -{_ON_LINE}D then {_LEFT} else {_TOUCHES} end"""
 
-    def each_from(edges: str, low: str, high: str) -> str:
-        """Explode into the grid positions the edges span. No edges, as in an empty polygon, give no rows."""
-        return f"explode(sequence(array_min({edges}.{low}), array_max({edges}.{high})))"
 
-    # For a point of a cell, an edge to the left is never crossed by a ray to the right, and an edge
-    # to the right that spans the whole row always is: such edges need no test.
-    passes = "e.left > cx and e.bottom < cy and e.top > cy"
+def _cut(cells: DataFrame, cell: float, first: bool) -> DataFrame:
+    """Cut the open cells one step further, to ``cell`` degrees; ``first`` starts from whole areas.
+
+    An open cell has ``parts``, structs of ``crossed`` and ``edges``. For a point of a cell, an edge
+    to the left is never crossed by a ray to the right, an edge to the right that spans the whole
+    row always is, and an edge above or below never: such edges need no test and go.
+    """
+    spread = 1 << FANOUT_BITS
+    edges = "flatten(parts.edges)"
+    if first:
+        south, north = (
+            grid_cell(f"{pick}({edges}.{end})", cell, LAT_RANGE)
+            for pick, end in (("array_min", "south"), ("array_max", "north"))
+        )
+        cells = cells.where(f"size({edges}) > 0").selectExpr("*", "0 as step", "false as whole", "0 as cx", "0 as cy")
+        down = f"sequence({south}, {north})"
+        across = f"sequence(array_min({edges}.left), array_max({edges}.right))"
+    else:
+        # Closed cells stay one row.
+        down, across = (
+            f"if(whole, array({c}), sequence({c} * {spread}, {c} * {spread} + {spread - 1}))" for c in ("cy", "cx")
+        )
+    passes = f"e.at = {_RIGHT} and e.bottom < cy and e.top > cy"
+    middle = covers("p.edges", f"((cx + 0.5D) * {cell}D)", f"((cy + 0.5D) * {cell}D)", "p.crossed")
     return (
-        areas.selectExpr("aoi_id", f"{placed} as all_edges")
-        .selectExpr("aoi_id", "all_edges", f"{each_from('all_edges', 'bottom', 'top')} as cy")
-        .selectExpr("aoi_id", "cy", "filter(all_edges, e -> e.bottom <= cy and e.top >= cy) as row_edges")
-        .selectExpr("aoi_id", "cy", "row_edges", f"{each_from('row_edges', 'left', 'right')} as cx")
-        .selectExpr("aoi_id", "cx", "cy", "filter(row_edges, e -> e.right >= cx) as near")
-        .selectExpr("*", "exists(near, e -> e.left <= cx) as touched")
-        .where(f"touched or {covers('near.edge', f'((cx + 0.5D) * {cell}D)', f'((cy + 0.5D) * {cell}D)')}")
+        cells.selectExpr("aoi_id", "step", "whole", "cx", "parts", f"explode({down}) as cy")
+        .selectExpr(
+            "aoi_id",
+            "step",
+            "whole",
+            "cx",
+            "cy",
+            f"""transform(parts, p -> named_struct('crossed', p.crossed, 'edges', filter(
+                transform(p.edges, e -> {_placed("e", cell)}), e -> e.bottom <= cy and e.top >= cy))) as parts""",
+        )
+        .where(f"size({edges}) > 0" if first else "true")
+        .selectExpr("aoi_id", "step", "whole", "cy", "parts", f"explode({across}) as cx")
+        .selectExpr(
+            "aoi_id",
+            "step",
+            "whole",
+            "cx",
+            "cy",
+            f"""transform(parts, p -> named_struct('crossed', p.crossed, 'edges', transform(p.edges, e ->
+                named_struct('edge', e.edge, 'bottom', e.bottom, 'top', e.top, 'at', {_beside(cell)})))) as parts""",
+        )
+        .selectExpr(
+            "aoi_id",
+            "step",
+            "whole",
+            "cx",
+            "cy",
+            f"""transform(parts, p -> named_struct(
+                'crossed', (p.crossed + size(filter(p.edges, e -> {passes}))) % 2,
+                'touched', exists(p.edges, e -> e.at = {_TOUCHES}),
+                'edges', filter(p.edges, e -> e.at <> {_LEFT} and not ({passes})).edge)) as parts""",
+        )
         .selectExpr(
             "aoi_id",
+            "if(whole, step + 1, 0) as step",
             "cx",
             "cy",
-            "not touched as whole",
-            f"if(touched, size(filter(near, e -> {passes})) % 2, null) as crossed",
-            f"if(touched, filter(near, e -> not ({passes})).edge, null) as edges",
+            f"whole or exists(parts, p -> not p.touched and {middle}) as whole",
+            "transform(filter(parts, p -> p.touched), p -> named_struct('crossed', p.crossed, 'edges', p.edges)) as parts",
         )
+        .where("whole or size(parts) > 0")
+        .selectExpr("aoi_id", "step", "cx", "cy", "whole", "if(whole, null, parts) as parts")
     )
 
 
+def area_cells(shapes: DataFrame, cell: float) -> DataFrame:
+    """Cells of ``area_shapes``: ``aoi_id, step, cx, cy, whole, parts``.
+
+    ``step`` is 0 for cells of ``cell`` degrees and grows by one for each size above. ``whole`` cells
+    are covered entirely and have no parts; the others are all of step 0.
+    """
+    start = shapes.selectExpr("aoi_id", "transform(parts, edges -> named_struct('crossed', 0, 'edges', edges)) as parts")
+    cells = _cut(start, cell * (1 << (FANOUT_BITS * STEPS)), first=True)
+    # Few areas may make most of the cells, and a file of requests is read by few tasks.
+    cells = cells.repartition("aoi_id", "cx", "cy")
+    for step in reversed(range(STEPS)):
+        cells = _cut(cells, cell * (1 << (FANOUT_BITS * step)), first=False)
+    return cells
+
+
 @dataclass(frozen=True)
 class AreaIndex:
     """Cells of the areas with what was measured about them."""
@@ -119,24 +205,27 @@ class AreaIndex:
 
 
 def index_areas(
-    areas: DataFrame, cell: float | None = None, broadcast_limit: int = BROADCAST_LIMIT
+    areas: DataFrame, cell: float | None = None, broadcast_limit: int = BROADCAST_LIMIT, union: bool = False
 ) -> AreaIndex:
     """Cut areas into cells, store those and measure them; a row of figures comes to the driver.
 
-    The measured bytes decide between broadcast and shuffle. The box around the cells becomes a
-    range filter on the settlement scan, which can skip whole files and row groups.
+    The texts are parsed once and stored. The measured bytes decide between broadcast and shuffle.
+    The box around the cells becomes a range filter on the settlement scan, which can skip whole
+    files and row groups. ``union`` makes one area of all, for what any of them covers.
     """
+    shapes = materialise(area_shapes(areas, union))
     if cell is None:
-        cell = cell_size(areas)
-    cells = materialise(area_cells(areas, cell))
-    row_bytes = F.lit(64) + F.lit(88) * F.coalesce(F.size("edges"), F.lit(0))
-    size, west, east, south, north = cells.agg(
-        F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0)),
-        F.min("cx"),
-        F.max("cx"),
-        F.min("cy"),
-        F.max("cy"),
-    ).first()
+        cell = cell_size(shapes)
+    cells = materialise(area_cells(shapes, cell))
+    edges = F.coalesce(F.size(F.flatten("parts.edges")), F.lit(0))
+    row_bytes = F.lit(64) + F.lit(88) * edges
+    ends = [
+        f"{pick}({c} * shiftleft(1, {FANOUT_BITS} * step) {far})"
+        for c in ("cx", "cy")
+        for pick, far in (("min", ""), ("max", f"+ shiftleft(1, {FANOUT_BITS} * step) - 1"))
+    ]
+    total = F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))
+    size, west, east, south, north = cells.agg(total, *map(F.expr, ends)).first()
     box = None
     if west is not None:
         # The outermost cells are open: they also hold what lies beyond the grid.
@@ -155,72 +244,100 @@ def index_areas(
     return AreaIndex(cells, size <= broadcast_limit, box, cell)
 
 
-def _in_box(points: DataFrame, index: AreaIndex) -> DataFrame:
+def _in_box(index: AreaIndex) -> str:
+    """Whether a point can lie in any cell, as SQL."""
     if index.box is None:
-        return points.where(F.lit(False))
-    west, east, south, north = index.box
+        return "false"
+    west, east, south, north = (f"double('{b}')" for b in index.box)
     # A hair wider than the cells, so that rounding in the cell arithmetic cannot matter.
-    slack = index.cell / 1024
-    return points.where(
-        (F.col("lon") >= west - slack)
-        & (F.col("lon") <= east + slack)
-        & (F.col("lat") >= south - slack)
-        & (F.col("lat") <= north + slack)
+    slack = f"{index.cell / 1024}D"
+    return (
+        f"lon >= {west} - {slack} and lon <= {east} + {slack} and lat >= {south} - {slack} and lat <= {north} + {slack}"
     )
 
 
+def in_box(points: DataFrame, index: AreaIndex) -> DataFrame:
+    """The points that can lie in any cell; a range filter that reaches the scan."""
+    return points.where(_in_box(index))
+
+
 def _located(points: DataFrame, index: AreaIndex) -> DataFrame:
-    """Points of the box around the areas with their cell, salted if they are to be shuffled."""
-    located = _in_box(points, index).selectExpr(
+    """Points with their finest cell."""
+    return points.selectExpr(
         "*", f"{grid_cell('lon', index.cell, LON_RANGE)} as _cx", f"{grid_cell('lat', index.cell, LAT_RANGE)} as _cy"
     )
-    if index.small:
-        return located
-    # A hash of the row, not a random number: the same on every retry of a task.
-    return located.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
 
 
 def _side_to_join(cells: DataFrame, index: AreaIndex) -> DataFrame:
-    if index.small:
-        return F.broadcast(cells)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    return cells.select("*", salts).hint("merge")
-
+    return F.broadcast(cells) if index.small else cells.hint("merge")
 
-def _same_cell(points: DataFrame, cells: DataFrame, index: AreaIndex) -> Column:
-    same = (points["_cx"] == cells["cx"]) & (points["_cy"] == cells["cy"])
-    return same if index.small else same & (points["_salt"] == cells["salt"])
 
+# Whether a located point is within the area of a touched cell, or of any cell, it was joined to.
+_TESTED = f"exists(parts, p -> {covers('p.edges', 'lon', 'lat', 'p.crossed')})"
+_INSIDE = f"whole or {_TESTED}"
 
-# Whether a located point is within the polygon of a cell it was joined to.
-_INSIDE = f"whole or {covers('edges', 'lon', 'lat', 'crossed')}"
 
+def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:
+    """``points(lon, lat, ...)`` rows with the ``aoi_id`` of each area that covers them.
 
-def _helper_columns(index: AreaIndex) -> list[str]:
-    return ["_cx", "_cy"] + ([] if index.small else ["_salt"])
+    A row comes out once per area, since the cells of an area do not overlap. Points on a border
+    count as covered; points without a position are dropped.
+    """
+    steps = ", ".join(
+        f"named_struct('step', {s}, 'cx', shiftright(_cx, {FANOUT_BITS * s}), 'cy', shiftright(_cy, {FANOUT_BITS * s}))"
+        for s in range(STEPS + 1)
+    )
+    located = _located(points.where(_in_box(index)), index).selectExpr("*", f"explode(array({steps})) as _at")
+    cells = _side_to_join(index.cells, index)
+    same = (F.col("_at.step") == cells["step"]) & (F.col("_at.cx") == cells["cx"]) & (F.col("_at.cy") == cells["cy"])
+    return located.join(cells, same & F.expr(_INSIDE), "inner").select(*[f"`{c}`" for c in points.columns], "aoi_id")
 
 
 def points_in_areas(points: DataFrame, index: AreaIndex) -> DataFrame:
-    """Rows of ``points(lon, lat, ...)`` that any of the areas covers, each once.
+    """Rows of ``points`` that an index made with ``union`` covers, each once."""
+    return points_by_area(points, index).drop("aoi_id")
 
-    Points on a border count as covered; points without a position are dropped.
+
+def cell_sums(points: DataFrame, index: AreaIndex, sums: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """The one pass over the points: ``sums`` by ``keys`` and finest cell, and by area for points in touched cells.
+
+    Rows with ``of_area`` hold an area's sums over the points that were tested; the others those of
+    a cell (and keys), ``cx`` and ``cy`` being NULL beyond the areas. Points without a position or
+    beyond the areas are only read if there are keys.
     """
-    located = _located(points, index)
-    cells = _side_to_join(index.cells, index)
-    matches = _same_cell(located, cells, index) & F.expr(_INSIDE)
-    return located.join(cells, matches, "left_semi").drop(*_helper_columns(index))
+    inside = _in_box(index)
+    located = _located(points if keys else points.where(inside), index).withColumns(
+        {c: F.expr(f"case when {inside} then {c} end") for c in ("_cx", "_cy")}
+    )
+    both = located.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("of_area")).where(
+        "not of_area or (_cx is not null and _cy is not null)"
+    )
+    touched = _side_to_join(index.cells.where("not whole").select("aoi_id", "cx", "cy", "parts"), index)
+    same = F.col("of_area") & (F.col("_cx") == touched["cx"]) & (F.col("_cy") == touched["cy"])
+    matched = both.join(touched, same, "left").where(
+        f"not of_area or (cx is not null and {_TESTED})"
+    )
+    by = [F.expr(f"case when not of_area then `{k}` end").alias(k) for k in keys]
+    by += [F.expr(f"case when not of_area then {c} end").alias(c[1:]) for c in ("_cx", "_cy")]
+    return matched.groupBy("of_area", "aoi_id", *by).agg(*[F.expr(f"{e} as `{n}`") for n, e in sums.items()])
 
 
-def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:
-    """``points`` rows with the ``aoi_id`` of each area that covers them.
+def area_sums(stored: DataFrame, index: AreaIndex, names: Sequence[str]) -> DataFrame:
+    """``aoi_id`` and its sums, from stored ``cell_sums``: tested points, and what lies in whole cells.
 
-    A row comes out once per area, however many of the area's polygons cover it: the cell gives
-    the areas that may cover a point, and a semi join on area and cell keeps those where some
-    polygon does. Nothing needs to be made distinct afterwards.
+    Cell sums are rolled up to the larger cells first, so this joins two small tables.
     """
-    located = _located(points, index)
-    nearby = _side_to_join(index.cells.select("aoi_id", "cx", "cy").distinct(), index)
-    candidates = located.join(nearby, _same_cell(located, nearby, index), "inner").drop("cx", "cy", "salt")
-    cells = _side_to_join(index.cells.withColumnRenamed("aoi_id", "area"), index)
-    same = (candidates["aoi_id"] == cells["area"]) & _same_cell(candidates, cells, index)
-    return candidates.join(cells, same & F.expr(_INSIDE), "left_semi").drop(*_helper_columns(index))
+    added = [F.expr(f"sum(`{n}`) as `{n}`") for n in names]
+    steps = F.explode(F.sequence(F.lit(0), F.lit(STEPS)))
+    grid = (
+        stored.where("not of_area and cx is not null and cy is not null")
+        .select(steps.alias("step"), "cx", "cy", *names)
+        .groupBy(
+            "step",
+            *[F.expr(f"shiftright({c}, {FANOUT_BITS} * step)").alias(c) for c in ("cx", "cy")],
+        )
+        .agg(*added)
+    )
+    whole = index.cells.where("whole").select("aoi_id", "step", "cx", "cy").join(grid, ["step", "cx", "cy"])
+    tested = stored.where("of_area").select("aoi_id", *names)
+    return whole.select("aoi_id", *names).unionByName(tested).groupBy("aoi_id").agg(*added)

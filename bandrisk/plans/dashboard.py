@@ -62,11 +62,11 @@ def dashboard(
         if "baseline" in sections:
             known = total.withColumn("pop_total", pop_total.select(F.col("pop_total").cast("double")).scalar())
             sections["donut"] = donut_series(known, ())
-    if features is not None and wanted("features", includes, excludes) and "totals" in sections:
-        # A district's features show the district itself.
-        if scope.level == "district":
+    if features is not None and wanted("features", includes, excludes):
+        # A district's features show the district itself, others their child units.
+        if scope.level == "district" and "totals" in sections:
             sections["features"] = with_scope_total(features, sections["totals"], label)
-        elif "children" in sections:
+        elif scope.level != "district" and "children" in sections:
             sections["features"] = with_children(features, sections["children"])
     return sections
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandrisk.functions.bands import AT_RISK_BANDS, NOT_AT_RISK_LABEL
@@ -165,16 +165,17 @@ def scope_table_rows(levels: DataFrame, names: DataFrame, children: DataFrame) -
     return table_rows(totals, children, ("scope_level", "scope_code"))
 
 
-_WHOLE = "bigint"
-_SHARE = "decimal(20,2)"
+# A unit without a name, or a scope without a baseline, keeps the key.
+_KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
 def panel_documents(totals: DataFrame, tables: DataFrame) -> DataFrame:
     """The panels of all scopes as JSON documents, ``doc``, with the columns that place them.
 
     A chart is one document: its slices or bars are few by nature. A table comes as a document per
-    row, because nothing bounds the number of child units and no task should have to hold them all.
-    ``totals`` carries the baseline.
+    row, because nothing bounds the number of child units and no task should have to hold them all;
+    ``position`` orders the rows of a table, the total first, then by name with unnamed ones last.
+    Numbers are as they are. ``totals`` carries the baseline.
     """
     n_slices = len(AT_RISK_BANDS) + 1
     bands = [(F.lit(b.label), b) for b in AT_RISK_BANDS]
@@ -182,11 +183,12 @@ def panel_documents(totals: DataFrame, tables: DataFrame) -> DataFrame:
     def donut(i):
         rest = F.col("pop_total") - at_risk(i.key)
         slices = [
-            F.struct(label.alias("label"), F.col(cell_name(i.key, b)).cast(_SHARE).alias("value")) for label, b in bands
-        ] + [F.struct(F.lit(NOT_AT_RISK_LABEL).alias("label"), rest.cast(_SHARE).alias("value"))]
+            F.struct(label.alias("label"), F.col(cell_name(i.key, b)).alias("value")) for label, b in bands
+        ] + [F.struct(F.lit(NOT_AT_RISK_LABEL).alias("label"), rest.alias("value"))]
         assert len(slices) == n_slices
         return F.to_json(
-            F.struct(F.lit(i.key).alias("key"), F.lit(i.title).alias("title"), F.array(*slices).alias("child"))
+            F.struct(F.lit(i.key).alias("key"), F.lit(i.title).alias("title"), F.array(*slices).alias("child")),
+            _KEEP_NULLS,
         )
 
     def bar(i):
@@ -195,8 +197,9 @@ def panel_documents(totals: DataFrame, tables: DataFrame) -> DataFrame:
                 F.lit(i.key).alias("key"),
                 F.lit(i.title).alias("title"),
                 F.array(*[label for label, _ in bands]).alias("labels"),
-                F.array(*[F.col(cell_name(i.key, b)).cast(_WHOLE) for _, b in bands]).alias("values"),
-            )
+                F.array(*[F.col(cell_name(i.key, b)) for _, b in bands]).alias("values"),
+            ),
+            _KEEP_NULLS,
         )
 
     charts = F.array(
@@ -219,8 +222,14 @@ def panel_documents(totals: DataFrame, tables: DataFrame) -> DataFrame:
         "index_key",
         F.lit(False).alias("is_total"),
         F.lit(None).cast("string").alias("child_code"),
+        F.lit(None).cast("int").alias("position"),
         "doc",
     )
+    position = F.row_number().over(
+        Window.partitionBy("scope_level", "scope_code", "index_pos").orderBy(
+            F.col("is_total").desc(), F.col("na_en").asc_nulls_last(), F.col("child_code").asc_nulls_last()
+        )
+    )
     table = tables.select(
         "scope_level",
         "scope_code",
@@ -229,18 +238,28 @@ def panel_documents(totals: DataFrame, tables: DataFrame) -> DataFrame:
         "index_key",
         "is_total",
         "child_code",
+        position.alias("position"),
         F.to_json(
             F.struct(
                 F.col("index_key").alias("key"),
                 "title",
                 F.col("na_en").alias("name"),
-                F.array(*[F.col(b.key).cast(_WHOLE) for b in AT_RISK_BANDS]).alias("values"),
-            )
+                F.array(*[F.col(b.key) for b in AT_RISK_BANDS]).alias("values"),
+            ),
+            _KEEP_NULLS,
         ).alias("doc"),
     )
     return chart_rows.unionByName(table)
 
 
+def area_panel_documents(totals: DataFrame, label: str) -> DataFrame:
+    """The panels of drawn areas, from ``aoi_id``, cells and ``pop_total``: an area has no child units."""
+    scoped = totals.withColumns({"scope_level": F.lit("area"), "code": F.col("aoi_id").cast("string")})
+    named = scoped.withColumns({"scope_code": F.col("code"), "na_en": F.lit(label)})
+    ids = ("scope_level", "scope_code")
+    return panel_documents(scoped, table_rows(named, named.where(F.lit(False)), ids))
+
+
 def write_panels(documents: DataFrame, path: str) -> None:
     """Write panel documents as JSON lines, a folder per scope level and panel."""
     documents.write.mode("overwrite").partitionBy("scope_level", "panel").json(path)

@@ -1,45 +1,74 @@
-"""Boundary features in GeoJSON."""
+"""Boundary features in GeoJSON.
+
+A feature is kept as it was read, as a variant value beside the columns made of it, so that its id,
+other members and properties nobody asked for survive until it is written again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+FEATURE = "feature"
+GEOMETRY = "geometry"
 
 
-def read_features(spark: SparkSession, path: str, properties: str | None = None, collection: bool = True) -> DataFrame:
-    """Features of GeoJSON files: the properties as columns, ``geometry`` as JSON text.
+def read_features(spark: SparkSession, path: str, properties: str | None = None, collection: bool = False) -> DataFrame:
+    """Features of GeoJSON files: properties as columns, ``geometry`` as JSON text, the whole as ``feature``.
 
-    ``collection=True`` reads FeatureCollection documents, a document per file; ``False`` reads one
-    feature per line, which Spark can split. ``properties`` is the DDL schema of the properties;
-    without it the files are read once more to find out.
+    One feature per line, which Spark can split; ``collection=True`` reads FeatureCollection
+    documents, each of which is one record, however long. ``properties`` is the DDL schema of the
+    properties; without it the files are read once more to find out. What is no JSON, or does not
+    fit the schema, fails the query.
     """
+    lines = spark.read.text(path, wholetext=collection).where("trim(value) <> ''")
+    features = lines.select(F.parse_json("value").alias(FEATURE))
+    if collection:
+        features = features.selectExpr(f"explode(variant_get({FEATURE}, '$.features', 'array<variant>')) as {FEATURE}")
     if properties is None:
-        found = spark.read.json(path, multiLine=collection).schema
-        feature = found["features"].dataType.elementType if collection else found
-        property_type = feature["properties"].dataType
+        found = features.selectExpr(f"schema_of_variant_agg(variant_get({FEATURE}, '$.properties', 'variant'))").first()[0]
+        record = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    else:
+        record = f"struct<{properties}>"
+    return features.selectExpr(
+        f"variant_get({FEATURE}, '$.properties', '{record}') as properties",
+        f"to_json(variant_get({FEATURE}, '$.geometry', 'variant')) as {GEOMETRY}",
+        FEATURE,
+    ).select("properties.*", GEOMETRY, FEATURE)
+
+
+def _names(names: list[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names])
+
+
+def feature_lines(features: DataFrame) -> DataFrame:
+    """``value``: a GeoJSON feature per row, from its columns and, if it is there, the ``feature`` it came from.
+
+    Columns replace properties of their names. One that is NULL is written as null, unless the
+    feature never had it; what is no column stays as it was.
+    """
+    names = [c for c in features.columns if c not in (GEOMETRY, FEATURE)]
+    new = F.create_map(*[x for c in names for x in (F.lit(c), F.col(f"`{c}`").cast("variant"))])
+    if FEATURE in features.columns:
+        members = F.expr(f"cast({FEATURE} as map<string, variant>)")
+        old = F.coalesce(
+            F.expr(f"try_cast(variant_get({FEATURE}, '$.properties', 'variant') as map<string, variant>)"),
+            F.expr("cast(map() as map<string, variant>)"),
+        )
+        new = F.map_filter(new, lambda k, v: v.isNotNull() | F.map_contains_key(old, k))
+        kept = F.map_filter(old, lambda k, v: ~F.array_contains(_names(names), k))
+        properties = F.map_concat(kept, new)
     else:
-        property_type = T.StructType.fromDDL(properties)
-    feature_type = T.StructType().add("geometry", T.StringType()).add("properties", property_type)
-    if not collection:
-        return spark.read.schema(feature_type).json(path).select("properties.*", "geometry")
-    schema = T.StructType().add("features", T.ArrayType(feature_type))
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.inline("features"))
-    return rows.select("properties.*", "geometry")
+        members = F.create_map(F.lit("type"), F.lit("Feature").cast("variant"))
+        properties = new
+    replaced = {"properties": F.to_variant_object(properties)}
+    if GEOMETRY in features.columns:
+        replaced[GEOMETRY] = F.parse_json(F.coalesce(F.col(GEOMETRY), F.lit("null")))
+    others = F.map_filter(members, lambda k, v: ~F.array_contains(_names(list(replaced)), k))
+    whole = F.map_concat(others, F.create_map(*[x for k, v in replaced.items() for x in (F.lit(k), v)]))
+    return features.select(F.to_json(F.to_variant_object(whole)).alias("value"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """One GeoJSON feature per line; properties that are NULL are left out."""
-    names = [c for c in features.columns if c != "geometry"]
-    geometry = F.lit("null")
-    if "geometry" in features.columns:
-        # The text may come from an indented document; JSON has no line breaks inside its strings.
-        geometry = F.coalesce(F.translate("geometry", "\r\n", "  "), geometry)
-    line = F.concat(
-        F.lit('{"type":"Feature","properties":'),
-        F.to_json(F.struct(*names)),
-        F.lit(',"geometry":'),
-        geometry,
-        F.lit("}"),
-    )
-    features.select(line.alias("value")).write.mode("overwrite").text(path)
+    """One GeoJSON feature per line."""
+    feature_lines(features).write.mode("overwrite").text(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.registry import COUNTRY_LABEL, DISTRICT, DRAWN_AREA, PROVINCE, SETTLEMENT
+from checks.registry import AREA_LABEL, COUNTRY_LABEL, DISTRICT, DRAWN_AREA, PROVINCE, SETTLEMENT
 from checks.views import VIEWS
 
 # Fixed values, stated here once more so that the SQL does not lean on the library.
@@ -65,33 +65,38 @@ PROVINCES = f"select h_prov as code, prov_na_en as na_en, {SUMS} from joined gro
 DISTRICTS = f"select prov_code_1 as parent, h_dist as code, dist_na_en as na_en, {SUMS} from joined group by 1, 2, 3"
 
 EDGES = r"""
-with rings as (
-  select aoi_id, ord, generate_subscripts(r, 1) - 1 as ring, unnest(r) as txt
-  from (select aoi_id, ord, regexp_extract_all(wkt, '\(([^()]+)\)', 1) as r from aoi)
+with parts as (
+  select aoi_id, ord, generate_subscripts(p, 1) - 1 as part, unnest(p) as txt
+  from (select aoi_id, ord, string_split_regex(wkt, '\)\s*\)\s*,\s*\(\s*\(') as p from aoi)
+), rings as (
+  select aoi_id, ord, part, generate_subscripts(r, 1) - 1 as ring, unnest(r) as txt
+  from (select aoi_id, ord, part, string_split_regex(txt, '\)\s*,\s*\(') as r from parts)
 ), points as (
-  select aoi_id, ord, ring, generate_subscripts(p, 1) - 1 as pos, trim(unnest(p)) as txt
-  from (select aoi_id, ord, ring, string_split(txt, ',') as p from rings)
+  select aoi_id, ord, part, ring, generate_subscripts(p, 1) - 1 as pos, trim(unnest(p)) as txt
+  from (select aoi_id, ord, part, ring, string_split(regexp_replace(txt, '[A-Z()]', '', 'g'), ',') as p from rings)
 ), coordinates as (
-  select aoi_id, ord, ring, pos, cast(split_part(txt, ' ', 1) as double) as x, cast(split_part(txt, ' ', 2) as double) as y
+  select aoi_id, ord, part, ring, pos,
+         cast(split_part(txt, ' ', 1) as double) as x, cast(split_part(txt, ' ', 2) as double) as y
   from points
 ), pairs as (
-  select aoi_id, ord, ring, pos, x as x1, y as y1,
+  select aoi_id, ord, part, ring, pos, x as x1, y as y1,
          lead(x) over w as x2, lead(y) over w as y2
-  from coordinates window w as (partition by aoi_id, ord, ring order by pos)
+  from coordinates window w as (partition by aoi_id, ord, part, ring order by pos)
 )
-select aoi_id, ord, cast(ring as int) as ring, cast(pos as int) as pos, x1, y1, x2, y2 from pairs where x2 is not null
+select aoi_id, ord, cast(part as int) as part, cast(ring as int) as ring, cast(pos as int) as pos, x1, y1, x2, y2
+from pairs where x2 is not null
 """
 
 # Every settlement against every edge. The side of an edge is told by the sign of a product, not by
 # a division: a settlement at (72.85, 35.05) shows that the division rounds to the wrong side.
 INSIDE = """
 select distinct aoi_id, vuid from (
-  select aoi_id, ord, vuid,
+  select aoi_id, ord, part, vuid,
          bool_or(lon between least(x1, x2) and greatest(x1, x2) and lat between least(y1, y2) and greatest(y1, y2)
                  and turn = 0) as on_edge,
          sum(case when (y1 > lat) <> (y2 > lat) and (turn > 0) = (y2 > y1) then 1 else 0 end) as hits
   from (select *, (x2 - x1) * (lat - y1) - (lon - x1) * (y2 - y1) as turn from edges, settlement)
-  group by aoi_id, ord, vuid
+  group by aoi_id, ord, part, vuid
 ) where on_edge or hits % 2 = 1
 """
 
@@ -102,6 +107,14 @@ from (select distinct aoi_id from aoi) a left join (
 ) s on a.aoi_id = s.aoi_id
 """
 
+AREA_BASE = """
+select a.aoi_id, coalesce(s.pop_total, 0) as pop_total
+from (select distinct aoi_id from aoi union select 99) a left join (
+  select i.aoi_id, sum(p.vuid_population) as pop_total
+  from inside i join settlement p on i.vuid = p.vuid group by i.aoi_id
+) s on a.aoi_id = s.aoi_id
+"""
+
 DERIVED = {
     "joined": (JOINED, ("hazard", "settlement")),
     "levels": (LEVELS, ("joined",)),
@@ -110,6 +123,17 @@ DERIVED = {
     "edges": (EDGES, ("aoi",)),
     "inside": (INSIDE, ("edges", "settlement")),
     "areas": (AREAS, ("aoi", "inside", "joined")),
+    "area_base": (AREA_BASE, ("aoi", "inside", "settlement")),
+    "area_based": (
+        "select 'area' as scope_level, cast(b.aoi_id as varchar) as code, b.pop_total, "
+        + ", ".join(f"coalesce(a.{c}, 0) as {c}" for c in CELLS)
+        + " from area_base b left join areas a using (aoi_id)",
+        ("area_base", "areas"),
+    ),
+    "last_district": (
+        "select * from districts qualify row_number() over (partition by code order by na_en desc nulls first) = 1",
+        ("districts",),
+    ),
     "last_province": (
         "select * from provinces qualify row_number() over (partition by code order by na_en desc nulls first) = 1",
         ("provinces",),
@@ -219,31 +243,35 @@ SCOPE_TABLES = _union(
     + _table("districts", "'province' as scope_level, parent as scope_code,", False, "code", "na_en")
 )
 
+AREA_TABLES = _union(_table("area_based", "scope_level, code as scope_code,", True, NO_CODE, f"'{AREA_LABEL}'"))
+
 
-def _documents() -> str:
-    def text(sql: str, type_name: str) -> str:
-        return f"cast(cast({sql} as {type_name}) as varchar)"
+def _documents(source: str, tables: str) -> str:
+    def text(sql: str) -> str:
+        return f"coalesce(cast({sql} as varchar), 'null')"
 
     parts = []
     for n, (i, (title, table, _)) in enumerate(INDEXES.items(), start=1):
         head = f"""'{{"key":"{i}","title":"{title}",'"""
-        slices = [f"""'{{"label":"{BANDS[b][0]}","value":' || {text(f"{i}_{b}", "decimal(20,2)")} || '}}'""" for b in PANEL_BANDS]
+        slices = [f"""'{{"label":"{BANDS[b][0]}","value":' || {text(f"{i}_{b}")} || '}}'""" for b in PANEL_BANDS]
         rest = f"pop_total - {_at_risk(i)}"
-        slices.append(f"""'{{"label":"Not at Risk","value":' || {text(rest, "decimal(20,2)")} || '}}'""")
+        slices.append(f"""'{{"label":"Not at Risk","value":' || {text(rest)} || '}}'""")
         donut = head + """ || '"child":[' || """ + " || ',' || ".join(slices) + " || ']}'"
         labels = ",".join(f'"{BANDS[b][0]}"' for b in PANEL_BANDS)
-        values = " || ',' || ".join(text(f"{i}_{b}", "bigint") for b in PANEL_BANDS)
+        values = " || ',' || ".join(text(f"{i}_{b}") for b in PANEL_BANDS)
         bar = head + f""" || '"labels":[{labels}],"values":[' || {values} || ']}}'"""
         for panel, document in (("donut", donut), ("bar", bar)):
             parts.append(
                 f"select scope_level, code as scope_code, '{panel}' as panel, {n} as index_pos, '{i}' as index_key,"
-                f" false as is_total, {NO_CODE} as child_code, {document} as doc from based"
+                f" false as is_total, {NO_CODE} as child_code, cast(null as int) as position, {document} as doc from {source}"
             )
-    values = " || ',' || ".join(text(b, "bigint") for b in PANEL_BANDS)
+    values = " || ',' || ".join(text(b) for b in PANEL_BANDS)
     parts.append(
         "select scope_level, scope_code, 'table' as panel, index_pos, index_key, is_total, child_code,"
-        """ '{"key":"' || index_key || '","title":"' || title || '","name":"' || na_en || '","values":[' || """
-        f"{values} || ']}}' as doc from tables"
+        " cast(row_number() over (partition by scope_level, scope_code, index_pos"
+        " order by is_total desc, na_en nulls last, child_code nulls last) as int) as position,"
+        """ '{"key":"' || index_key || '","title":"' || title || '","name":' || coalesce('"' || na_en || '"', 'null')"""
+        f""" || ',"values":[' || {values} || ']}}' as doc from {tables}"""
     )
     return _union(parts)
 
@@ -277,6 +305,25 @@ MATRIX = _union(
     ]
 )
 
+
+
+def _matrix_row(index: str, record: str) -> str:
+    labels = {"no_risk": "None"} | {b: label for b, (label, _) in BANDS.items()}
+    marks = " || ',' || ".join(
+        f"""'"{key}":"' || case when {index}_class = '{label}' then 'X' else '' end || '"'""" for key, label in labels.items()
+    )
+    return f"""'{{"key":"{index}","title":"{record}",' || {marks} || '}}'"""
+
+
+_TEXTS = ("name_en", "dist_na_en", "prov_na_en", "area_text", "area_population_text", "vuid_population_text", "vuid_buildings_text")
+DOCUMENTS = (
+    "select vuid, '{' || "
+    + " || ',' || ".join(f"""'"{c}":' || coalesce('"' || {c} || '"', 'null')""" for c in _TEXTS)
+    + """ || ',"matrix":[' || """
+    + " || ',' || ".join(_matrix_row(i, record) for i, (_, _, record) in INDEXES.items())
+    + f" || ']}}' as doc from ({PROFILE})"
+)
+
 LONG = _union(
     [
         f"select scope_level, code, {n} as index_pos, '{i}' as index_key, {pos} as band_pos, '{b}' as band_key,"
@@ -304,9 +351,10 @@ from scope_request r join districts d on r.flag = 'currentProvince' and length(r
 
 BOUNDARY_CHILDREN = f"""
 select b.code, b.shape_name, l.na_en, case when l.code is not null then 0.0::double end as value,
-       {_named_cells("l.", PANEL_CELLS)}, 7 as set_jenk_divider
+       {_named_cells("l.", PANEL_CELLS)}, case when l.code is not null then 7 end as set_jenk_divider
 from boundary b left join last_province l on b.code = l.code
 """
+BOUNDARY_DISTRICTS = BOUNDARY_CHILDREN.replace("last_province", "last_district").replace("boundary b", "district_boundary b")
 BOUNDARY_PARENT = f"""
 select b.code, b.shape_name, '{DISTRICT}' as na_en, 0.0::double as value, {_named_cells("t.", PANEL_CELLS)},
        1 as set_jenk_divider
@@ -352,17 +400,20 @@ ORACLE = {
     ),
     "scope_tables": _with(SCOPE_TABLES, "levels", "provinces", "districts"),
     "panel_list": _with(
-        f"select * from (with tables as ({SCOPE_TABLES}) {_documents()})", "based", "provinces", "districts"
+        f"select * from (with tables as ({SCOPE_TABLES}) {_documents('based', 'tables')})", "based", "provinces", "districts"
     ),
     "quick_overview": _with(OVERVIEW, "based"),
     "child_last_wins": _with("select * from last_province", "last_province"),
     "boundary_children": _with(BOUNDARY_CHILDREN, "boundary", "last_province"),
+    "boundary_geojson": _with(BOUNDARY_CHILDREN, "boundary", "last_province"),
+    "boundary_district_children": _with(BOUNDARY_DISTRICTS, "district_boundary", "last_district"),
     "boundary_parent": _with(BOUNDARY_PARENT, "boundary", "joined"),
     "susceptibility_class": _with(
         "select vuid, " + ", ".join(f"{_label(i)} as {i}_class" for i in INDEXES) + " from hazard", "hazard"
     ),
     "susceptibility_matrix": _with(MATRIX, "hazard"),
     "settlement_profile": _with(PROFILE, "hazard"),
+    "settlement_documents": _with(DOCUMENTS, "hazard"),
     "settlement_record": _with(f"{PROFILE} where p.vuid = {SETTLEMENT}", "hazard"),
     "aoi_edges": _with("select * from edges", "edges"),
     "aoi_settlements": _with("select aoi_id, vuid from inside", "inside"),
@@ -373,4 +424,8 @@ ORACLE = {
         "inside",
     ),
     "exposure_aoi_batch": _with("select * from areas", "areas"),
+    "baseline_aoi": _with("select * from area_base where aoi_id <> 99", "area_base"),
+    "aoi_panel_list": _with(
+        f"select * from (with tables as ({AREA_TABLES}) {_documents('area_based', 'tables')})", "area_based"
+    ),
 }

@@ -11,13 +11,16 @@ from bandrisk.functions.bands import AT_RISK_BANDS
 from bandrisk.operators import boundary, classify, rollup, spatial
 from bandrisk.operators.join import settlement_hazard
 from bandrisk.plans import dashboard, panels, scope
-from bandrisk.sources.store import materialise
+from bandrisk.sources.areas import request_areas
+from bandrisk.sources.features import read_features, write_features
+from bandrisk.sources.store import Scratch, materialise
 from checks.views import derived_view
 
 PROVINCE = "07"
 DISTRICT = "0703"
 DRAWN_AREA = 1
 COUNTRY_LABEL = "COUNTRY"
+AREA_LABEL = "AREA"
 SETTLEMENT = 1234
 
 
@@ -56,18 +59,8 @@ def _children(t: Inputs, flag: str, code: str | None = None) -> DataFrame:
     return scope.scope_children(t.hazard, t.settlement, scope.Scope(flag, code))
 
 
-POINT_COLUMNS = ("vuid", "vuid_population", "lon", "lat")
-
-
 def _points(t: Inputs) -> DataFrame:
-    """Settlements for the area queries.
-
-    A small test table is one file, hence one task for the whole exact test; spread such a table
-    over the cores. A table of many files is left where it is.
-    """
-    points = t.settlement.select(*POINT_COLUMNS)
-    cores = t.spark.sparkContext.defaultParallelism
-    return points.repartition(cores, "vuid") if len(points.inputFiles()) < cores else points
+    return t.settlement.select("vuid", "lon", "lat")
 
 
 def aoi_settlements(t: Inputs) -> DataFrame:
@@ -75,20 +68,50 @@ def aoi_settlements(t: Inputs) -> DataFrame:
 
 
 def aoi_union_settlements(t: Inputs) -> DataFrame:
-    return spatial.points_in_areas(_points(t), spatial.index_areas(t.aoi)).select("vuid")
+    return spatial.points_in_areas(_points(t), spatial.index_areas(t.aoi, union=True)).select("vuid")
 
 
 def exposure_aoi(t: Inputs) -> DataFrame:
-    areas = spatial.index_areas(t.aoi.where(F.col("aoi_id") == DRAWN_AREA))
-    return scope.scope_total(t.hazard, _points(t), scope.Scope(scope.AREA_FLAG, areas=areas))
+    areas = spatial.index_areas(t.aoi.where(F.col("aoi_id") == DRAWN_AREA), union=True)
+    return scope.scope_total(t.hazard, t.settlement, scope.Scope(scope.AREA_FLAG, areas=areas))
 
 
 def exposure_aoi_batch(t: Inputs) -> DataFrame:
-    return scope.area_totals(t.hazard, _points(t), t.aoi, spatial.index_areas(t.aoi))
+    index = spatial.index_areas(t.aoi)
+    return scope.area_totals(scope.scope_cells(t.hazard, t.settlement, index), t.aoi, index)
 
 
 def exposure_scope_batch(t: Inputs) -> DataFrame:
-    return scope.request_totals(t.scope_request, t.levels(), exposure_aoi_batch(t))
+    index = spatial.index_areas(t.aoi)
+    cells = scope.scope_cells(t.hazard, t.settlement, index, rollup.LEVEL_KEYS)
+    levels = rollup.level_totals(scope.level_cube(cells))
+    return scope.request_totals(t.scope_request, levels, scope.area_totals(cells, t.aoi, index))
+
+
+def baseline_aoi(t: Inputs) -> DataFrame:
+    return scope.area_baseline(t.settlement, t.aoi, spatial.index_areas(t.aoi))
+
+
+def aoi_panel_list(t: Inputs) -> DataFrame:
+    """Panels of every drawn area, from request bodies."""
+    requests = t.aoi_request
+    index = spatial.index_areas(request_areas(requests))
+    totals = scope.area_totals(scope.scope_cells(t.hazard, t.settlement, index), requests, index)
+    based = totals.join(scope.area_baseline(t.settlement, requests, index), "aoi_id")
+    return panels.area_panel_documents(based, AREA_LABEL)
+
+
+def boundary_geojson(t: Inputs) -> DataFrame:
+    """The provinces' features written as GeoJSON, read again and enriched."""
+    path = Scratch(t.spark).path()
+    write_features(t.boundary, path)
+    read = read_features(t.spark, path, "code string, shape_name string")
+    return boundary.with_children(read, t.provinces()).drop("feature", "geometry")
+
+
+def boundary_district_children(t: Inputs) -> DataFrame:
+    districts = rollup.district_children(t.cube(rollup.DISTRICT_KEYS)).drop("parent_code")
+    return boundary.with_children(t.district_boundary, districts)
 
 
 def table_with_total(t: Inputs) -> DataFrame:
@@ -157,9 +180,14 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "child_last_wins": lambda t: boundary.last_name_wins(t.provinces()),
     "boundary_children": lambda t: boundary.with_children(t.boundary, t.provinces()),
     "boundary_parent": boundary_parent,
+    "boundary_geojson": boundary_geojson,
+    "boundary_district_children": boundary_district_children,
     "susceptibility_class": lambda t: classify.susceptibility_class(t.hazard),
     "susceptibility_matrix": lambda t: classify.susceptibility_matrix(classify.susceptibility_class(t.hazard)),
     "settlement_profile": lambda t: classify.settlement_profile(t.hazard, t.settlement),
+    "settlement_documents": lambda t: classify.settlement_documents(
+        classify.settlement_profile(t.hazard, t.settlement)
+    ),
     "settlement_record": lambda t: classify.settlement_record(
         classify.settlement_profile(t.hazard, t.settlement), SETTLEMENT
     ),
@@ -168,6 +196,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "aoi_union_settlements": aoi_union_settlements,
     "exposure_aoi": exposure_aoi,
     "exposure_aoi_batch": exposure_aoi_batch,
+    "baseline_aoi": baseline_aoi,
+    "aoi_panel_list": aoi_panel_list,
 }
 
 

@@ -16,8 +16,8 @@ select o_orderkey as vuid,
        concat(lpad(cast(n_nationkey + 1 as string), 2, '0'),
               case c_mktsegment when 'AUTOMOBILE' then '01' when 'BUILDING' then '02'
                 when 'FURNITURE' then '03' when 'HOUSEHOLD' then '04' else '05' end) as dist_code,
-       concat(n_name, '/', c_mktsegment) as dist_na_en,
-       cast(cast(floor(o_totalprice) as bigint) % 4000 as double) / 4 as vuid_population,
+       nullif(concat(n_name, '/', c_mktsegment), 'JAPAN/BUILDING') as dist_na_en,
+       cast(cast(floor(o_totalprice) as bigint) % 4000 as double) / 8 as vuid_population,
        cast(cast(floor(o_totalprice) as bigint) % 5000 as double) / 4 as area_population,
        cast(floor(o_totalprice) as bigint) % 300 as vuid_buildings,
        cast((o_orderkey * 3571) % 90000000 as double) as area_sqm,
@@ -57,7 +57,8 @@ select cast(aoi_id as bigint) as aoi_id, ord, wkt from (values
   (1, 1, 'POLYGON ((65 33,70 33,68 37,65 33))'),
   (2, 0, 'MULTIPOLYGON(((70 29,72 31,70 33,68 31,70 29)),((60.5 29.5,61 29.5,61 30,60.5 29.5)))'),
   (3, 0, 'POLYGON((70 29,72 31,70 33,68 31,70 29))'),
-  (3, 1, 'POLYGON((70 29,72 31,70 33,68 31,70 29))')
+  (3, 1, 'POLYGON((70 29,72 31,70 33,68 31,70 29))'),
+  (4, 0, 'MULTIPOLYGON(((62 30,66 30,66 34,62 34,62 30)),((64 32,68 32,68 36,64 36,64 32),(65 35,66 35,66 35.5,65 35)))')
 ) as t(aoi_id, ord, wkt)
 union all
 select 1000 + s_suppkey, 0,
@@ -97,6 +98,19 @@ select 500000 + aoi_id, case when aoi_id % 2 = 0 then 'drawArea' else 'otherFlag
 from (select distinct aoi_id from {aoi}) as a
 """
 
+# Request bodies: each area's texts as a list, and one without any.
+AOI_REQUEST = """
+select aoi_id, array_sort(collect_list(named_struct('ord', ord, 'wkt', wkt))).wkt as spatialfilter,
+       'drawArea' as flag, '' as code
+from {aoi} group by aoi_id
+union all select 99, array(), 'drawArea', ''
+"""
+
+DISTRICT_BOUNDARY = """
+select distinct dist_code as code, concat('district ', dist_code) as shape_name from {settlement}
+union all select '9999', 'district without settlements'
+"""
+
 # In order of dependence.
 VIEWS = {
     "settlement": (SETTLEMENT, ("orders", "customer", "nation")),
@@ -105,6 +119,8 @@ VIEWS = {
     "boundary": (BOUNDARY, ("nation",)),
     "block": (BLOCK, ("supplier",)),
     "aoi": (AOI, ("block",)),
+    "aoi_request": (AOI_REQUEST, ("aoi",)),
+    "district_boundary": (DISTRICT_BOUNDARY, ("settlement",)),
     "scope_request": (SCOPE_REQUEST, ("customer", "aoi")),
 }
 

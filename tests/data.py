@@ -7,8 +7,8 @@ SETTLEMENT = (
 )
 
 # Index values on and around every band edge, and the label each must get.
-EDGE_VALUES = [None, -1.0, 0.0, 0.99, 1.0, 1.99, 2.0, 3.99, 4.0, 4.99, 5.0, 6.99, 7.0, 9.0, 100.0]
-EDGE_LABELS = ["None"] * 4 + ["Very Low"] * 2 + ["Low"] * 2 + ["Moderate"] * 2 + ["High"] * 2 + ["Very High"] * 3
+EDGE_VALUES = [None, -1.0, 0.0, 0.99, 1.0, 1.99, 2.0, 3.99, 4.0, 4.99, 5.0, 6.99, 7.0, 9.0, 100.0, float("nan")]
+EDGE_LABELS = ["None"] * 4 + ["Very Low"] * 2 + ["Low"] * 2 + ["Moderate"] * 2 + ["High"] * 2 + ["Very High"] * 3 + ["None"]
 
 
 def hazard(spark, rows):

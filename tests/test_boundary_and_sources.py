@@ -40,8 +40,19 @@ def geojson():
     return {
         "type": "FeatureCollection",
         "features": [
-            {"type": "Feature", "geometry": square, "properties": {"code": "01", "shape_name": "x", "rank": 3}},
-            {"type": "Feature", "geometry": many, "properties": {"code": "99", "shape_name": "y", "rank": 4}},
+            {
+                "type": "Feature",
+                "id": 17,
+                "bbox": [0, 0, 1, 1],
+                "geometry": square,
+                "properties": {"code": "01", "shape_name": "x", "rank": 3, "note": None},
+            },
+            {
+                "type": "Feature",
+                "id": "b",
+                "geometry": many,
+                "properties": {"code": "99", "shape_name": "y", "rank": 4, "list": [1, {"a": None}], "na_en": None},
+            },
         ],
     }
 
@@ -64,9 +75,33 @@ def test_features_there_and_back(spark, tmp_path, collection, properties):
         f["geometry"] for f in document["features"]
     ]
     assert by_code["01"]["properties"]["na_en"] == "A" and by_code["01"]["properties"]["rank"] == 3
-    untouched = by_code["99"]["properties"]
-    assert untouched.pop("set_jenk_divider") == 7
-    assert untouched == {"code": "99", "shape_name": "y", "rank": 4}
+    # What was read stays: ids, other members, and properties that are null or unknown here.
+    assert by_code["99"] == document["features"][1]
+    assert by_code["01"]["id"] == 17 and by_code["01"]["bbox"] == [0, 0, 1, 1]
+    assert by_code["01"]["properties"]["note"] is None
+
+
+@pytest.mark.parametrize("collection", [True, False])
+def test_a_broken_document_fails(spark, tmp_path, collection):
+    good = json.dumps(geojson() if collection else geojson()["features"][0])
+    (tmp_path / "a.json").write_text(good)
+    (tmp_path / "b.json").write_text(good[: len(good) // 2])
+    with pytest.raises(Exception, match="MALFORMED|malformed|JSON"):
+        feature_source.read_features(spark, str(tmp_path), "code string", collection).collect()
+
+
+def test_features_made_here_keep_their_nulls(spark):
+    df = spark.createDataFrame([("01", None)], "code string, note string")
+    assert json.loads(feature_source.feature_lines(df).first().value) == {
+        "type": "Feature",
+        "properties": {"code": "01", "note": None},
+    }
+
+
+def test_a_broken_request_fails(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"aoi_id": 1, "spatialfilter": []}\n{"aoi_id": 2, "spatialf')
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        area_source.read_requests(spark, str(tmp_path / "r.json")).collect()
 
 
 def test_requests(spark, tmp_path):
@@ -126,7 +161,6 @@ def test_materialise_uses_the_checkpoint_folder(spark):
     h, s = small_country(spark)
     cube = rollup.admin_cube(settlement_hazard(h, s))
     stored = store.materialise(cube)
-    assert spark.sparkContext.getCheckpointDir() is not None
     assert "Join" not in stored._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, stored.collect())) == sorted(map(str, cube.collect()))
 
@@ -148,7 +182,9 @@ def test_panel_documents(spark, tmp_path):
         json.loads(r.doc)
         for r in back.where("scope_level = 'country' and panel = 'table' and index_key = 'lsi_ku'").collect()
     ]
-    assert {"key", "title", "name", "values"} == set(table[0])
+    assert all({"key", "title", "name", "values"} == set(t) for t in table)
+    places = [r.position for r in back.where("scope_level = 'country' and panel = 'table' and index_key = 'lsi_ku'").collect()]
+    assert sorted(places) == list(range(1, len(table) + 1))
     assert sorted((t.get("name") or "", t["values"]) for t in table) == [
         ("", [0, 0, 0, 0]),
         ("A", [10, 0, 20, 0]),

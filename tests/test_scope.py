@@ -64,7 +64,7 @@ def test_totals_and_children_of_each_scope(spark):
 def test_area_scope(spark):
     h, s = small_country(spark)
     areas = spark.createDataFrame([(1, 0, COUNTRY_AREA), (1, 1, COUNTRY_AREA)], "aoi_id bigint, ord int, wkt string")
-    index = spatial.index_areas(areas)
+    index = spatial.index_areas(areas, union=True)
     drawn = Scope("drawArea", areas=index)
     assert scope.scope_total(h, s, drawn).first() == scope.scope_total(h, s, Scope()).first()
     assert scope.scope_children(h, s, drawn).count() == 0
@@ -91,8 +91,18 @@ def test_requests_in_one_job(spark):
         ],
         "req_id bigint, flag string, code string, aoi_id bigint",
     )
-    by_area = scope.area_totals(h, s, areas, spatial.index_areas(areas))
-    rows = {r.req_id: r for r in scope.request_totals(requests, rollup.level_totals(cube), by_area).collect()}
+    index = spatial.index_areas(areas)
+    asked = areas.select("aoi_id").union(spark.createDataFrame([(13,)], "aoi_id bigint"))
+    stored = scope.scope_cells(h, s, index, rollup.LEVEL_KEYS)
+    by_area = scope.area_totals(stored, asked, index).cache()
+    # An area without polygons has its zeros too, with and without the admin levels in the same pass.
+    assert {r.aoi_id for r in by_area.collect()} == {11, 12, 13}
+    alone = scope.area_totals(scope.scope_cells(h, s, index), asked, index)
+    assert sorted(map(str, alone.collect())) == sorted(map(str, by_area.collect()))
+    assert {r.aoi_id: r.pop_total for r in scope.area_baseline(s, asked, index).collect()} == {11: 1271.0, 12: 0.0, 13: 0.0}
+    levels = rollup.level_totals(scope.level_cube(stored))
+    assert sorted(map(str, levels.collect())) == sorted(map(str, rollup.level_totals(cube).collect()))
+    rows = {r.req_id: r for r in scope.request_totals(requests, levels, by_area).collect()}
     cells = rollup.cell_names()
     for n, single in {
         1: Scope(),
@@ -136,6 +146,14 @@ def test_dashboard_of_the_country(spark):
     enriched = {r.code: r for r in parts["features"].collect()}
     assert enriched["01"].na_en == "B" and enriched["01"].set_jenk_divider == 7
     assert enriched["99"].na_en is None and enriched["99"].value is None
+    assert enriched["99"].set_jenk_divider is None
+
+
+def test_features_of_children_need_no_totals(spark):
+    h, s, base = dashboard_inputs(spark)
+    features = spark.createDataFrame([("01", "x")], "code string, shape string")
+    parts = dashboard.dashboard(h, s, Scope(), base, "Country", features, includes=("children", "features"))
+    assert set(parts) == {"children", "features"} and parts["features"].first().na_en == "B"
 
 
 def test_dashboard_of_a_district(spark):

@@ -22,7 +22,7 @@ def points(spark, *xy):
 
 def covered(spark, wkts, xy, **how):
     """Positions of the points that the polygons cover."""
-    index = spatial.index_areas(areas(spark, *wkts), **how)
+    index = spatial.index_areas(areas(spark, *wkts), union=True, **how)
     return sorted(r.vuid for r in spatial.points_in_areas(points(spark, *xy), index).collect())
 
 
@@ -58,6 +58,7 @@ def test_rows_with_the_same_id_stay_apart(spark):
     both = spark.createDataFrame([(7, 1.0, 1.0), (7, 1.0, 1.0), (7, 9.0, 9.0)], POINTS)
     index = spatial.index_areas(areas(spark, SQUARE, SQUARE))
     assert spatial.points_by_area(both, index).count() == 2
+    index = spatial.index_areas(areas(spark, SQUARE, SQUARE), union=True)
     assert spatial.points_in_areas(both, index).count() == 2
 
 
@@ -67,6 +68,28 @@ def test_multipolygon_and_number_formats(spark):
     assert covered(spark, [wkt], xy) == [0, 1]
 
 
+@pytest.mark.parametrize("cell", [None, 0.25, 8.0])
+def test_overlapping_parts_of_a_multipolygon_do_not_cancel(spark, cell):
+    wkt = "MULTIPOLYGON(((0 0,4 0,4 4,0 4,0 0)),((2 2,6 2,6 6,2 6,2 2),(4.5 4.5,5 4.5,5 5,4.5 5,4.5 4.5)))"
+    xy = [(3.0, 3.0), (1.0, 1.0), (5.5, 5.5), (4.75, 4.75), (7.0, 7.0), (2.0, 2.0), (5.0, 1.0)]
+    assert covered(spark, [wkt], xy, cell=cell) == [0, 1, 2, 5]
+
+
+def test_sums_of_many_areas_against_pairs(spark):
+    """Sums from cells against sums over the pairs of point and area, in cells of every size."""
+    rows = [(n, n * 37 % 1100 / 100 - 1, n * 53 % 1300 / 100 - 1) for n in range(1500)]
+    pts = spark.createDataFrame(rows, POINTS)
+    other = "POLYGON((3 3,12 4,7 12,3 3),(5 5,6 5,6 6,5 5))"
+    many = areas(spark, SQUARE, other).unionByName(areas(spark, WITH_HOLE, aoi_id=2)).unionByName(areas(spark, other, aoi_id=3))
+    for how in ({}, {"cell": 0.0625}, {"cell": 1.0, "broadcast_limit": 0}):
+        index = spatial.index_areas(many, **how)
+        stored = spatial.cell_sums(pts, index, {"n": "count(1)", "s": "sum(vuid)"}).cache()
+        got = {r.aoi_id: (r.n, r.s) for r in spatial.area_sums(stored, index, ["n", "s"]).collect()}
+        pairs = spatial.points_by_area(pts, index).groupBy("aoi_id").agg({"vuid": "sum", "*": "count"}).collect()
+        assert got == {r.aoi_id: (r["count(1)"], r["sum(vuid)"]) for r in pairs} and len(got) == 3
+        assert pts.where("vuid >= 0").count() > sum(n for n, _ in got.values()) / 3
+
+
 def test_empty_polygons_and_no_areas_cover_nothing(spark):
     assert covered(spark, ["POLYGON EMPTY", "MULTIPOLYGON EMPTY"], [(0.0, 0.0)]) == []
     assert covered(spark, [], [(0.0, 0.0)]) == []
@@ -146,24 +169,34 @@ def test_against_exact_arithmetic(spark):
 
 
 def test_cell_size_follows_the_areas(spark):
-    small = spatial.cell_size(areas(spark, "POLYGON((0 0,0.1 0,0.1 0.1,0 0.1,0 0))"))
-    large = spatial.cell_size(areas(spark, "POLYGON((-170 -80,170 -80,170 80,-170 80,-170 -80))"))
-    assert small < 0.01 < 1 < large
-    assert spatial.area_cells(areas(spark, SQUARE), spatial.cell_size(areas(spark, SQUARE))).count() <= (
-        spatial.CELLS_PER_POLYGON
-    )
+    def size(*wkts):
+        return spatial.cell_size(spatial.area_shapes(areas(spark, *wkts)))
 
+    small = size("POLYGON((0 0,0.1 0,0.1 0.1,0 0.1,0 0))")
+    large = size("POLYGON((-170 -80,170 -80,170 80,-170 80,-170 -80))")
+    assert small < 0.01 < large
+    cells = spatial.area_cells(spatial.area_shapes(areas(spark, SQUARE)), size(SQUARE))
+    assert cells.where("not whole").count() <= spatial.CELLS_PER_AREA
 
-def test_cells_stay_fine_when_polygons_are_many(spark, monkeypatch):
+
+def test_cells_stay_fine_when_areas_are_many(spark, monkeypatch):
     monkeypatch.setattr(spatial, "MAX_CELLS", 1)
-    assert spatial.cell_size(areas(spark, *["POLYGON((0 0,1 0,1 1,0 1,0 0))"] * 50)) <= 0.25
+    square = "POLYGON((0 0,1 0,1 1,0 1,0 0))"
+    many = spark.createDataFrame([(n, 0, square) for n in range(50)], AREAS)
+    assert spatial.cell_size(spatial.area_shapes(many)) <= 0.25
+
+
+def test_diagonal_edges_touch_only_the_cells_they_cross(spark):
+    triangle = spatial.area_shapes(areas(spark, "POLYGON((0.1 0.1,8.1 0.3,8.3 8.2,0.1 0.1))"))
+    cells = spatial.area_cells(triangle, 0.125).where("not whole").count()
+    assert cells < 3 * 3 * 64 and spatial.area_cells(triangle, 0.125).where("whole and step > 0").count() > 0
 
 
 def test_inner_cells_carry_no_edges(spark):
-    cells = spatial.area_cells(areas(spark, SQUARE), 0.5)
+    cells = spatial.area_cells(spatial.area_shapes(areas(spark, SQUARE)), 0.5)
     whole = cells.where("whole")
     assert whole.count() == 49  # the outer ring of cells touches the border
-    assert whole.where("edges is not null").count() == 0
+    assert whole.where("parts is not null").count() == 0
 
 
 def test_grid_never_decreases(spark):
@@ -179,5 +212,5 @@ def test_broadcast_only_when_measured_small(spark):
     large = spatial.points_by_area(pts, spatial.index_areas(areas(spark, SQUARE), broadcast_limit=0))
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "salt" in plan
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2
     assert "NestedLoop" not in plan and "Cartesian" not in plan
