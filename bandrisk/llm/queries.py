@@ -102,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_histogram_sort": op10_histogram_sort,
 }
 
-_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -111,12 +111,87 @@ def _sets(table: str, name: str) -> str:
     tokens = _WORDS.format(text=_LOWER.format(text="text"))
     return f"""
         select distinct {name}, md5(text) as mark, unnest(case
-            when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
             when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle
         from (select {name}, text, {tokens} as w from {table} where text is not null)"""
 
 
+# Every window of 35 words as text; the words that a repeated one covers; what is left.
+_SUBSTRING = rf"""
+with d as (select row_number() over () as r, doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
+win as (
+  select r, s, md5(array_to_string(w[s:s + 34], ' ')) as mark
+  from (select r, w, unnest(range(1, len(w) - 33)) as s from d)
+), starts as (
+  select r, s from win semi join (select mark from win group by mark having count(*) > 1) m using (mark)
+), covered as (select distinct r, s + unnest(range(0, 35)) as pos from starts),
+word as (select r, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+cut as (
+  select r, count(c.pos) as n_removed, string_agg(word, ' ' order by pos) filter (where c.pos is null) as kept
+  from word left join covered c using (r, pos) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join cut using (r)"""
+
+
+def _rule(host: str, path: str, answer: int) -> str:
+    """The longest fitting rule (0) or its verdict (1), as SQL."""
+    cases = ""
+    for rule in sorted(url_filter.RULES, key=lambda r: -len(r[0])):
+        name, _, start = rule[0].partition("/")
+        fits = f"({host} = '{name}' or ends_with({host}, '.{name}')) and starts_with({path}, '/{start}')"
+        cases += f" when {fits} then '{rule[answer]}'"
+    return f"case{cases} end"
+
+
+def _url(url: str, part: str) -> str:
+    """``host``, ``path`` or ``node`` of a URL, as SQL."""
+    found = {
+        "host": r"(?s)^.*?://([^/?#]*)",
+        "path": r"(?s)^.*?://[^/?#]*([^?#]*)",
+        "rest": r"(?s)^.*?://[^/?#]*([^#]*)",
+    }
+    if part == "node":
+        host = _url(url, "host")
+        return f"case when {host} <> '' then {host} || {_url(url, 'rest')} end"
+    value = f"regexp_extract(coalesce({url}, ''), '{found[part]}', 1)"
+    return _LOWER.format(text=value) if part == "host" else value
+
+
+def _tag_value(name: str) -> str:
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    value = " || ".join(f"regexp_extract(tag, '{pattern}', {n})" for n in (1, 2, 3))
+    return f"trim(regexp_replace({value}, '(?i)&amp;', '&', 'g'))"
+
+
+_URLS = rf"""
+with recursive p as (select *, {_url("url", "host")} as host, {_url("url", "path")} as path, {_url("url", "node")} as node from pages),
+tags as (
+  select url, {", ".join(f'{_tag_value(n)} as a{k}' for k, n in enumerate(url_filter.TAG_ATTRIBUTES))}
+  from (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages where url is not null)
+), hrefs as (
+  select url, trim(case when regexp_matches(lower(a0), '(^|\s)canonical(\s|$)') then a3
+    when lower(a1) = 'refresh' then regexp_extract(a2, '(?is)url\s*=\s*[''"]?([^''"]*)', 1) end) as href,
+    regexp_extract(url, '(?s)^(.*?)://', 1) as scheme, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) as host,
+    regexp_extract({_url("url", "path")}, '(?s)^(.*/)', 1) as folder
+  from tags
+), targets as (
+  select url, case when contains(href, '://') then href when starts_with(href, '//') then scheme || ':' || href
+    when starts_with(href, '/') then scheme || '://' || host || href
+    else scheme || '://' || host || case when folder = '' then '/' else folder end || href end as target
+  from hrefs where href <> ''
+), links as (select {_url("url", "node")} as u, {_url("target", "node")} as v from targets),
+edges as (select u, v from links where u is not null and v is not null union select v, u from links where u is not null and v is not null),
+reach as (select u, v from edges union select r.u, e.v from reach r join edges e on r.v = e.u),
+owned as (select u, {_rule("regexp_extract(v, '(?s)^([^/?#]*)', 1)", "regexp_extract(v, '(?s)^[^/?#]*([^?#]*)', 1)", 1)} as own from reach),
+inherited as (select u from owned group by u having bool_or(coalesce(own, '') = 'block') and not bool_or(coalesce(own, '') = 'allow'))
+select page_id, host, path, {_rule("host", "path", 0)} as rule,
+  coalesce({_rule("host", "path", 1)}, case when node in (select u from inherited) then 'block' end, 'allow') as verdict
+from p"""
+
 ORACLE: dict[str, str] = {
+    "op4_redirect_equivalence": _URLS,
+    "op7_substring_dedup": _SUBSTRING,
     "op9_minhash_containment": f"""
         with d as ({_sets("documents", "doc_id")}), i as ({_sets("benchmark", "item_id")}),
         n as (select item_id, mark, count(*) as total from i group by all),
