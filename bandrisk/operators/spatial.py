@@ -1,7 +1,7 @@
 """Settlements within drawn areas.
 
 A drawn area is a list of polygon texts and covers what any of their polygons covers. Each area is
-cut into the cells of a grid in three steps, from coarse to fine: a cell that lies wholly inside one
+cut into the cells of a grid step by step, from coarse to fine: a cell that lies wholly inside one
 of its polygons is kept as it is, one that lies outside all of them is dropped, and one that an edge
 touches is cut further, down to the finest size. Finest cells that are still touched keep, for each
 polygon, the edges that can matter in them. The cells of an area do not overlap, so a settlement
@@ -32,7 +32,7 @@ from bandrisk.sources.store import materialise
 CELL_SIZES = tuple(2.0**-k for k in range(-3, 11))
 # Each step cuts a cell into so many along each side; sizes of cells are counted in steps from the finest.
 FANOUT_BITS = 3
-STEPS = 2
+STEPS = 1
 # Touched cells to aim for: many per area while there are few areas, not too few when there are many.
 CELLS_PER_AREA = 2048
 MIN_CELLS_PER_AREA = 128
@@ -119,12 +119,8 @@ def _cut(cells: DataFrame, cell: float, first: bool) -> DataFrame:
     spread = 1 << FANOUT_BITS
     edges = "flatten(parts.edges)"
     if first:
-        south, north = (
-            grid_cell(f"{pick}({edges}.{end})", cell, LAT_RANGE)
-            for pick, end in (("array_min", "south"), ("array_max", "north"))
-        )
         cells = cells.where(f"size({edges}) > 0").selectExpr("*", "0 as step", "false as whole", "0 as cx", "0 as cy")
-        down = f"sequence({south}, {north})"
+        down = f"sequence(array_min({edges}.bottom), array_max({edges}.top))"
         across = f"sequence(array_min({edges}.left), array_max({edges}.right))"
     else:
         # Closed cells stay one row.
@@ -134,15 +130,24 @@ def _cut(cells: DataFrame, cell: float, first: bool) -> DataFrame:
     passes = f"e.at = {_RIGHT} and e.bottom < cy and e.top > cy"
     middle = covers("p.edges", f"((cx + 0.5D) * {cell}D)", f"((cy + 0.5D) * {cell}D)", "p.crossed")
     return (
-        cells.selectExpr("aoi_id", "step", "whole", "cx", "parts", f"explode({down}) as cy")
+        cells.selectExpr(
+            "aoi_id",
+            "step",
+            "whole",
+            "cx",
+            "cy",
+            f"""transform(parts, p -> named_struct('crossed', p.crossed, 'edges',
+                transform(p.edges, e -> {_placed("e", cell)}))) as parts""",
+        )
+        .selectExpr("aoi_id", "step", "whole", "cx", "parts", f"explode({down}) as cy")
         .selectExpr(
             "aoi_id",
             "step",
             "whole",
             "cx",
             "cy",
-            f"""transform(parts, p -> named_struct('crossed', p.crossed, 'edges', filter(
-                transform(p.edges, e -> {_placed("e", cell)}), e -> e.bottom <= cy and e.top >= cy))) as parts""",
+            """transform(parts, p -> named_struct('crossed', p.crossed, 'edges',
+                filter(p.edges, e -> e.bottom <= cy and e.top >= cy))) as parts""",
         )
         .where(f"size({edges}) > 0" if first else "true")
         .selectExpr("aoi_id", "step", "whole", "cy", "parts", f"explode({across}) as cx")
@@ -187,8 +192,10 @@ def area_cells(shapes: DataFrame, cell: float) -> DataFrame:
     """
     start = shapes.selectExpr("aoi_id", "transform(parts, edges -> named_struct('crossed', 0, 'edges', edges)) as parts")
     cells = _cut(start, cell * (1 << (FANOUT_BITS * STEPS)), first=True)
-    # Few areas may make most of the cells, and a file of requests is read by few tasks.
-    cells = cells.repartition("aoi_id", "cx", "cy")
+    # Few areas may make most of the cells, and a file of requests is read by few tasks. A number is
+    # given because the planner would merge partitions by their bytes, which are few before the cut.
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, "aoi_id", "cx", "cy")
     for step in reversed(range(STEPS)):
         cells = _cut(cells, cell * (1 << (FANOUT_BITS * step)), first=False)
     return cells
