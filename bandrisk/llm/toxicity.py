@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from bandrisk.llm.text import as_bytes, text_key
 
 # Labelled documents in the training sample, and features that get a weight per category.
-TRAIN_DOCUMENTS = 8_000
+TRAIN_DOCUMENTS = 6_000
 FEATURES = 2048
 MIN_DOCUMENTS = 4
 HASH_BITS = 22
@@ -49,7 +49,7 @@ def features(text: bytes) -> np.ndarray:
         for n in BEGINNINGS:
             if len(letters) > n:
                 found.add(digest(letters[:n].encode(), 1) & mask)
-    return np.fromiter(found, np.int64, len(found))
+    return np.fromiter(found, np.int32, len(found))
 
 
 @dataclass
@@ -124,8 +124,11 @@ def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, before: np.nd
 def train_chain(texts: Sequence[np.ndarray], labels: np.ndarray, seed: int = 3) -> list[Linear]:
     """One model per column of ``labels``, in order, trained with out-of-fold probabilities of those before."""
     count, categories = labels.shape
-    rows = np.repeat(np.arange(count), [len(t) for t in texts])
-    columns = np.concatenate(texts) if count else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(count, dtype=np.int32), [len(t) for t in texts])
+    columns = np.concatenate(texts) if count else np.zeros(0, np.int32)
+    # Features too rare for any fold go first; this looks at no label.
+    often = np.bincount(columns, minlength=1 << HASH_BITS)[columns] >= MIN_DOCUMENTS
+    rows, columns = rows[often], columns[often]
     fold = np.random.default_rng(seed).permutation(count) % FOLDS
     before = np.zeros((count, 0))
     chain = []
@@ -134,7 +137,7 @@ def train_chain(texts: Sequence[np.ndarray], labels: np.ndarray, seed: int = 3)
         unseen = np.zeros(count)
         for n in range(FOLDS if category < categories - 1 else 0):
             inside, outside = np.flatnonzero(fold != n), np.flatnonzero(fold == n)
-            renumber = np.full(count, -1)
+            renumber = np.full(count, -1, np.int32)
             renumber[inside] = np.arange(len(inside))
             used = renumber[rows] >= 0
             model = fit(renumber[rows[used]], columns[used], target[inside], before[inside])
@@ -152,7 +155,7 @@ def _featured(batches) -> Iterator[pa.RecordBatch]:
         found = [features(text.as_py()) for text in batch.column("_bytes")]
         kept = [batch.column(c) for c in batch.schema.names if c != "_bytes"]
         names = [c for c in batch.schema.names if c != "_bytes"]
-        yield pa.record_batch([*kept, pa.array(found, pa.list_(pa.int64()))], [*names, "_features"])
+        yield pa.record_batch([*kept, pa.array(found, pa.list_(pa.int32()))], [*names, "_features"])
 
 
 def _score(batches, shared) -> Iterator[pa.RecordBatch]:
@@ -161,7 +164,7 @@ def _score(batches, shared) -> Iterator[pa.RecordBatch]:
         found = [features(text.as_py()) for text in batch.column("_bytes")]
         count = len(found)
         rows = np.repeat(np.arange(count), [len(f) for f in found])
-        columns = np.concatenate(found) if found else np.zeros(0, np.int64)
+        columns = np.concatenate(found) if found else np.zeros(0, np.int32)
         before = np.zeros((count, 0))
         for model in chain:
             before = np.column_stack([before, model(rows, columns, count, before)])
@@ -174,16 +177,29 @@ def _score(batches, shared) -> Iterator[pa.RecordBatch]:
 def train_on(docs: DataFrame, labels: DataFrame, categories: Sequence[str], documents: int = TRAIN_DOCUMENTS) -> list[Linear]:
     """A chain for ``categories``, columns of 0 and 1 of ``labels(doc_id, ...)``.
 
-    The sample holds at most ``documents`` labelled documents, the first by a hash of id and text.
+    The sample holds the documents of at most ``documents`` labels, the first by a hash of the id.
     Only the numbers of their features come to the driver. Labels that are NULL and documents without
     an id or label are left out.
     """
-    named = labels.select("doc_id", *categories).dropna().distinct()
-    first = docs.select("doc_id", "text").join(named, "doc_id").withColumn("_order", F.xxhash64("doc_id", text_key(F.col("text"))))
-    sample = first.select("_order", *categories, as_bytes(F.col("text")).alias("_bytes")).orderBy("_order").limit(documents)
+    known = labels.select("doc_id", *categories).dropna()
+    named = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(documents)
+    # Never more than `documents` short rows, so the texts stay where they are.
+    found = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")
+    sample = (
+        found.select(
+            F.xxhash64("doc_id", text_key(F.col("text"))).alias("_order"), *categories, as_bytes(F.col("text")).alias("_bytes")
+        )
+        .orderBy("_order", *categories)
+        .limit(documents)
+    )
     schema = "_order bigint, " + ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in categories)
-    rows = sample.mapInArrow(_featured, f"{schema}, _features array<bigint>").toPandas()
-    return train_chain([np.asarray(f) for f in rows["_features"]], rows[list(categories)].to_numpy(float)) if len(rows) else []
+    rows = sample.mapInArrow(_featured, f"{schema}, _features array<int>").toArrow()
+    if not rows.num_rows:
+        return []
+    found = rows["_features"].combine_chunks()
+    ends = np.asarray(found.offsets)
+    texts = np.split(found.values.to_numpy(), ends[1:-1])
+    return train_chain(texts, np.column_stack([rows[c].to_numpy() for c in categories]).astype(float))
 
 
 def predict(docs: DataFrame, chain: list[Linear], categories: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
