@@ -341,10 +341,14 @@ def train(words: Sequence[str], pages: int = TRAIN_PAGES, seed: int = 5) -> Fore
 
 def sample_words(pages: DataFrame, count: int = SAMPLE_PAGES) -> list[str]:
     """Words of a bounded sample: the first ``count`` pages by a hash of their markup, a middle piece of long ones."""
+    marked = pages.where("html IS NOT NULL").withColumn("order", F.xxhash64("html"))
+    # Only numbers go through the choice; markup comes to the driver once it is chosen.
+    first = [r.order for r in marked.select("order").distinct().orderBy("order").limit(count).collect()]
     start = F.greatest(F.lit(1), (F.length("html") - SAMPLE_CHARACTERS) / 2).cast("int")
-    piece = F.substring(F.col("html"), start, F.lit(SAMPLE_CHARACTERS)).alias("piece")
-    rows = pages.where("html IS NOT NULL").select(F.xxhash64("html").alias("order"), piece).orderBy("order", "piece")
-    return [w for row in rows.limit(count).collect() for b in Page(row.piece).blocks for w in b.text.split()]
+    piece = F.substring(F.col("html"), start, F.lit(SAMPLE_CHARACTERS))
+    chosen = marked.where(F.col("order").isin(first)).groupBy("order").agg(F.min(piece).alias("piece"))
+    rows = sorted(chosen.collect(), key=lambda row: row.order)
+    return [w for row in rows for b in Page(row.piece).blocks for w in b.text.split()]
 
 
 def _groups(pages: list[str]) -> Iterator[list[str]]:
