@@ -36,7 +36,7 @@ STEPS = 1
 # Touched cells to aim for: many per area while there are few areas, not too few when there are many.
 CELLS_PER_AREA = 2048
 MIN_CELLS_PER_AREA = 128
-MAX_CELLS = 1 << 18
+MAX_CELLS = 1 << 16
 # Measured bytes up to which cells are broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
