@@ -291,18 +291,12 @@ def train_on(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model | None:
     return train([bytes(r.segment) for r in rows], [r.lang for r in rows]) if rows else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs(text, ...)`` with ``lang_pred`` and ``score``.
-
-    A NULL text and one without a letter is ``und`` with score 0, and so is every text where there
-    was nothing to learn from. All other texts get a learned language and the mean probability of
-    that language over all bytes. Columns with the names of the new ones are replaced; all others
-    pass through, repeated rows too.
-    """
+def _labelled(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``predict`` with one more column ``_letters``: whether the text has a letter."""
     rows = docs.drop("lang_pred", "score")
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return rows.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return rows.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "_letters": letters})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     bare = F.when(letters, as_bytes(F.col("text"))).otherwise(F.lit(b""))
@@ -314,12 +308,28 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         *[F.col(f"`{c}`") for c in rows.columns],
         F.when(F.col("_letters"), F.col("_guess")).otherwise(UNDETERMINED).alias("lang_pred"),
         F.when(F.col("_letters"), F.col("_score")).otherwise(0.0).alias("score"),
+        "_letters",
     )
 
 
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs(text, ...)`` with ``lang_pred`` and ``score``.
+
+    A NULL text and one without a letter is ``und`` with score 0, and so is every text where there
+    was nothing to learn from. All other texts get a learned language and the mean probability of
+    that language over all bytes. Columns with the names of the new ones are replaced; all others
+    pass through, repeated rows too.
+    """
+    return _labelled(docs, model).drop("_letters")
+
+
 def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told; the model learns from the rows themselves."""
+    """``docs`` without the rows whose text is NULL or has no letter, whether or not a language could be learned.
+
+    The model learns from the rows themselves. A text with a letter stays also where there is
+    nothing to learn from, or where a learned language is named ``und``.
+    """
     # Columns of the input that have the names of the new ones are set aside meanwhile.
     aside = {"lang_pred": "_input_lang_pred", "score": "_input_score"}
-    found = predict(docs.withColumnsRenamed(aside), train_on(docs)).where(F.col("lang_pred") != UNDETERMINED)
+    found = _labelled(docs.withColumnsRenamed(aside), train_on(docs)).where("_letters")
     return found.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bandrisk.llm import html_extract, langid, toxicity, trees
 from bandrisk.llm.dom import Page
@@ -44,6 +45,26 @@ def test_texts_without_a_language(spark):
     assert langid.predict(unlabelled, model).count() == 0
 
 
+@pytest.mark.parametrize("labels", ["none", "held out"])
+def test_stage_keeps_texts_without_labels(spark, labels):
+    docs = clashing(documents(spark, odd_rows()))
+    if labels == "none":
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    else:
+        docs = docs.where(langid.held_out(F.col("doc_id")) | F.col("lang").isNull())
+        assert docs.where("lang is not null and text is not null").count() > 0
+    assert langid.train_on(docs) is None
+    kept = langid.drop_undetermined(docs)
+    expected = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert kept.dtypes == docs.dtypes and expected
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, expected))
+
+
+def test_stage_keeps_texts_labelled_und(spark):
+    docs = documents(spark, [(n, text(n, 9), "und", "a", 1) for n in range(20)] + [(20, "12", "und", "a", 1)])
+    assert langid.drop_undetermined(docs).count() == 20
+
+
 def test_gradients_of_the_recurrent_network():
     rng = np.random.default_rng(0)
     model = langid.train([b"abc", b"xyz"], ["a", "b"], hidden=3, seed=1)
