@@ -28,11 +28,12 @@ _CLOSES = {
 CLOSES = {name: (frozenset(ends.split()), frozenset(stop.split())) for name, (ends, stop) in _CLOSES.items()}
 _STOPS_P = frozenset("table td th button object caption".split())
 
-# A quoted value of any usual length may hold a ">"; without its closing quote a tag ends at the next ">".
+# A tag whose quoted values are short ends in the pattern; any other is scanned by ``_Ends``.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]{0,9999}"|'[^']{0,9999}')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)(?:([^>"']{0,999}+(?:(?:"[^"]{0,999}"|'[^']{0,999}')[^>"']{0,999}+){0,30}+)>)?+""",
     re.S,
 )
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NAMING = frozenset("class id role aria-label itemprop name data-testid data-component".split())
@@ -63,6 +64,48 @@ class Block:
     text: str = ""
 
 
+class _Ends:
+    """Where the tags of a page end: at the first ">" outside quotes, or the first one if a quote has no end.
+
+    Quotes that are known to lead to no end are remembered, so that many open ones take no longer.
+    """
+
+    def __init__(self, html: str):
+        self._html = html
+        self._dead: set[int] = set()
+        # From each of these places on there is no further quote of the kind.
+        self._last = {'"': len(html), "'": len(html)}
+        self._special = (0, -1)
+
+    def _next(self, at: int) -> int:
+        """The next quote or ">" from a place on, or -1."""
+        begin, found = self._special
+        if not (begin <= at and (found >= at or found < 0 < begin)):
+            match = _SPECIAL.search(self._html, at)
+            found = match.start() if match else -1
+            self._special = (max(at, 1), found)
+        return found
+
+    def __call__(self, at: int) -> int:
+        """The place of the ">" of the tag whose name ends at ``at``, or -1."""
+        html, seen, look = self._html, [], at
+        while True:
+            place = self._next(look)
+            if place >= 0 and html[place] == ">":
+                return place
+            if place < 0 or place in self._dead:
+                break
+            seen.append(place)
+            kind = html[place]
+            close = html.find(kind, place + 1) if place < self._last[kind] else -1
+            if close < 0:
+                self._last[kind] = min(self._last[kind], place)
+                break
+            look = close + 1
+        self._dead.update(seen)
+        return html.find(">", at)
+
+
 class Page:
     """The tree of a page. Element 0 is the root; elements and blocks are in page order."""
 
@@ -156,23 +199,30 @@ class Page:
                 return
 
     def _parse(self, html: str) -> None:
-        at, end = 0, len(html)
+        at, end, ends = 0, len(html), _Ends(html)
         while at < end:
             found = _TOKEN.search(html, at)
             if found is None:
                 self._add_text(unescape(html[at:]))
                 return
+            name, attributes, after = found[2], found[3], found.end()
+            if name is not None and attributes is None:
+                over = ends(after)
+                if over < 0:
+                    # No tag ends from here on; only a comment without an end can follow.
+                    comment = html.find("<!--", found.start())
+                    self._add_text(unescape(html[at : comment if comment >= 0 else end]))
+                    return
+                attributes, after = html[found.end() : over], over + 1
             if found.start() > at:
                 self._add_text(unescape(html[at : found.start()]))
-            at = found.end()
-            name = found[2] or found[5]
+            at = after
             if name is None:
                 continue
             tag = name.lower()
-            if found[1] or found[4]:
+            if found[1]:
                 self._close(tag)
                 continue
-            attributes = found[3] if found[2] else found[6]
             if tag in OPAQUE:
                 if tag not in ("head", "svg", "math", "object", "canvas") or not attributes.rstrip().endswith("/"):
                     closing = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I)

@@ -174,6 +174,23 @@ def test_a_page_by_hand(forest):
     ]
 
 
+def test_long_attributes_hold_markup(forest):
+    for quote in "\"'":
+        value = "1 > 0 <p>no text</p>" * 1000
+        page = Page(f"<div data-x={quote}{value}{quote} class=c><p>Text.</p></div>")
+        assert [e.tag for e in page.elements] == ["#root", "div", "p"] and page.elements[1].tokens == ("c",)
+        assert [b.text for b in page.blocks] == ["Text."]
+        held = ARTICLE.replace("<p>Second", f"<p data-x={quote}{value}{quote}>Second")
+        assert html_extract.main_texts([held], forest) == html_extract.main_texts([ARTICLE], forest)
+
+
+def test_quotes_without_an_end():
+    # Each quote ends at that of the next tag, and the last one nowhere.
+    page = Page("<p>a" + "<i z='>u" * 20001)
+    assert page.blocks[0].text == "a" + "u" * 10001 and len(page.elements) == 10003
+    assert [b.text for b in Page("<p title='x>one</p><p>two</p>").blocks] == ["one", "two"]
+
+
 def test_labels_agree_up_and_down(forest):
     page = Page(ARTICLE)
     rng = np.random.default_rng(0)
