@@ -6,12 +6,21 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Their content is no text.
-OPAQUE = frozenset("script style noscript template textarea title iframe svg math object canvas select head".split())
+# The last five are of formulas.
+VOID = frozenset(
+    "area base br col embed hr img input link meta param source track wbr"
+    " mspace mprescripts none mglyph malignmark".split()
+)
+# Their content is no text. Annotations repeat a formula in another notation and are not shown.
+OPAQUE = frozenset(
+    "script style noscript template textarea title iframe svg object canvas select head annotation annotation-xml".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr button input".split()
+    " span strike strong sub sup time tt u var wbr button input"
+    " math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose"
+    " msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction mglyph"
+    " maligngroup malignmark mstack mlongdiv msgroup msrow mscarries mscarry msline".split()
 )
 # Opening one of these ends an open element of the second column, up to one of the third.
 _CLOSES = {
@@ -224,7 +233,7 @@ class Page:
                 self._close(tag)
                 continue
             if tag in OPAQUE:
-                if tag not in ("head", "svg", "math", "object", "canvas") or not attributes.rstrip().endswith("/"):
+                if tag not in ("head", "svg", "object", "canvas", "annotation", "annotation-xml") or not attributes.rstrip().endswith("/"):
                     closing = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I)
                     over = closing.search(html, at)
                     if over is None:

@@ -191,6 +191,21 @@ def test_quotes_without_an_end():
     assert [b.text for b in Page("<p title='x>one</p><p>two</p>").blocks] == ["one", "two"]
 
 
+FORMULA = (
+    '<math display="block"><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mspace width="1em"/><mo>&lt;</mo>'
+    '<mfrac><mn>1</mn><mi>n</mi></mfrac></mrow><annotation encoding="application/x-tex">x^2</annotation>'
+    '<annotation-xml encoding="MathML-Content"><apply><ci>x</ci></apply></annotation-xml></semantics></math>'
+)
+
+
+def test_formulas_are_text(forest):
+    page = ARTICLE.replace("It ends.", f"It ends, {FORMULA} it does.").replace("<p>First", "<p>First <math><mi>y</mi></math>")
+    assert html_extract.main_texts([page], forest)[0].split("\n")[1:3] == [
+        "First y paragraph here, with words <and> more of them.",
+        "Second paragraph runs on, and on, with an é in it. It ends, x2<1n it does.",
+    ]
+
+
 def test_labels_agree_up_and_down(forest):
     page = Page(ARTICLE)
     rng = np.random.default_rng(0)
