@@ -134,9 +134,9 @@ def build(vectors: np.ndarray, seed: int) -> Graph:
     return graph
 
 
-def _packed(graph: Graph, names: np.ndarray, originals: np.ndarray) -> bytes:
+def _packed(graph: Graph, names: np.ndarray, firsts: np.ndarray, originals: np.ndarray) -> bytes:
     """A graph as bytes; floors above the ground keep only the points that have links there."""
-    arrays = {"names": names, "originals": originals, "entry": np.array([graph.entry])}
+    arrays = {"names": names, "firsts": firsts, "originals": originals, "entry": np.array([graph.entry])}
     for n, floor in enumerate(graph.floors):
         used = np.flatnonzero((floor >= 0).any(axis=1))
         arrays[f"points{n}"], arrays[f"links{n}"] = used.astype(np.int32), floor[used]
@@ -145,7 +145,7 @@ def _packed(graph: Graph, names: np.ndarray, originals: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _unpacked(body: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
+def _unpacked(body: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     arrays = np.load(io.BytesIO(body))
     originals = arrays["originals"]
     floors = []
@@ -155,7 +155,8 @@ def _unpacked(body: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
         floor = np.full((len(originals), links.shape[1]), -1, np.int32)
         floor[arrays[f"points{n}"]] = links
         floors.append(floor)
-    return Graph(originals.astype(np.float32), floors, int(arrays["entry"][0])), arrays["names"], originals
+    graph = Graph(originals.astype(np.float32), floors, int(arrays["entry"][0]))
+    return graph, arrays["names"], arrays["firsts"], originals
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -167,25 +168,28 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _build_shard(keys: tuple, table: pa.Table) -> pa.Table:
     order = np.argsort(table["point"].to_numpy())
     originals = _matrix(table["vector"])[order]
-    body = _packed(build(originals.astype(np.float32), keys[0].as_py()), table["point"].to_numpy()[order], originals)
+    names, firsts = (table[name].to_numpy()[order] for name in ("point", "first"))
+    body = _packed(build(originals.astype(np.float32), keys[0].as_py()), names, firsts, originals)
     columns = [pa.array([keys[n].as_py()], pa.int32()) for n in (0, 1)]
     return pa.table([*columns, pa.array([body], pa.binary())], ["shard", "width", "graph"])
 
 
 def _search_shard(keys: tuple, graphs: pa.Table, queries: pa.Table, nearest: int, view: int) -> pa.Table:
-    names = ["query", "point", "score"]
-    asked, points, scores = [], [], []
+    names = ["query", "point", "first", "score"]
+    asked, points, smallest, scores = [], [], [], []
     if graphs.num_rows and queries.num_rows:
-        graph, numbers, originals = _unpacked(graphs["graph"][0].as_py())
+        graph, numbers, firsts, originals = _unpacked(graphs["graph"][0].as_py())
         vectors = _matrix(queries["vector"])
         for query, vector in zip(queries["query"].to_pylist(), vectors):
             _, found = graph.search(vector.astype(np.float32), view)
             exact = np.sqrt(((originals[found] - vector) ** 2).sum(axis=1))
-            best = np.lexsort((numbers[found], exact))[:nearest]
+            best = np.lexsort((numbers[found], firsts[found], exact))[:nearest]
             asked += [query] * len(best)
             points += numbers[found][best].tolist()
+            smallest += firsts[found][best].tolist()
             scores += exact[best].tolist()
-    return pa.table([pa.array(asked, pa.int64()), pa.array(points, pa.int64()), pa.array(scores, pa.float64())], names)
+    whole = [pa.array(column, pa.int64()) for column in (asked, points, smallest)]
+    return pa.table([*whole, pa.array(scores, pa.float64())], names)
 
 
 def nearest_neighbours(
@@ -198,8 +202,8 @@ def nearest_neighbours(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``nearest`` rows found for each row whose id ``every`` divides.
 
-    ``vectors(vec_id, embedding)`` are compared by Euclidean distance in double precision; ties go to
-    the smaller id, and a row is no neighbour of its own id. NULL and empty vectors, zero vectors and
+    ``vectors(vec_id, embedding)`` are compared by Euclidean distance in double precision; ties among
+    the points that the graphs find go to the smaller id, and a row is no neighbour of its own id. NULL and empty vectors, zero vectors and
     those with a NULL or non-finite component take no part, nor do rows without an id. Repeated rows
     count once. Vectors meet only those of their own length. Where there are fewer candidates, all
     come out, given that the graph finds them. Other columns are left out; no rows give no rows.
@@ -224,6 +228,7 @@ def nearest_neighbours(
         F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"),
         F.size("vector").alias("width"),
         "point",
+        F.col("ids")[0].alias("first"),
         "vector",
     )
     graphs = scratch.keep(
@@ -246,8 +251,8 @@ def nearest_neighbours(
     def search(group: tuple, graph: pa.Table, block: pa.Table) -> pa.Table:
         return _search_shard(group, graph, block, nearest + 1, view)
 
-    found = left.cogroup(right).applyInArrow(search, "query bigint, point bigint, score double")
-    by_query = Window.partitionBy("query").orderBy("score", "point")
+    found = left.cogroup(right).applyInArrow(search, "query bigint, point bigint, first bigint, score double")
+    by_query = Window.partitionBy("query").orderBy("score", "first", "point")
     merged = found.withColumn("_place", F.row_number().over(by_query)).where(F.col("_place") <= 2 * (nearest + 1))
     expanded = (
         merged.join(members.select("point", F.explode("ids").alias("vec_id")), "point")

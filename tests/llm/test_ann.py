@@ -51,6 +51,16 @@ def test_copies_ties_and_rows_that_take_no_part(spark):
     assert set(got) == {100, 200, 300}
 
 
+def test_many_vectors_at_one_distance(spark):
+    # A grid of 27 points, asked for from its middle: 6, 12 and 8 lie at one distance each; ids are in no order.
+    grid = [[x, y, z] for x in (1.0, 2.0, 3.0) for y in (1.0, 2.0, 3.0) for z in (1.0, 2.0, 3.0)]
+    for seed in range(3):
+        ids = np.random.default_rng(seed).permutation(np.arange(1, 28)).tolist()
+        rows = [(100 if v == [2.0, 2.0, 2.0] else i, v) for i, v in zip(ids, grid)]
+        assert search(spark, rows)[100] == exact(rows, 100, 10)
+        assert search(spark, rows, shard_points=14)[100] == exact(rows, 100, 10)
+
+
 def test_fewer_candidates_than_asked_for_and_none(spark):
     got = search(spark, [(0, [1.0, 2.0]), (1, [1.0, 3.0]), (7, [4.0, 2.0])])
     assert [i for i, _ in got[0]] == [1, 7]
