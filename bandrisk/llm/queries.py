@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandrisk.llm import ann, decontaminate, html_extract, langid, packing, sharding, simhash, substring, toxicity, url_filter
+from bandrisk.llm import (
+    ann,
+    decontaminate,
+    html_extract,
+    langid,
+    packing,
+    prefix_trie,
+    sharding,
+    simhash,
+    substring,
+    toxicity,
+    url_filter,
+)
 from bandrisk.sources.store import Scratch
 
 
@@ -89,6 +101,39 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Conversations in a family, whose first one lends its beginning to the others, and the lengths it lends.
+FAMILY, LENT = 5, 9
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """``conv_id, turns`` with the beginning of each conversation taken from the first of its family, if there is one."""
+    head = F.col("conv_id") - F.col("conv_id") % FAMILY
+    families = turns.groupBy(head.alias("head")).agg(
+        F.max(F.when(F.col("conv_id") == head, F.col("turns"))).alias("lender"),
+        F.collect_list(F.struct("conv_id", "turns")).alias("members"),
+    )
+    members = families.select("lender", F.inline("members"))
+    lent = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % LENT).cast("int")
+    own = F.slice("turns", lent + 1, F.greatest(F.size("turns"), F.lit(1)))
+    begun = F.slice(F.coalesce("lender", F.array().cast("array<binary>")), F.lit(1), lent)
+    return members.select("conv_id", F.concat(begun, own).alias("turns"))
+
+
+def op11_radix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.conversation_turns(_table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_trie(rebuilt(turns), Scratch(spark))
+    return nodes.select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"),
+        "ends_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_dom": op1_boosted_dom,
     "op2_small_world_search": op2_small_world_search,
@@ -100,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_first_fit_packing": op8_first_fit_packing,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_histogram_sort": op10_histogram_sort,
+    "op11_radix_trie": op11_radix_trie,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -189,7 +235,44 @@ select page_id, host, path, {_rule("host", "path", 0)} as rule,
   coalesce({_rule("host", "path", 1)}, case when node in (select u from inherited) then 'block' end, 'allow') as verdict
 from p"""
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit, as SQL."""
+    octets = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda a, e: {step}), 4294967295)"
+
+
+# Every beginning of every rebuilt conversation as a list of turns, and every pair of one and a longer one.
+_TRIE = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), o as (
+  select conv_id, list(struct_pack(role := role, text := text)
+    order by turn nulls first, sha256(strlen(role) || ':' || role || text)) as w
+  from t group by conv_id
+), r as (
+  select o.conv_id, list_concat(coalesce(b.w, [])[1:h], o.w[h + 1:]) as w
+  from (select *, ({_crc32("conv_id::varchar")} % {LENT})::int as h from o) o
+  left join o b on b.conv_id = o.conv_id - o.conv_id % {FAMILY}
+), p as (select conv_id, len(w) as n, unnest(range(0, len(w) + 1)) as depth, w from r),
+n as (
+  select depth, w[1:depth] as w, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256
+  from p group by all
+), kids as (select depth - 1 as depth, w[1:depth - 1] as w, count(*) as n from n where depth > 0 group by all),
+k as (select n.*, coalesce(kids.n, 0) as n_children from n left join kids using (depth, w)),
+up as (select *, unnest(range(0, depth + 1)) as place from k),
+below as (
+  select place as depth, w[1:place] as w, count(*) filter (where n_children = 0) as n_leaves,
+    sum((n_convs - 1) * case when depth > 0 then strlen(w[depth].text) else 0 end) as saved
+  from up group by all
+)
+select k.conv_id, k.depth, above.conv_id as parent_conv_id, k.n_convs, k.n_children, below.n_leaves,
+  below.saved::bigint as saved_tokens, k.ends_sha256
+from k join below using (depth, w) left join k above on above.depth = k.depth - 1 and above.w = k.w[1:k.depth - 1]"""
+
 ORACLE: dict[str, str] = {
+    "op11_radix_trie": _TRIE,
     "op4_redirect_equivalence": _URLS,
     "op7_substring_dedup": _SUBSTRING,
     "op9_minhash_containment": f"""

@@ -24,7 +24,7 @@ def test_query_against_its_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "conversations"):
         connection.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
     result = connection.execute(ORACLE[name])
     names = [d[0] for d in result.description]
