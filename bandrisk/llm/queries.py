@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandrisk.llm import (
@@ -13,6 +13,7 @@ from bandrisk.llm import (
     html_extract,
     langid,
     packing,
+    pii,
     prefix_trie,
     repair,
     sharding,
@@ -135,6 +136,23 @@ def op11_radix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(pii.sample_words(docs)))
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("_spans", lambda s: s["strict"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans")
+    )
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """The rows with one of five faults in a quarter of them, chosen by conversation and turn; NULL is a space."""
     space = F.lit(" ")
@@ -174,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_containment": op9_minhash_containment,
     "op10_histogram_sort": op10_histogram_sort,
     "op11_radix_trie": op11_radix_trie,
+    "op12_candidate_boosting": op12_candidate_boosting,
     "op13_lightest_repair": op13_lightest_repair,
 }
 
