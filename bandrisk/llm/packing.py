@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandrisk.llm.text import text_key
+from bandrisk.llm.workers import give_back, tidy
 
 SEQUENCE = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,12 +30,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 END = 1
 # UTF-8 bytes of text in a group; a token has one byte at least, so this bounds a group's tokens.
 GROUP_BYTES = 8 << 20
-# Words whose ids a task remembers.
-CACHE_WORDS = 400_000
-# Up to here the tokenizer libraries are known to agree on what letters and numbers are.
-PLAIN_END = "\u0250"
+# Beyond these the tokenizer libraries may not agree on what letters and numbers are.
+_BEYOND = re.compile("[^\0-\u024f]")
 _BREAK = re.compile(r"(?<=\S) ")
-_ODD_SPACE = re.compile(r"\s ")
 
 
 def tokenizer_paths(name: str = TOKENIZER, ranks: str = RANKS) -> tuple[str, str]:
@@ -42,28 +41,13 @@ def tokenizer_paths(name: str = TOKENIZER, ranks: str = RANKS) -> tuple[str, str
     return public_tokenizers.path(name), public_tokenizers.path(ranks)
 
 
-class _Words(dict):
-    """Ids of words after a space, as little-endian 16-bit numbers; unknown words are encoded and remembered."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(f" {word}")
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
 class Encoder:
     """Ids of a byte-level BPE vocabulary of up to 65,536 tokens, as little-endian 16-bit numbers.
 
-    A text is cut at spaces after a character that is no white space, where no token reaches
-    across, and the ids of such words are remembered. Unknown plain words are encoded by the faster
-    of the two libraries, all others by the tokenizer itself, and so are whole texts that hold the
-    name of a special token.
+    Plain texts are encoded whole by the faster of the two libraries. A text with other characters is
+    cut at spaces after a character that is no white space, where no token reaches across, and only
+    the words with such characters go through the tokenizer itself; whole texts do that hold the name
+    of a special token. The tokenizer is read when the first word needs it.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -71,33 +55,47 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("the vocabulary needs more than 16 bits")
+        self.path = path
         with open(ranks, "rb") as file:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.plain = tiktoken.Encoding(
             "plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         )
         with open(path, encoding="utf-8") as file:
-            self.special = [token["content"] for token in json.load(file).get("added_tokens", [])]
-        self.words = _Words(self._piece)
+            described = json.load(file)
+        if len(described["model"]["vocab"]) > 1 << 16:
+            raise ValueError("the vocabulary needs more than 16 bits")
+        self.special = [token["content"] for token in described.get("added_tokens", [])]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
 
-    def _piece(self, piece: str) -> bytes:
-        if max(piece, default="") < PLAIN_END:
-            return np.array(self.plain.encode_ordinary(piece), "<u2").tobytes()
-        return self._whole(piece)
+        return Tokenizer.from_file(self.path)
 
-    def __call__(self, text: str) -> bytes:
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> list[int]:
         if any(token in text for token in self.special):
             return self._whole(text)
-        first, *others = _BREAK.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return self._piece(first) + b"".join(map(self.words.__getitem__, others))
+        if not _BEYOND.search(text):
+            return self.plain.encode_ordinary(text)
+        ids: list[int] = []
+        plain: list[str] = []
+        for number, word in enumerate(_BREAK.split(text)):
+            piece = f" {word}" if number else word
+            if _BEYOND.search(word):
+                ids += self.plain.encode_ordinary("".join(plain))
+                ids += self._whole(piece)
+                plain.clear()
+            else:
+                plain.append(piece)
+        return ids + self.plain.encode_ordinary("".join(plain))
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u2").tobytes()
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -110,12 +108,19 @@ def encoder(paths: tuple[str, str]) -> Encoder:
     return _ENCODERS[paths]
 
 
-def _encode(batches, paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+@tidy
+def _encode(batches, paths: tuple[str, str], groups: int) -> Iterator[pa.RecordBatch]:
+    """Ids of the texts of a task, dealt into groups; equal rows go to one group after the other."""
     encode = encoder(paths)
     end = np.array([END], "<u2").tobytes()
+    seen: Counter[int] = Counter()
     for batch in batches:
         ids = pa.array([encode(text) + end for text in batch.column("text").to_pylist()], pa.binary())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("group"), ids], ["doc_id", "group", "ids"])
+        dealt = []
+        for key in batch.column("key").to_pylist():
+            dealt.append((key + seen[key]) % groups)
+            seen[key] += 1
+        yield pa.record_batch([batch.column("doc_id"), pa.array(dealt, pa.int64()), ids], ["doc_id", "group", "ids"])
 
 
 class TournamentTree:
@@ -232,7 +237,9 @@ def _pack_group(keys: tuple, table: pa.Table, capacity: int) -> pa.Table:
             rows["offset"].append(offset)
             offset += length
     types = [table.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
+    columns, pieces = list(rows), [pa.array(rows.pop(name), kind) for name, kind in zip(list(rows), types)]
+    give_back()
+    return pa.table(pieces, names=columns)
 
 
 def pack_documents(
@@ -248,19 +255,20 @@ def pack_documents(
     all there is to a NULL or empty text. Ids lie in exactly one piece each. Sequences are full, but
     for those whose length is a smaller power of two, at most eleven per group.
 
-    Groups are dealt by a hash of id, text and task, so copies and repeated rows spread out and a
-    retried task deals alike; their number follows the bytes of the input. Documents with equal or
-    NULL ids are packed as the rows they are. Other columns are left out; no rows give no rows.
+    Groups are dealt by a hash of id, text and task, and rows of a task that are equal in both go to
+    one group after the other, so copies and repeated rows spread out and a retried task deals alike;
+    their number follows the bytes of the input. Documents with equal or NULL ids are packed as the
+    rows they are. Other columns are left out; no rows give no rows.
     """
     paths = paths or tokenizer_paths()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    dealt = F.xxhash64("doc_id", text_key(F.col("text")), F.spark_partition_id())
+    key = F.xxhash64("doc_id", text_key(F.col("text")), F.spark_partition_id()).alias("key")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    encoded = rows.select(
-        "doc_id", F.pmod(dealt, F.lit(groups)).cast("bigint").alias("group"), "text"
-    ).mapInArrow(partial(_encode, paths=paths), f"doc_id {id_type}, group bigint, ids binary")
+    encoded = rows.select("doc_id", key, "text").mapInArrow(
+        partial(_encode, paths=paths, groups=groups), f"doc_id {id_type}, group bigint, ids binary"
+    )
 
     def packed(keys: tuple, table: pa.Table) -> pa.Table:
         return _pack_group(keys, table, capacity)

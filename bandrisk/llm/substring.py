@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandrisk.llm.text import as_bytes, text_key
+from bandrisk.llm.workers import tidy
 
 WINDOW = 35
 ANCHOR = 8
@@ -38,7 +39,7 @@ SKETCH_BITS = 27
 SKETCH_ROWS = 2
 BLOCK_BITS = 20
 # Words of whole documents a task works on at a time.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _ROLL_2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,6 +101,7 @@ def _cells(values: np.ndarray, row: int, bits: int) -> np.ndarray:
     return _mixed(values, 101 + row) >> np.uint64(64 - bits)
 
 
+@tidy
 def _sketch(batches, window: int, anchor: int, bits: int, rows: int) -> Iterator[pa.RecordBatch]:
     """The sketch of one partition: for every block, the cells hit once and those hit more often."""
     once = [np.zeros(0, np.uint64) for _ in range(rows)]
@@ -121,7 +123,7 @@ def _sketch(batches, window: int, anchor: int, bits: int, rows: int) -> Iterator
             _, found = anchors(word_hashes(text.as_py().split()), window, anchor)
             waiting.append(found)
             size += len(found)
-            if size > CHUNK_WORDS // 4:
+            if size > CHUNK_WORDS // 2:
                 absorb()
                 size = 0
     if waiting:
@@ -148,6 +150,7 @@ def _sketch(batches, window: int, anchor: int, bits: int, rows: int) -> Iterator
             yield pa.record_batch([*columns, pa.array([dense]), pa.array([body])], ["row", "block", "dense", "body"])
 
 
+@tidy
 def _merge(batches, bits: int) -> Iterator[pa.RecordBatch]:
     """Merged blocks as bitmaps of the cells hit more than once; rows come sorted by row and block."""
     block_bits = min(BLOCK_BITS, bits)
@@ -204,6 +207,7 @@ def _places(hashes: np.ndarray, sketch: Repeated, window: int, anchor: int) -> n
     return np.flatnonzero(sketch(lowest))
 
 
+@tidy
 def _candidates(batches, repeated, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """Windows to be grouped, each once per chunk; without a place if the chunk alone shows it to be repeated."""
     names = ["high", "low", "sure", "doc_id", "key", "start"]
@@ -257,6 +261,7 @@ def _candidates(batches, repeated, window: int, anchor: int) -> Iterator[pa.Reco
         yield flush(id_type)
 
 
+@tidy
 def _single_places(batches) -> Iterator[pa.RecordBatch]:
     """Places of windows that no other row has; rows come sorted by window."""
     names = ["doc_id", "key", "start"]
@@ -279,6 +284,7 @@ def _single_places(batches) -> Iterator[pa.RecordBatch]:
         yield held.select(names)
 
 
+@tidy
 def _by_document(batches) -> Iterator[pa.RecordBatch]:
     """One row per document with its places; rows come sorted by document and start."""
     names = ["single_id", "single_key", "single"]
@@ -317,6 +323,7 @@ def merged_sketch(docs: DataFrame, window: int, sketch_bits: int) -> Repeated:
     return Repeated([tuple(r) for r in merged.collect()], sketch_bits, SKETCH_ROWS)
 
 
+@tidy
 def _cut(batches, names: list[str], repeated, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """Every text without the words of its repeated windows."""
     sketch = repeated.value

@@ -57,6 +57,16 @@ def test_round_trip(spark, tokenizer, group_bytes):
     check_pieces(got, tokens, 256)
 
 
+def test_repeated_rows_of_one_task_spread_over_the_groups(spark):
+    rows = [(7, text(1, 50), None, None, None)] * 300 + [(n, text(n, 50), None, None, None) for n in range(10, 310)]
+    docs = documents(spark, rows).coalesce(1)
+    got = packing.pack_documents(docs, capacity=256, group_bytes=10_000).select("doc_id", "doc_tokens", "sequence_id").collect()
+    tokens = defaultdict(int)
+    for r in got:
+        tokens[r.sequence_id >> 32] += r.doc_tokens
+    assert len(tokens) >= 15 and max(tokens.values()) < 4 * sum(tokens.values()) / len(tokens)
+
+
 def test_no_rows(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
