@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandrisk.llm.text import as_bytes
+from bandrisk.llm.workers import tidy
 
 UNDETERMINED = "und"
 HIDDEN = 8
@@ -230,6 +231,7 @@ class Labeller:
         return logits.sum(axis=0).T
 
 
+@tidy
 def _predict(batches, shared) -> Iterator[pa.RecordBatch]:
     """Language and score of every row, block by block of segments."""
     label = Labeller(shared.value)
@@ -326,10 +328,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is NULL or has no letter, whether or not a language could be learned.
 
-    The model learns from the rows themselves. A text with a letter stays also where there is
-    nothing to learn from, or where a learned language is named ``und``.
+    The model learns from the rows themselves, and a NULL ``lang`` of a row that stays becomes the
+    language it predicts. A text with a letter stays also where there is nothing to learn from (a NULL
+    stays NULL then), or where a learned language is named ``und``.
     """
     # Columns of the input that have the names of the new ones are set aside meanwhile.
     aside = {"lang_pred": "_input_lang_pred", "score": "_input_score"}
-    found = _labelled(docs.withColumnsRenamed(aside), train_on(docs)).where("_letters")
-    return found.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+    model = train_on(docs)
+    found = _labelled(docs.withColumnsRenamed(aside), model).where("_letters")
+    values = {c: F.col(f"`{aside.get(c, c)}`") for c in docs.columns}
+    if model is not None:
+        values["lang"] = F.coalesce(values["lang"], F.col("lang_pred"))
+    return found.select(*[value.alias(c) for c, value in values.items()])

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from bandrisk.llm.components import connected_components
 from bandrisk.llm.text import as_bytes, text_key
+from bandrisk.llm.workers import tidy
 from bandrisk.sources.store import Scratch
 
 SHINGLE = 3
@@ -70,6 +71,7 @@ def fingerprint(text: bytes) -> int:
     return int((_BIT[2 * counts > total]).sum(dtype=np.uint64))
 
 
+@tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [fingerprint(text.as_py()) for text in batch.column("text")]
@@ -92,6 +94,7 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
 
+@tidy
 def _one_bit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every fingerprint itself and with each bit turned."""
     masks = np.concatenate([np.zeros(1, np.uint64), _BIT])
@@ -104,6 +107,7 @@ def _one_bit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         )
 
 
+@tidy
 def _shared_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links from each member of a variant to its smallest; rows come sorted by variant and fingerprint."""
     last_variant, first = None, None
@@ -124,6 +128,7 @@ def _shared_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield _pairs(links[:, 0].copy(), links[:, 1].copy())
 
 
+@tidy
 def _half_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a fingerprint sends to the holders of a half: an even one its own half, an odd one also its neighbours."""
     for batch in batches:
@@ -176,6 +181,7 @@ def _meet(side: int, half: np.ndarray, fp: np.ndarray, parts: int, part: int) ->
             yield _pairs(links[:, 0].copy(), links[:, 1].copy())
 
 
+@tidy
 def _meet_in_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's messages, group after group; they come sorted by side, number of parts and part."""
     pending: list[pa.RecordBatch] = []

