@@ -56,38 +56,132 @@ def wkt_parts(wkt: str) -> str:
         else transform(split({wkt}, r'\)\s*\)\s*,\s*\(\s*\('), part -> {edges}) end"""
 
 
-def test_edge(edge: str) -> str:
-    """The parts of an edge that ``covers`` needs.
+def test_edge(edge: str, reach: float = 16.0) -> str:
+    """The parts of an edge that ``side`` and ``covers`` need: its lower end first, its extent, and its slop.
 
-    ``run`` and ``rise`` are turned so that ``run * (y - y1) - (x - x1) * rise`` is positive for
-    points left of the edge, whichever way it was drawn, and zero on its line.
+    The slop is beyond the largest error of plain arithmetic for points up to ``reach`` from the edge; for upright and
+    level edges there is none.
     """
-    upward = f"{edge}.y2 > {edge}.y1"
-    run, rise = f"({edge}.x2 - {edge}.x1)", f"({edge}.y2 - {edge}.y1)"
-    return f"""named_struct(
-        'x1', {edge}.x1, 'y1', {edge}.y1,
-        'run', if({upward}, {run}, -{run}), 'rise', if({upward}, {rise}, -{rise}),
+    low = f"({edge}.y1 < {edge}.y2 or {edge}.y1 = {edge}.y2 and {edge}.x1 <= {edge}.x2)"
+    ends = ", ".join(
+        f"'{c}{n}', if({low}, {edge}.{c}{n}, {edge}.{c}{3 - n})" for n in (1, 2) for c in ("x", "y")
+    )
+    run, rise = f"abs({edge}.x2 - {edge}.x1)", f"abs({edge}.y2 - {edge}.y1)"
+    return f"""named_struct({ends},
         'west', least({edge}.x1, {edge}.x2), 'east', greatest({edge}.x1, {edge}.x2),
-        'south', least({edge}.y1, {edge}.y2), 'north', greatest({edge}.y1, {edge}.y2))"""
+        'slop', if({run} = 0D or {rise} = 0D, 0D,
+            4e-16D * ({run} * ({rise} + {reach}D) + ({run} + {reach}D) * {rise})))"""
 
 
+EDGE = "struct<x1:double,y1:double,x2:double,y2:double,west:double,east:double,slop:double>"
 test_edge.__test__ = False
 
 
-def covers(edges: str, x: str, y: str, crossed: str = "0") -> str:
-    """True where the point is inside by the even-odd rule, or on one of the ``test_edge`` edges.
-
-    ``crossed`` edges are known to be crossed by a ray to the right. One pass over the others: 0
-    and 1 count crossings modulo two, -1 stands for "on an edge". Edges at another height, the
-    usual case, cost two comparisons.
+def _difference(a: str, b: str) -> str:
+    """``a - b`` as two doubles that add up to it exactly."""
+    back = f"({a} - ({a} - {b}))"
+    lost = f"({a} - (({a} - {b}) + {back})) + ({back} - {b})"
+    return f"array({a} - {b}, {lost})"
+
+
+# Of the struct ``t`` with the factors ``a`` and ``b``: the product as two doubles that add up to it, by halves of the factors.
+_HALVES = [f"(134217729D * t.{v} - (134217729D * t.{v} - t.{v}))" for v in "ab"]
+_LOST = "((({0} * {1} - t.a * t.b) + {0} * (t.b - {1})) + (t.a - {0}) * {1}) + (t.a - {0}) * (t.b - {1})".format(*_HALVES)
+_PRODUCT = f"array(t.a * t.b, {_LOST})"
+
+
+def _exact_side(edge: str, x: str, y: str) -> str:
+    """``side`` by sums of doubles that lose nothing."""
+    differences = [
+        _difference(f"{edge}.x2", f"{edge}.x1"),
+        _difference(y, f"{edge}.y1"),
+        _difference(f"{edge}.y2", f"{edge}.y1"),
+        _difference(x, f"{edge}.x1"),
+    ]
+    factors = ", ".join(
+        f"struct({'-' if a else ''}d[{a}][{i}] as a, d[{a + 1}][{j}] as b)" for a in (0, 2) for i in (0, 1) for j in (0, 1)
+    )
+    # Each term is added to a list of doubles, smallest first, no two of which overlap.
+    lost = "(s.q - ((s.q + h) - ((s.q + h) - s.q))) + (h - ((s.q + h) - s.q))"
+    grown = f"""aggregate(sums, named_struct('q', t, 'h', cast(array() as array<double>)),
+        (s, h) -> named_struct('q', s.q + h, 'h', concat(s.h, array({lost}))), s -> concat(s.h, array(s.q)))"""
+    terms = f"transform(array(array({', '.join(differences)})), d -> flatten(transform(array({factors}), t -> {_PRODUCT})))[0]"
+    return f"""cast(sign(aggregate({terms}, cast(array() as array<double>), (sums, t) -> {grown},
+        sums -> aggregate(sums, 0D, (last, h) -> if(h <> 0, h, last)))) as int)"""
+
+
+def side(edge: str, x: str, y: str) -> str:
+    """1 left of the line of a ``test_edge``, -1 right of it, 0 on it; for a level edge above is its left.
+
+    Plain arithmetic decides where its result is beyond its largest error, exact sums elsewhere.
+    Exact for coordinates whose products neither overflow nor vanish.
     """
-    turn = f"(e.run * ({y} - e.y1) - ({x} - e.x1) * e.rise)"
-    return f"""
-        aggregate({edges}, {crossed}, (state, e) ->
-            case when {y} < e.south or {y} > e.north then state
-                 when {turn} = 0 and {x} >= e.west and {x} <= e.east then -1
-                 when {turn} > 0 and {y} < e.north and state >= 0 then 1 - state
-                 else state end) <> 0"""
+    left = f"({edge}.x2 - {edge}.x1) * ({y} - {edge}.y1)"
+    right = f"({x} - {edge}.x1) * ({edge}.y2 - {edge}.y1)"
+    return f"""case when {edge}.x1 = {edge}.x2 then cast(sign({edge}.x1 - {x}) as int)
+        when {edge}.y1 = {edge}.y2 then cast(sign({y} - {edge}.y1) as int)
+        when abs({left} - {right}) > 4e-16D * (abs({left}) + abs({right})) then cast(sign({left} - {right}) as int)
+        else {_exact_side(edge, x, y)} end"""
+
+
+def sides(edge: str, *points: tuple[str, str]) -> str:
+    """``side`` of several points, as an array."""
+    listed = ", ".join(f"struct({x} as x, {y} as y)" for x, y in points)
+    return f"transform(array({listed}), c -> {side(edge, 'c.x', 'c.y')})"
+
+
+def _crossed(part: str, x: str, y: str, right: str, bottom: str) -> str:
+    """``covers`` by plain arithmetic: crossings modulo two, -1 for a point on an edge, -2 where it can't tell."""
+
+    def turn(px: str, py: str) -> str:
+        return f"((e.x2 - e.x1) * ({py} - e.y1) - ({px} - e.x1) * (e.y2 - e.y1))"
+
+    here, beside, corner = turn(x, y), turn(right, y), turn(right, bottom)
+    # An edge that does not meet the border: only the level way can cross it.
+    level = f"""case when {y} > e.y2 then state when {x} = e.x1 and {x} = e.x2 then -1 when {here} > e.slop then if({y} < e.y2 and ({right} is null or {right} > e.east),
+        1 - state, state) when {here} < -e.slop then state else -2 end"""
+    # An edge below the level that meets the border: only the way down can cross it.
+    down = f"""case when {bottom} is null or {bottom} < e.y1 then 1 - state when {bottom} > e.y2 then state
+        when abs({corner}) > e.slop then if(({corner} < 0) = (e.x2 > e.x1), 1 - state, state) else -2 end"""
+    start = f"if({bottom} is null or {bottom} < e.y1, e.x2 > e.x1, {corner} < 0)"
+    sure = f"""abs({here}) > e.slop and abs({beside}) > e.slop
+        and ({bottom} is null or {bottom} < e.y1 or abs({corner}) > e.slop)"""
+    both = f"""case when {sure} then (state + if({here} > 0 and {y} < e.y2 and {beside} < 0, 1, 0)
+        + if(({beside} < 0) <> {start}, 1, 0)) % 2 else -2 end"""
+    # A level edge at the height of the point.
+    along = f"""if({x} >= e.west and {x} <= e.east, -1, if({right} > e.west and {right} <= e.east
+        and ({bottom} is null or {bottom} < {y}), 1 - state, state))"""
+    return f"""aggregate({part}.edges, {part}.odd, (state, e) -> case when state < 0 or {y} < e.y1 then state
+        when {y} = e.y1 and {y} = e.y2 then {along}
+        when {right} is null or {right} <= e.west or {right} > e.east then {level}
+        when {y} > e.y2 then {down} else {both} end)"""
+
+
+def covers(part: str, x: str, y: str, right: str, bottom: str) -> str:
+    """True where a point of a cell is inside a polygon by the even-odd rule, or on one of its edges.
+
+    ``part`` has the test ``edges`` that touch the cell, and ``odd``, whether the cell's lower right
+    corner is inside. The way from the point level to the cell's ``right`` border, and down along it to
+    the corner, crosses only these edges; every crossing changes sides. The way is taken a hair left of
+    the border and a hair higher, so that it meets no end of an edge: there a point on an edge's line
+    counts as left of it. ``right`` is NULL for a cell without a right border, ``bottom`` for one without
+    a lower one. Plain arithmetic tells most points; exact sides tell those near an edge or beyond the grid.
+    """
+    # Sides of the point, of the border level with it, and of the corner.
+    known = sides("e", (x, y), (right, y), (right, bottom))
+    on = f"f[0] = 0 and {y} >= e.y1 and {y} <= e.y2 and {x} >= e.west and {x} <= e.east"
+    level = f"""f[0] > 0 and {y} >= e.y1 and {y} < e.y2
+        and ({right} is null or {right} > e.east or ({right} > e.west and f[1] < 0))"""
+    # Without a lower border the corner is below every edge: right of one that leans right, left of others.
+    start = f"if({bottom} is null, e.x2 > e.x1, f[2] < 0)"
+    down = f"{right} > e.west and {right} <= e.east and (f[1] < 0) <> {start}"
+    step = f"if({on}, -1, (state + if({level}, 1, 0) + if({down}, 1, 0)) % 2)"
+    exactly = f"""aggregate({part}.edges, {part}.odd, (state, e) ->
+        if(state < 0, state, transform(array({known}), f -> {step})[0])) <> 0"""
+    (west, east), (south, north) = LON_RANGE, LAT_RANGE
+    beyond = f"{x} < {west}D or {x} > {east}D or {y} < {south}D or {y} > {north}D"
+    plainly = f"if({beyond}, -2, {_crossed(part, x, y, right, bottom)})"
+    return f"transform(array({plainly}), found -> if(found = -2, {exactly}, found <> 0))[0]"
 
 
 def grid_cell(coordinate: str, size: float, bounds: tuple[float, float]) -> str:

@@ -6,8 +6,9 @@ once whatever the number of cells, and Spark combines on the map side before it
 crosses the network is one row of cells per task and group, however hot a group is.
 
 Sums are kept unrounded ("raw") until the last level, since a total must be the rounded sum and
-not the sum of rounded parts. They are whole numbers of millionths, so they are the same in any order
-of adding; a population with more than six decimals is rounded to six.
+not the sum of rounded parts. Raw sums are exact: whole numbers by power of two (``functions.exact``),
+so raw frames have a row for each group and bin, and results are the same in any order of adding. NaN
+and infinite populations make the sums NaN or infinite that they are part of, as they do in SQL.
 """
 
 from __future__ import annotations
@@ -18,19 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandrisk.functions import exact
 from bandrisk.functions.bands import AT_RISK_BANDS, BANDS, Band, band_condition
 from bandrisk.functions.indexes import INDEX_KEYS
 
 
-# Raw sums count in these parts of one.
-PARTS = 1_000_000
-
-
-def exact(measure: str) -> str:
-    """A measure as a whole number of parts; sums of it do not depend on their order."""
-    return f"cast(round(`{measure}` * {PARTS}D) as bigint)"
-
-
 def cell_name(index_key: str, band: Band) -> str:
     return f"{index_key}_{band.key}"
 
@@ -40,15 +33,16 @@ def cell_names(value_cols: Sequence[str] = INDEX_KEYS, bands: Sequence[Band] = B
     return [cell_name(v, b) for v in value_cols for b in bands]
 
 
-def cell_expressions(
-    value_cols: Sequence[str] = INDEX_KEYS, measure: str = "vuid_population", bands: Sequence[Band] = BANDS
-) -> dict[str, str]:
-    """The raw sum of every cell, as SQL by name."""
-    return {
-        cell_name(v, b): f"sum(CASE WHEN {band_condition(v, b)} THEN {exact(measure)} END)"
-        for v in value_cols
-        for b in bands
-    }
+def with_parts(df: DataFrame, measure: str = "vuid_population") -> DataFrame:
+    """``df`` with the bin and the parts of its measure, which raw sums add up."""
+    for columns in exact.split(measure):
+        df = df.withColumns({name: F.expr(e) for name, e in columns.items()})
+    return df
+
+
+def cell_expressions(value_cols: Sequence[str] = INDEX_KEYS, bands: Sequence[Band] = BANDS) -> dict[str, str]:
+    """The raw sum of every cell over rows with parts, as SQL by name."""
+    return {cell_name(v, b): exact.summed(band_condition(v, b)) for v in value_cols for b in bands}
 
 
 def raw_cells(
@@ -58,19 +52,33 @@ def raw_cells(
     measure: str = "vuid_population",
     bands: Sequence[Band] = BANDS,
 ) -> DataFrame:
-    """Unrounded cells per group; a cell nobody falls into is NULL."""
-    sums = cell_expressions(value_cols, measure, bands)
-    return df.groupBy(*by).agg(*[F.expr(f"{e} AS `{name}`") for name, e in sums.items()])
+    """Raw cells per group and bin; a cell nobody falls into is NULL."""
+    sums = cell_expressions(value_cols, bands)
+    return with_parts(df, measure).groupBy(*by, exact.BIN).agg(*[F.expr(f"{e} AS `{name}`") for name, e in sums.items()])
 
 
 def merge_cells(df: DataFrame, by: Sequence[str | Column], cells: Sequence[str]) -> DataFrame:
     """Roll raw cells up to coarser groups."""
-    return df.groupBy(*by).agg(*[F.expr(f"sum(`{c}`) AS `{c}`") for c in cells])
+    return df.groupBy(*by, exact.BIN).agg(*[F.expr(f"{exact.merged(c)} AS `{c}`") for c in cells])
+
 
+def finish(raw: DataFrame, by: Sequence[str], sums: Sequence[str], how: str = "{}") -> DataFrame:
+    """One row per group from raw sums merged by ``by`` and bin; zero where there is nothing.
 
-def round_cells(df: DataFrame, cells: Sequence[str]) -> DataFrame:
+    Without ``by`` there is always one row. ``how`` is done to each sum.
+    """
+    binned = raw.groupBy(*by).agg(F.expr(f"{exact.gathered(list(sums))} AS _bins"))
+    found = binned.select(*by, F.expr(f"{exact.joined('_bins', len(sums))} AS _sums"))
+    return found.select(*by, *[F.expr(how.format(f"_sums[{n}]")).alias(c) for n, c in enumerate(sums)])
+
+
+def round_cells(raw: DataFrame, by: Sequence[str], cells: Sequence[str]) -> DataFrame:
     """Finish raw cells: round half away from zero, and zero where there is nothing."""
-    return df.withColumns({c: F.expr(f"coalesce(round(`{c}` / {PARTS}D), 0D)") for c in cells})
+    return finish(raw, by, cells, "round({})")
+
+
+def _names(by: Sequence[str | Column], df: DataFrame) -> list[str]:
+    return df.select(*by).columns
 
 
 def banded_sum(
@@ -81,7 +89,8 @@ def banded_sum(
     bands: Sequence[Band] = BANDS,
 ) -> DataFrame:
     """Finished cells per group. Without ``by`` there is always one row, all zeros if ``df`` is empty."""
-    return round_cells(raw_cells(df, by, value_cols, measure, bands), cell_names(value_cols, bands))
+    raw = raw_cells(df, by, value_cols, measure, bands)
+    return round_cells(raw, _names(by, df) if by else (), cell_names(value_cols, bands))
 
 
 # The groupings that each product needs, and the one they can all be rolled up from. A key that is
@@ -100,7 +109,7 @@ CUBE_KEYS = (
 
 
 def admin_cube(joined: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
-    """Raw cells by admin keys.
+    """Raw cells by admin keys and bin.
 
     The one pass over the big tables. Its size follows the number of admin units, not of
     settlements, and every admin total and child table is a further rollup of it.
@@ -111,7 +120,7 @@ def admin_cube(joined: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
 def national_total(cube: DataFrame) -> DataFrame:
     """The one total row over a whole cube."""
     cells = cell_names()
-    return round_cells(merge_cells(cube, (), cells), cells)
+    return round_cells(merge_cells(cube, (), cells), (), cells)
 
 
 def level_totals(cube: DataFrame) -> DataFrame:
@@ -122,34 +131,36 @@ def level_totals(cube: DataFrame) -> DataFrame:
     plain aggregate, which gives its row of zeros even for empty tables.
     """
     cells = cell_names()
-    country = merge_cells(cube, (), cells).select(
+    country = national_total(cube).select(
         F.lit("country").alias("scope_level"), F.lit(None).cast("string").alias("code"), *cells
     )
-    keys = [F.col("prov_code_1"), F.col("dist_code")]
+    keys = [F.col("prov_code_1"), F.col("dist_code"), F.col(exact.BIN)]
     of_district = F.grouping("dist_code") == 0
     admin = (
-        cube.groupingSets([[keys[0]], [keys[1]]], *keys)
+        cube.groupingSets([[keys[0], keys[2]], [keys[1], keys[2]]], *keys)
         .agg(
             F.when(of_district, F.lit("district")).otherwise(F.lit("province")).alias("scope_level"),
             F.when(of_district, F.col("dist_code")).otherwise(F.col("prov_code_1")).alias("code"),
-            *[F.expr(f"sum(`{c}`) AS `{c}`") for c in cells],
+            *[F.expr(f"{exact.merged(c)} AS `{c}`") for c in cells],
         )
-        .select("scope_level", "code", *cells)
+        .select("scope_level", "code", exact.BIN, *cells)
     )
-    return round_cells(country.unionByName(admin), cells)
+    return country.unionByName(round_cells(admin, ("scope_level", "code"), cells))
 
 
 def baseline_totals(settlement: DataFrame, measure: str = "vuid_population") -> DataFrame:
     """Population of the country, every province and every district, with or without a hazard row."""
-    parts = settlement.groupBy("prov_code_1", "dist_code").agg(F.expr(f"sum({exact(measure)})").alias("_sum"))
-    total = F.expr(f"sum(_sum) / {PARTS}D").alias("pop_total")
-    country = parts.agg(total).select(
+    keys = ("prov_code_1", "dist_code")
+    parts = with_parts(settlement.select(*keys, measure), measure).groupBy(*keys, exact.BIN)
+    sums = parts.agg(F.expr(f"{exact.summed()} AS pop_total"))
+    total = ["pop_total"]
+    country = finish(merge_cells(sums, (), total), (), total).select(
         F.lit("country").alias("scope_level"), F.lit(None).cast("string").alias("code"), "pop_total"
     )
     levels = [
-        parts.groupBy(F.col(code).alias("code"))
-        .agg(total)
-        .select(F.lit(level).alias("scope_level"), "code", "pop_total")
+        finish(merge_cells(sums, [F.col(code).alias("code")], total), ("code",), total).select(
+            F.lit(level).alias("scope_level"), "code", "pop_total"
+        )
         for level, code in (("province", "prov_code_1"), ("district", "dist_code"))
     ]
     return country.unionByName(levels[0]).unionByName(levels[1])
@@ -163,7 +174,7 @@ def province_children(cube: DataFrame) -> DataFrame:
     """
     cells = cell_names()
     by = [F.col("hazard_prov_code").alias("code"), F.col("prov_na_en").alias("na_en")]
-    return round_cells(merge_cells(cube, by, cells), cells)
+    return round_cells(merge_cells(cube, by, cells), ("code", "na_en"), cells)
 
 
 def district_children(cube: DataFrame) -> DataFrame:
@@ -174,7 +185,7 @@ def district_children(cube: DataFrame) -> DataFrame:
         F.col("hazard_dist_code").alias("code"),
         F.col("dist_na_en").alias("na_en"),
     ]
-    return round_cells(merge_cells(cube, by, cells), cells)
+    return round_cells(merge_cells(cube, by, cells), ("parent_code", "code", "na_en"), cells)
 
 
 def by_name(children: DataFrame) -> DataFrame:

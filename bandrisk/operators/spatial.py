@@ -1,15 +1,21 @@
 """Settlements within drawn areas.
 
-A drawn area is a list of polygon texts and covers what any of their polygons covers. Each area is
-cut into the cells of a grid step by step, from coarse to fine: a cell that lies wholly inside one
-of its polygons is kept as it is, one that lies outside all of them is dropped, and one that an edge
-touches is cut further, down to the finest size. Finest cells that are still touched keep, for each
-polygon, the edges that can matter in them. The cells of an area do not overlap, so a settlement
-meets at most one of them and nothing has to be made distinct.
-
-Figures of areas are sums of cells: settlements are summed up per finest cell once, whole cells of
-any size take the sums of what lies in them, and only settlements in touched cells are tested
-against edges. No pair of a settlement and an area it lies well inside of is ever made.
+A drawn area is a list of polygon texts and covers what any of their polygons covers. Polygons are cut
+into the cells of a grid edge by edge, so one of millions of edges is spread over all tasks like many
+small ones: each edge walks the cells it touches, and tells which of their lower borders it crosses. In
+a row of cells the crossings to the right of a cell's lower right corner say whether that corner is
+inside; cells between touched ones are wholly inside or outside like it. This is done on two grids:
+coarse cells that no edge touches are kept whole, in the others the fine cells are looked at.
+
+Touched fine cells keep the edges that touch them, which is all a point in them has to be tested
+against. The cells of an area do not overlap, so a settlement meets at most one of them and nothing has
+to be made distinct. A union of areas is cut polygon by polygon too: where cells cover each other only
+the largest is kept, and no row holds more than one polygon's edges in one cell.
+
+Figures of areas are sums of cells: settlements are summed up per finest cell and set of areas that
+cover them, in one pass; whole cells of any size take the sums of what lies in them, and only
+settlements in touched cells are tested against edges. No pair of a settlement and an area it lies well
+inside of is ever made.
 
 The cell size follows the areas: the finest one that keeps the number of touched cells low. The
 settlement side is the big one. It is not moved when the cells have been measured to fit a
@@ -22,23 +28,25 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandrisk.functions.geometry import LAT_RANGE, LON_RANGE, covers, grid_cell, test_edge, wkt_parts
+from bandrisk.functions.geometry import EDGE, LAT_RANGE, LON_RANGE, covers, grid_cell, sides, test_edge, wkt_parts
 from bandrisk.sources.store import materialise
 
 # Candidate cell sizes in degrees, coarse to fine; powers of two keep the cell arithmetic exact.
 CELL_SIZES = tuple(2.0**-k for k in range(-3, 11))
-# Each step cuts a cell into so many along each side; sizes of cells are counted in steps from the finest.
+# A coarse cell is so many fine ones wide and high; sizes of cells are counted in steps from the finest.
 FANOUT_BITS = 3
 STEPS = 1
-# Touched cells to aim for: many per area while there are few areas, not too few when there are many.
-CELLS_PER_AREA = 2048
-MIN_CELLS_PER_AREA = 128
+# Touched cells to aim for: many per polygon while there are few polygons, not too few when there are many.
+CELLS_PER_POLYGON = 2048
+MIN_CELLS_PER_POLYGON = 128
 MAX_CELLS = 1 << 16
 # Measured bytes up to which cells are broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
+# Areas that touch one cell and are tested together; more are tested apart, so no row grows with them.
+AREAS_IN_ROW = 1000
 
 
 def area_edges(areas: DataFrame) -> DataFrame:
@@ -47,15 +55,21 @@ def area_edges(areas: DataFrame) -> DataFrame:
     return parts.select("aoi_id", "ord", "part", F.inline("edges"))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def area_shapes(areas: DataFrame, union: bool = False) -> DataFrame:
-    """``aoi_id`` and ``parts``, the test edges of each polygon of the area, parsed from ``areas(aoi_id, ord, wkt)``.
+    """``aoi_id, polygon, edge``: the test edges of every polygon of ``areas(aoi_id, ord, wkt)``, spread over all tasks.
 
-    An area's texts come from one request, which bounds what is collected here. ``union`` makes one
-    area of all.
+    ``polygon`` numbers the polygons of all texts. ``union`` makes one area of all.
     """
-    tested = f"transform({wkt_parts('wkt')}, edges -> transform(edges, v -> {test_edge('v')}))"
-    parsed = areas.select(F.lit(0).alias("aoi_id") if union else "aoi_id", F.expr(tested).alias("parts"))
-    return parsed.groupBy("aoi_id").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    texts = areas.select(F.lit(0).alias("aoi_id") if union else F.col("aoi_id"), F.expr(wkt_parts("wkt")).alias("parts"))
+    polygons = texts.select("aoi_id", F.explode("parts").alias("edges")).withColumn("polygon", F.monotonically_increasing_id())
+    edges = polygons.select("aoi_id", "polygon", F.explode("edges").alias("e"))
+    # One text is parsed by one task; a number is given because the planner would merge partitions by their bytes.
+    spread = edges.repartition(_tasks(areas), "polygon", "e.x1", "e.y1", "e.x2", "e.y2")
+    return spread.selectExpr("aoi_id", "polygon", f"{test_edge('e')} as edge")
 
 
 def cell_size(shapes: DataFrame) -> float:
@@ -63,142 +77,132 @@ def cell_size(shapes: DataFrame) -> float:
 
     One small job over the shapes; counts for all candidate sizes, one row, come to the driver.
     """
-    edges = shapes.select("aoi_id", F.explode(F.flatten("parts")).alias("e"))
     spans = {
-        size: F.sum(F.expr(f"least((e.east - e.west + e.north - e.south) / {size}D + 1, {540 / size}D)"))
+        size: F.sum(F.expr(f"least((edge.east - edge.west + edge.y2 - edge.y1) / {size}D + 1, {540 / size}D)"))
         for size in CELL_SIZES
     }
-    areas, *counts = edges.agg(F.count_distinct("aoi_id"), *spans.values()).first()
-    allowed = min(CELLS_PER_AREA * areas, max(MAX_CELLS, MIN_CELLS_PER_AREA * areas))
+    polygons, *counts = shapes.agg(F.count_distinct("polygon"), *spans.values()).first()
+    allowed = min(CELLS_PER_POLYGON * polygons, max(MAX_CELLS, MIN_CELLS_PER_POLYGON * polygons))
     fitting = [size for size, cells in zip(CELL_SIZES, counts) if cells is not None and cells <= allowed]
     return min(fitting, default=CELL_SIZES[0])
 
 
-def _placed(edge: str, cell: float) -> str:
-    """An edge with the grid positions it spans."""
-    places = {
-        "left": grid_cell(f"{edge}.west", cell, LON_RANGE),
-        "right": grid_cell(f"{edge}.east", cell, LON_RANGE),
-        "bottom": grid_cell(f"{edge}.south", cell, LAT_RANGE),
-        "top": grid_cell(f"{edge}.north", cell, LAT_RANGE),
-    }
-    return f"named_struct('edge', {edge}, {', '.join(f'{k!r}, {v}' for k, v in places.items())})"
-
-
-# Products of degrees up to which a corner counts as being on an edge's line.
-_ON_LINE = 1e-9
-_LEFT, _RIGHT, _TOUCHES = -1, 1, 0
+def _line(position: str, cell: float, bounds: tuple[float, float], upper: bool) -> str:
+    """The coordinate of a cell's upper or lower border, as SQL; NULL where the outermost cells are open."""
+    low, high = (int(b // cell) for b in bounds)
+    outer = f"{position} >= {high}" if upper else f"{position} <= {low}"
+    return f"if({outer}, cast(null as double), ({position} + {int(upper)}) * {cell}D)"
 
 
-def _beside(cell: float) -> str:
-    """Where the placed edge ``e`` passes the cell ``(cx, cy)`` of its rows: left, right, or through it, as SQL.
+def _walked(edges: DataFrame, cell: float) -> DataFrame:
+    """Every cell an edge touches: ``cx, cy`` beside the columns of ``edges``, and ``odd``, 1 if its lower border is crossed.
 
-    An edge passes beside a cell if all corners lie on one side of its line. The outermost cells are
-    open and have no corners; an edge that reaches their columns touches them.
+    Cells within a hair of a slanted edge count as touched too.
     """
-    outer = " or ".join(
-        f"{c} <= {int(b[0] // cell)} or {c} >= {int(b[1] // cell)}" for c, b in (("cx", LON_RANGE), ("cy", LAT_RANGE))
+    bottom, top = (_line("cy", cell, LAT_RANGE, upper) for upper in (False, True))
+
+    def at(line: str, end: str) -> str:
+        """Where the edge meets a border of the row, or the end of the edge that lies within it."""
+        meets = f"edge.x1 + (edge.x2 - edge.x1) * (({line} - edge.y1) / (edge.y2 - edge.y1))"
+        within = f"edge.y1 < {line} and edge.y2 > {line}"
+        return f"if({line} is not null and {within}, least(greatest({meets}, edge.west), edge.east), edge.x{end})"
+
+    # Where an edge meets a row is rounded; upright ones need no slack.
+    slack = "if(edge.west = edge.east, 0D, 1e-9D + 1e-12D * (abs(edge.west) + abs(edge.east)))"
+    rows = edges.selectExpr(
+        "*",
+        f"explode(sequence({grid_cell('edge.y1', cell, LAT_RANGE)}, {grid_cell('edge.y2', cell, LAT_RANGE)})) as cy",
     )
+    ends = rows.selectExpr("*", f"{at(bottom, '1')} as _a", f"{at(top, '2')} as _b")
+    across = [
+        grid_cell(f"(least(_a, _b) - {slack})", cell, LON_RANGE),
+        grid_cell(f"(greatest(_a, _b) + {slack})", cell, LON_RANGE),
+    ]
+    cells = ends.selectExpr("*", f"explode(sequence({', '.join(across)})) as cx").drop("_a", "_b")
+    left, right = (_line(position, cell, LON_RANGE, True) for position in ("(cx - 1)", "cx"))
+    low = int(LON_RANGE[0] // cell)
+    # A corner on an edge's line counts as left of it, as it does for points.
+    before, after = f"(cx > {low} and f[0] < 0)", f"({right} is null or f[1] < 0)"
+    between = f"transform(array({sides('edge', (left, bottom), (right, bottom))}), f -> if({before} <> {after}, 1, 0))[0]"
+    crosses = f"{bottom} is not null and edge.y1 <= {bottom} and edge.y2 > {bottom}"
+    return cells.selectExpr("*", f"if({crosses}, {between}, 0) as odd")
 
-    def turn(x: str, low: str, high: str) -> str:
-        y = f"if(e.edge.run > 0, {low}, {high})"
-        return f"(e.edge.run * ({y} * {cell}D - e.edge.y1) - ({x} * {cell}D - e.edge.x1) * e.edge.rise)"
-
-    return f"""case when e.left > cx then {_RIGHT} when e.right < cx then {_LEFT} when {outer} then {_TOUCHES}
-        when {turn("(cx + 1)", "cy", "(cy + 1)")} > {_ON_LINE}D then {_RIGHT}
-        when {turn("cx", "(cy + 1)", "cy")} < -{_ON_LINE}D then {_LEFT} else {_TOUCHES} end"""
 
+_BY_ROW = ("aoi_id", "polygon", "cy")
 
-def _cut(cells: DataFrame, cell: float, first: bool) -> DataFrame:
-    """Cut the open cells one step further, to ``cell`` degrees; ``first`` starts from whole areas.
 
-    An open cell has ``parts``, structs of ``crossed`` and ``edges``. For a point of a cell, an edge
-    to the left is never crossed by a ray to the right, an edge to the right that spans the whole
-    row always is, and an edge above or below never: such edges need no test and go.
-    """
-    spread = 1 << FANOUT_BITS
-    edges = "flatten(parts.edges)"
-    if first:
-        cells = cells.where(f"size({edges}) > 0").selectExpr("*", "0 as step", "false as whole", "0 as cx", "0 as cy")
-        down = f"sequence(array_min({edges}.bottom), array_max({edges}.top))"
-        across = f"sequence(array_min({edges}.left), array_max({edges}.right))"
-    else:
-        # Closed cells stay one row.
-        down, across = (
-            f"if(whole, array({c}), sequence({c} * {spread}, {c} * {spread} + {spread - 1}))" for c in ("cy", "cx")
-        )
-    passes = f"e.at = {_RIGHT} and e.bottom < cy and e.top > cy"
-    middle = covers("p.edges", f"((cx + 0.5D) * {cell}D)", f"((cy + 0.5D) * {cell}D)", "p.crossed")
-    return (
-        cells.selectExpr(
-            "aoi_id",
-            "step",
-            "whole",
-            "cx",
-            "cy",
-            f"""transform(parts, p -> named_struct('crossed', p.crossed, 'edges',
-                transform(p.edges, e -> {_placed("e", cell)}))) as parts""",
-        )
-        .selectExpr("aoi_id", "step", "whole", "cx", "parts", f"explode({down}) as cy")
-        .selectExpr(
-            "aoi_id",
-            "step",
-            "whole",
-            "cx",
-            "cy",
-            """transform(parts, p -> named_struct('crossed', p.crossed, 'edges',
-                filter(p.edges, e -> e.bottom <= cy and e.top >= cy))) as parts""",
-        )
-        .where(f"size({edges}) > 0" if first else "true")
-        .selectExpr("aoi_id", "step", "whole", "cy", "parts", f"explode({across}) as cx")
-        .selectExpr(
-            "aoi_id",
-            "step",
-            "whole",
-            "cx",
-            "cy",
-            f"""transform(parts, p -> named_struct('crossed', p.crossed, 'edges', transform(p.edges, e ->
-                named_struct('edge', e.edge, 'bottom', e.bottom, 'top', e.top, 'at', {_beside(cell)})))) as parts""",
-        )
-        .selectExpr(
-            "aoi_id",
-            "step",
-            "whole",
-            "cx",
-            "cy",
-            f"""transform(parts, p -> named_struct(
-                'crossed', (p.crossed + size(filter(p.edges, e -> {passes}))) % 2,
-                'touched', exists(p.edges, e -> e.at = {_TOUCHES}),
-                'edges', filter(p.edges, e -> e.at <> {_LEFT} and not ({passes})).edge)) as parts""",
-        )
-        .selectExpr(
-            "aoi_id",
-            "if(whole, step + 1, 0) as step",
-            "cx",
-            "cy",
-            f"whole or exists(parts, p -> not p.touched and {middle}) as whole",
-            "transform(filter(parts, p -> p.touched), p -> named_struct('crossed', p.crossed, 'edges', p.edges)) as parts",
-        )
-        .where("whole or size(parts) > 0")
-        .selectExpr("aoi_id", "step", "cx", "cy", "whole", "if(whole, null, parts) as parts")
-    )
+def _with_corners(touched: DataFrame) -> DataFrame:
+    """Touched cells with ``corner`` (1 if the lower right one is inside), ``inner`` (the same for the cells to the left of
+    this one) and ``left``, the column of the next one there."""
+    along = Window.partitionBy(*_BY_ROW).orderBy(F.col("cx").desc())
+    beyond = F.coalesce(F.sum("odd").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = touched.withColumns({"corner": beyond % 2, "left": F.lead("cx").over(along)})
+    return placed.withColumn("inner", (F.col("corner") + F.col("odd")) % 2)
 
 
-def area_cells(shapes: DataFrame, cell: float) -> DataFrame:
+def area_cells(shapes: DataFrame, cell: float, union: bool = False) -> DataFrame:
     """Cells of ``area_shapes``: ``aoi_id, step, cx, cy, whole, parts``.
 
     ``step`` is 0 for cells of ``cell`` degrees and grows by one for each size above. ``whole`` cells
-    are covered entirely and have no parts; the others are all of step 0.
+    are covered entirely and have no parts; the others are all of step 0, and their parts have the
+    edges of a polygon that touch the cell and whether its lower right corner is inside. No two cells of
+    an area overlap, but with ``union`` touched ones have a row for each polygon.
     """
-    start = shapes.selectExpr("aoi_id", "transform(parts, edges -> named_struct('crossed', 0, 'edges', edges)) as parts")
-    cells = _cut(start, cell * (1 << (FANOUT_BITS * STEPS)), first=True)
-    # Few areas may make most of the cells, and a file of requests is read by few tasks. A number is
-    # given because the planner would merge partitions by their bytes, which are few before the cut.
-    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(tasks, "aoi_id", "cx", "cy")
-    for step in reversed(range(STEPS)):
-        cells = _cut(cells, cell * (1 << (FANOUT_BITS * step)), first=False)
-    return cells
+    spread = 1 << FANOUT_BITS
+    tasks = _tasks(shapes)
+    # Dealt by row of cells once, for cells and rows alike.
+    walked = _walked(shapes, cell * spread).select(*_BY_ROW, "cx", "odd").repartition(tasks, *_BY_ROW)
+    coarse = materialise(_with_corners(walked.groupBy(*_BY_ROW, "cx").agg((F.sum("odd") % 2).alias("odd"))))
+    columns = ("aoi_id", "step", "cx", "cy", "whole", "part")
+    nothing = f"cast(null as struct<odd:int,edges:array<{EDGE}>>)"
+    large = coarse.where("inner = 1 and left < cx - 1").selectExpr(
+        "aoi_id", "1 as step", "explode(sequence(left + 1, cx - 1)) as cx", "cy", "true as whole", f"{nothing} as part"
+    )
+    # In each row of a touched coarse cell its last fine cell starts what is known of the others.
+    starts = coarse.selectExpr(
+        "aoi_id", "polygon", f"cx * {spread} + {spread - 1} as cx",
+        f"explode(sequence(cy * {spread}, cy * {spread} + {spread - 1})) as cy", "0 as odd",
+    )
+    fine = (
+        _walked(shapes, cell)
+        .unionByName(starts, allowMissingColumns=True)
+        .repartition(tasks, *_BY_ROW)
+        .groupBy(*_BY_ROW, "cx")
+        .agg((F.sum("odd") % 2).alias("odd"), F.collect_list("edge").alias("edges"))
+    )
+    fine = _with_corners(fine).withColumn("touched", F.size("edges") > 0)
+    touched = fine.where("touched").selectExpr(
+        "aoi_id", "0 as step", "cx", "cy", "false as whole",
+        "named_struct('odd', cast(corner as int), 'edges', edges) as part",
+    )
+    first = f"greatest(coalesce(left + 1, -2147483648), shiftleft(shiftright(cx, {FANOUT_BITS}), {FANOUT_BITS}))"
+    small = (
+        fine.where("inner = 1")
+        .selectExpr("aoi_id", "cy", f"{first} as first", "if(touched, cx - 1, cx) as last")
+        .where("first <= last")
+        .selectExpr(
+            "aoi_id", "0 as step", "explode(sequence(first, last)) as cx", "cy", "true as whole", f"{nothing} as part"
+        )
+    )
+    every = touched.select(*columns).unionByName(small.select(*columns)).unionByName(large.select(*columns))
+    shift = f"if(step = 1, 0, {FANOUT_BITS})"
+    every = every.selectExpr("*", f"shiftright(cx, {shift}) as _x", f"shiftright(cy, {shift}) as _y")
+    every = every.repartition(tasks, "aoi_id", "_x", "_y")
+    here = Window.partitionBy("aoi_id", "_x", "_y")
+    same = Window.partitionBy("aoi_id", "_x", "_y", "step", "cx", "cy")
+    marked = every.withColumns(
+        {
+            "_over": F.max(F.expr("step = 1")).over(here),
+            "_whole": F.max("whole").over(same),
+            "_n": F.row_number().over(same.orderBy(F.col("whole").desc())),
+        }
+    ).where("(step = 1 or not _over) and (not _whole or _n = 1)")
+    if union:
+        return marked.selectExpr("aoi_id", "step", "cx", "cy", "whole", "if(whole, null, array(part)) as parts")
+    grouped = marked.groupBy("aoi_id", "_x", "_y", "step", "cx", "cy").agg(
+        F.max("whole").alias("whole"), F.collect_list("part").alias("parts")
+    )
+    return grouped.selectExpr("aoi_id", "step", "cx", "cy", "whole", "if(whole, null, parts) as parts")
 
 
 @dataclass(frozen=True)
@@ -223,7 +227,7 @@ def index_areas(
     shapes = materialise(area_shapes(areas, union))
     if cell is None:
         cell = cell_size(shapes)
-    cells = materialise(area_cells(shapes, cell))
+    cells = materialise(area_cells(shapes, cell, union))
     edges = F.coalesce(F.size(F.flatten("parts.edges")), F.lit(0))
     row_bytes = F.lit(64) + F.lit(88) * edges
     ends = [
@@ -269,9 +273,13 @@ def in_box(points: DataFrame, index: AreaIndex) -> DataFrame:
 
 
 def _located(points: DataFrame, index: AreaIndex) -> DataFrame:
-    """Points with their finest cell."""
+    """Points with their finest cell, its right and its lower border."""
     return points.selectExpr(
         "*", f"{grid_cell('lon', index.cell, LON_RANGE)} as _cx", f"{grid_cell('lat', index.cell, LAT_RANGE)} as _cy"
+    ).selectExpr(
+        "*",
+        f"{_line('_cx', index.cell, LON_RANGE, True)} as _right",
+        f"{_line('_cy', index.cell, LAT_RANGE, False)} as _bottom",
     )
 
 
@@ -279,9 +287,33 @@ def _side_to_join(cells: DataFrame, index: AreaIndex) -> DataFrame:
     return F.broadcast(cells) if index.small else cells.hint("merge")
 
 
-# Whether a located point is within the area of a touched cell, or of any cell, it was joined to.
-_TESTED = f"exists(parts, p -> {covers('p.edges', 'lon', 'lat', 'p.crossed')})"
-_INSIDE = f"whole or {_TESTED}"
+# Whether a located point is within the area of the touched cell it was joined to.
+_TESTED = f"exists(parts, p -> {covers('p', 'lon', 'lat', '_right', '_bottom')})"
+
+
+def _matched(points: DataFrame, index: AreaIndex, how: str) -> DataFrame:
+    """Points that can lie in any cell joined to the cells that cover them."""
+    located = _located(points.where(_in_box(index)), index)
+    inside = f"whole or {_TESTED}"
+    if index.small:
+        # A point is looked up once per size of cells; it does not move.
+        steps = ", ".join(
+            f"named_struct('step', {s}, 'cx', shiftright(_cx, {FANOUT_BITS * s}), 'cy', shiftright(_cy, {FANOUT_BITS * s}))"
+            for s in range(STEPS + 1)
+        )
+        at = located.selectExpr("*", f"explode(array({steps})) as _at")
+        cells = F.broadcast(index.cells)
+        same = (F.col("_at.step") == cells["step"]) & (F.col("_at.cx") == cells["cx"]) & (F.col("_at.cy") == cells["cy"])
+        return at.join(cells, same & F.expr(inside), how)
+    # Shuffled by coarse cell, so that a point moves once.
+    at = located.selectExpr(
+        "*", *[f"shiftright({c}, {FANOUT_BITS * STEPS}) as _at{c[2]}" for c in ("_cx", "_cy")]
+    )
+    shift = f"{FANOUT_BITS} * ({STEPS} - step)"
+    cells = index.cells.selectExpr("*", f"shiftright(cx, {shift}) as _of_x", f"shiftright(cy, {shift}) as _of_y")
+    same = (F.col("_atx") == F.col("_of_x")) & (F.col("_aty") == F.col("_of_y"))
+    within = f"shiftright(_cx, {FANOUT_BITS} * step) = cx and shiftright(_cy, {FANOUT_BITS} * step) = cy"
+    return at.join(cells.hint("merge"), same & F.expr(f"{within} and ({inside})"), how)
 
 
 def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:
@@ -290,61 +322,69 @@ def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:
     A row comes out once per area, since the cells of an area do not overlap. Points on a border
     count as covered; points without a position are dropped.
     """
-    steps = ", ".join(
-        f"named_struct('step', {s}, 'cx', shiftright(_cx, {FANOUT_BITS * s}), 'cy', shiftright(_cy, {FANOUT_BITS * s}))"
-        for s in range(STEPS + 1)
-    )
-    located = _located(points.where(_in_box(index)), index).selectExpr("*", f"explode(array({steps})) as _at")
-    cells = _side_to_join(index.cells, index)
-    same = (F.col("_at.step") == cells["step"]) & (F.col("_at.cx") == cells["cx"]) & (F.col("_at.cy") == cells["cy"])
-    return located.join(cells, same & F.expr(_INSIDE), "inner").select(*[f"`{c}`" for c in points.columns], "aoi_id")
+    return _matched(points, index, "inner").select(*[f"`{c}`" for c in points.columns], "aoi_id")
 
 
 def points_in_areas(points: DataFrame, index: AreaIndex) -> DataFrame:
     """Rows of ``points`` that an index made with ``union`` covers, each once."""
-    return points_by_area(points, index).drop("aoi_id")
+    return _matched(points, index, "leftsemi").select(*[f"`{c}`" for c in points.columns])
 
 
-def cell_sums(points: DataFrame, index: AreaIndex, sums: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
-    """The one pass over the points: ``sums`` by ``keys`` and finest cell, and by area for points in touched cells.
+def cell_sums(
+    points: DataFrame, index: AreaIndex, sums: Mapping[str, str], keys: Sequence[str] = (), bins: Sequence[str] = ()
+) -> DataFrame:
+    """The one pass over the points: ``sums`` by finest cell, the areas of touched cells that cover a point, and ``keys``.
 
-    Rows with ``of_area`` hold an area's sums over the points that were tested; the others those of
-    a cell (and keys), ``cx`` and ``cy`` being NULL beyond the areas. Points without a position or
-    beyond the areas are only read if there are keys.
+    ``areas`` lists those areas; beyond AREAS_IN_ROW of them in a cell the others follow in rows of
+    further ``lot`` numbers, which repeat the points. Points without a position or beyond the areas
+    have no cell and are only read if there are keys. ``bins`` are keys that area sums keep too.
     """
     inside = _in_box(index)
     located = _located(points if keys else points.where(inside), index).withColumns(
         {c: F.expr(f"case when {inside} then {c} end") for c in ("_cx", "_cy")}
     )
-    both = located.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("of_area")).where(
-        "not of_area or (_cx is not null and _cy is not null)"
+    near = Window.partitionBy("cx", "cy").orderBy("aoi_id")
+    touched = (
+        index.cells.where("not whole")
+        .withColumn("lot", F.floor((F.row_number().over(near) - 1) / AREAS_IN_ROW).cast("int"))
+        .groupBy("cx", "cy", "lot")
+        .agg(F.collect_list(F.struct("aoi_id", "parts")).alias("near"))
     )
-    touched = _side_to_join(index.cells.where("not whole").select("aoi_id", "cx", "cy", "parts"), index)
-    same = F.col("of_area") & (F.col("_cx") == touched["cx"]) & (F.col("_cy") == touched["cy"])
-    matched = both.join(touched, same, "left").where(
-        f"not of_area or (cx is not null and {_TESTED})"
+    # Points without a cell meet none; where both sides are shuffled they are spread.
+    looked_up = "_cx" if index.small else "coalesce(_cx, -1000000 - cast(pmod(xxhash64(lon, lat), 4096) as int))"
+    joined = located.withColumn("_x", F.expr(looked_up)).join(
+        _side_to_join(touched, index), (F.col("_x") == F.col("cx")) & (F.col("_cy") == F.col("cy")), "left"
     )
-    by = [F.expr(f"case when not of_area then `{k}` end").alias(k) for k in keys]
-    by += [F.expr(f"case when not of_area then {c} end").alias(c[1:]) for c in ("_cx", "_cy")]
-    return matched.groupBy("of_area", "aoi_id", *by).agg(*[F.expr(f"{e} as `{n}`") for n, e in sums.items()])
+    tested = _TESTED.replace("parts", "n.parts")
+    areas = F.expr(f"transform(filter(near, n -> {tested}), n -> n.aoi_id)").alias("areas")
+    found = joined.select(*[F.col(f"`{c}`") for c in points.columns], "_cx", "_cy", "lot", areas)
+    by = [*keys, *bins, F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "lot", "areas"]
+    return found.groupBy(*by).agg(*[F.expr(f"{e} as `{n}`") for n, e in sums.items()])
+
+
+def once(stored: DataFrame) -> DataFrame:
+    """Rows of ``cell_sums`` that hold every point once."""
+    return stored.where("coalesce(lot, 0) = 0")
 
 
-def area_sums(stored: DataFrame, index: AreaIndex, names: Sequence[str]) -> DataFrame:
-    """``aoi_id`` and its sums, from stored ``cell_sums``: tested points, and what lies in whole cells.
+def area_sums(stored: DataFrame, index: AreaIndex, names: Sequence[str], bins: Sequence[str] = ()) -> DataFrame:
+    """``aoi_id`` (and ``bins``) with its sums, from stored ``cell_sums``: tested points, and what lies in whole cells.
 
     Cell sums are rolled up to the larger cells first, so this joins two small tables.
     """
     added = [F.expr(f"sum(`{n}`) as `{n}`") for n in names]
     steps = F.explode(F.sequence(F.lit(0), F.lit(STEPS)))
     grid = (
-        stored.where("not of_area and cx is not null and cy is not null")
-        .select(steps.alias("step"), "cx", "cy", *names)
+        once(stored)
+        .where("cx is not null and cy is not null")
+        .select(steps.alias("step"), "cx", "cy", *bins, *names)
         .groupBy(
             "step",
+            *bins,
             *[F.expr(f"shiftright({c}, {FANOUT_BITS} * step)").alias(c) for c in ("cx", "cy")],
         )
         .agg(*added)
     )
     whole = index.cells.where("whole").select("aoi_id", "step", "cx", "cy").join(grid, ["step", "cx", "cy"])
-    tested = stored.where("of_area").select("aoi_id", *names)
-    return whole.select("aoi_id", *names).unionByName(tested).groupBy("aoi_id").agg(*added)
+    tested = stored.select(F.explode("areas").alias("aoi_id"), *bins, *names)
+    return whole.select("aoi_id", *bins, *names).unionByName(tested).groupBy("aoi_id", *bins).agg(*added)

@@ -43,18 +43,23 @@ def dashboard(
     """
     cells = cell_names()
     sections: dict[str, DataFrame] = {}
-    if cube is None and wanted("children", includes, excludes):
+    with_features = features is not None and wanted("features", includes, excludes)
+    # A district's features show the district itself, others their child units, listed or not.
+    of_district = scope.level == "district"
+    if cube is None and (wanted("children", includes, excludes) or with_features and not of_district):
         cube = materialise(scope_cube(hazard, settlement, scope))
     if wanted("baseline", includes, excludes):
         sections["baseline"] = pop_total
     if wanted("children", includes, excludes):
         sections["children"] = children_of(cube, scope)
-    if wanted("totals", includes, excludes):
+    total = None
+    if wanted("totals", includes, excludes) or with_features and of_district:
         if cube is None:
             total = materialise(scope_total(hazard, settlement, scope))
         else:
             total = national_total(cube)
         total = total.select(F.lit(label).alias("na_en"), *cells)
+    if wanted("totals", includes, excludes):
         sections["totals"] = total
         sections["bar"] = bar_series(total, ())
         no_children = total.withColumn("code", F.lit(None).cast("string")).where(F.lit(False))
@@ -62,12 +67,10 @@ def dashboard(
         if "baseline" in sections:
             known = total.withColumn("pop_total", pop_total.select(F.col("pop_total").cast("double")).scalar())
             sections["donut"] = donut_series(known, ())
-    if features is not None and wanted("features", includes, excludes):
-        # A district's features show the district itself, others their child units.
-        if scope.level == "district" and "totals" in sections:
-            sections["features"] = with_scope_total(features, sections["totals"], label)
-        elif scope.level != "district" and "children" in sections:
-            sections["features"] = with_children(features, sections["children"])
+    if with_features and of_district:
+        sections["features"] = with_scope_total(features, total, label)
+    elif with_features:
+        sections["features"] = with_children(features, children_of(cube, scope))
     return sections
 
 

@@ -1,8 +1,10 @@
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from bandrisk.functions import exact
 from bandrisk.functions.bands import BANDS, Band, band_condition, band_label, band_table
 from bandrisk.functions.indexes import INDEX_KEYS, index_table
 from bandrisk.operators import classify, rollup
@@ -49,6 +51,47 @@ def test_sums_do_not_depend_on_their_order(spark):
     assert found == {100.0}
 
 
+def test_sums_lose_nothing(spark):
+    """Sums of doubles of any size are those of exact arithmetic, in any partitions; NaN and infinities stay."""
+    groups = {
+        "tiny": [4e-7] * 5,
+        "far apart": [1e13, 4e-7, -1e13, 4e-7],
+        "cancelled": [1e308, 1e308, -1e308, 5e-324, 0.1, -1e308],
+        "tenths": [0.1, 0.2, 0.3, -0.6] * 9,
+        "none": [None, 0.0, -0.0, None],
+        "huge": [1.7e308] * 3,
+        "nan": [1.0, math.nan, math.inf],
+        "infinite": [1.0, math.inf, 1e13, math.inf],
+        "both": [math.inf, -math.inf],
+        "mixed": [(-1) ** n * 1.1**n for n in range(-400, 400)],
+    }
+    rows = [(name, value) for name, values in groups.items() for value in values]
+    df = spark.createDataFrame(rows, "k string, m double")
+    for parts in (1, 7):
+        raw = rollup.with_parts(df.repartition(parts), "m").groupBy("k", exact.BIN).agg(F.expr(f"{exact.summed()} as s"))
+        got = {r.k: r.s for r in rollup.finish(rollup.merge_cells(raw, ["k"], ["s"]), ["k"], ["s"]).collect()}
+        for name, values in groups.items():
+            known = [v for v in values if v is not None]
+            if name in ("nan", "both"):
+                assert math.isnan(got[name])
+            elif name in ("infinite", "huge"):
+                assert got[name] == math.inf
+            else:
+                assert got[name] == float(sum(map(Fraction, known), Fraction(0))), name
+
+
+def test_one_bad_population_spoils_only_its_sums(spark):
+    values = [4e-7, 1e13, math.nan, math.inf, 2.5, None]
+    h = hazard(spark, [(i, "01", f"010{i}", 3.0) for i in range(6)])
+    s = settlement(spark, [(i, "01", "A", f"010{i}", f"A{i}", v) for i, v in enumerate(values)])
+    levels = {r.code: r for r in rollup.level_totals(rollup.admin_cube(settlement_hazard(h, s))).collect()}
+    found = [levels[f"010{i}"].lsi_ku_low for i in range(6)]
+    assert found[:2] == [0.0, 1e13] and math.isnan(found[2]) and found[3:] == [math.inf, 3.0, 0.0]
+    assert math.isnan(levels["01"].lsi_ku_low) and levels["01"].lsi_ku_high == 0.0
+    base = {r.code: r.pop_total for r in rollup.baseline_totals(s).collect()}
+    assert base["0100"] == 4e-7 and base["0101"] == 1e13 and math.isnan(base["0102"]) and base["0105"] == 0.0
+
+
 def test_other_bands_and_measures(spark):
     df = spark.createDataFrame([("a", 1.0, 5), ("a", 3.0, 7), ("b", 3.0, 11)], "k string, depth double, houses int")
     bands = (Band("wet", "Wet", 0.0, 2.0), Band("deep", "Deep", 2.0, None))
@@ -102,10 +145,11 @@ def test_repeated_ids_fan_out(spark):
 def test_bands_and_the_rest_add_up(spark):
     h, s = small_country(spark)
     joined = settlement_hazard(h, s)
-    raw = rollup.raw_cells(joined).first().asDict()
-    classified = sum(v or 0 for k, v in raw.items() if k.startswith("lsi_ku_"))
+    cells = rollup.cell_names()
+    raw = rollup.finish(rollup.raw_cells(joined), (), cells).first().asDict()
+    classified = sum(v for k, v in raw.items() if k.startswith("lsi_ku_"))
     rest = joined.where((F.col("lsi_ku") < 1) | F.col("lsi_ku").isNull()).agg(F.sum("vuid_population")).first()[0]
-    assert classified / rollup.PARTS + rest == joined.agg(F.sum("vuid_population")).first()[0]
+    assert classified + rest == joined.agg(F.sum("vuid_population")).first()[0]
 
 
 def test_long_cells(spark):

@@ -152,7 +152,12 @@ def test_dashboard_of_the_country(spark):
 def test_features_of_children_need_no_totals(spark):
     h, s, base = dashboard_inputs(spark)
     features = spark.createDataFrame([("01", "x")], "code string, shape string")
+    alone = dashboard.dashboard(h, s, Scope(), base, "Country", features, includes=("features",))
+    assert set(alone) == {"features"}
+    district = dashboard.dashboard(h, s, Scope(scope.ADMIN_FLAG, "0201"), base, "D", features, includes=("features",))
+    assert set(district) == {"features"} and {r.na_en for r in district["features"].collect()} == {"D"}
     parts = dashboard.dashboard(h, s, Scope(), base, "Country", features, includes=("children", "features"))
+    assert sorted(map(repr, alone["features"].collect())) == sorted(map(repr, parts["features"].collect()))
     assert set(parts) == {"children", "features"} and parts["features"].first().na_en == "B"
 
 

@@ -176,7 +176,7 @@ def test_cell_size_follows_the_areas(spark):
     large = size("POLYGON((-170 -80,170 -80,170 80,-170 80,-170 -80))")
     assert small < 0.01 < large
     cells = spatial.area_cells(spatial.area_shapes(areas(spark, SQUARE)), size(SQUARE))
-    assert cells.where("not whole").count() <= spatial.CELLS_PER_AREA
+    assert cells.where("not whole").count() <= spatial.CELLS_PER_POLYGON
 
 
 def test_cells_stay_fine_when_areas_are_many(spark, monkeypatch):
@@ -214,3 +214,66 @@ def test_broadcast_only_when_measured_small(spark):
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("cell", [None, 0.25])
+def test_one_step_beside_slanted_edges(spark, cell):
+    """Points as near to an edge as doubles go, on either side, and points on it."""
+    ring = [(0.1, 0.1), (3.3, 0.7), (2.9, 3.1), (0.3, 2.3), (0.1, 0.1)]
+    wkt = "POLYGON((" + ",".join(f"{x!r} {y!r}" for x, y in ring) + "))"
+    xy = []
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        for k in range(1, 40):
+            x, y = x1 + (x2 - x1) * k / 40, y1 + (y2 - y1) * k / 40
+            xy += [(a, b) for a in (math.nextafter(x, -9), x, math.nextafter(x, 9)) for b in (math.nextafter(y, -9), y)]
+    expected = [n for n, (x, y) in enumerate(xy) if exact_covers([[ring]], x, y)]
+    assert 100 < len(expected) < len(xy) - 100
+    assert covered(spark, [wkt], xy, cell=cell) == expected
+
+
+def test_a_union_of_many_areas_has_no_row_for_all(spark):
+    """Squares side by side and on top of each other; each point counts once, nothing is collected over areas."""
+    many = spark.sql("""select id as aoi_id, 0 as ord, concat('POLYGON((', x, ' ', y, ',', x + 0.75, ' ', y, ',', x + 0.75,
+        ' ', y + 0.75, ',', x, ' ', y + 0.75, ',', x, ' ', y, '))') as wkt
+        from (select id, double(id % 100) - 50 as x, double(floor(id / 100) % 50) - 25 as y from range(0, 20000, 1, 16))""")
+    pts = spark.sql("select id as vuid, (id * 37 % 12000) / 100D - 60 as lon, (id * 61 % 6000) / 100D - 30 as lat from range(6000)")
+    shapes = spatial.area_shapes(many, union=True)
+    assert shapes.rdd.getNumPartitions() > 1
+    plan = spatial.area_cells(shapes, 0.5, union=True)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        # Edges are only collected by polygon and cell.
+        assert "collect_list" not in line or "polygon" in line
+    index = spatial.index_areas(many, union=True)
+    found = sorted(r.vuid for r in spatial.points_in_areas(pts, index).collect())
+
+    def inside(x, y):
+        return -50 <= x < 50 and -25 <= y < 25 and x - math.floor(x) <= 0.75 and y - math.floor(y) <= 0.75
+
+    assert found == [r.vuid for r in pts.orderBy("vuid").collect() if inside(r.lon, r.lat)]
+    assert index.cells.groupBy("step", "cx", "cy").agg({"whole": "max"}).where("`max(whole)`").count() > 5000
+
+
+def test_edges_of_one_polygon_are_spread(spark):
+    n = 200_000
+    wkt = "POLYGON((" + ",".join(
+        f"{(10 + math.sin(40 * a)) * math.cos(a)!r} {(10 + math.sin(40 * a)) * math.sin(a)!r}"
+        for a in (2 * math.pi * (i % n) / n for i in range(n + 1))
+    ) + "))"
+    shapes = spatial.materialise(spatial.area_shapes(areas(spark, wkt)))
+    per_task = [r["count"] for r in shapes.groupBy(spatial.F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == n and max(per_task) < n / 4
+    xy = [(r * math.cos(a), r * math.sin(a)) for a in (i / 7 for i in range(44)) for r in (0.1, 8.9, 9.9, 10.1, 10.9, 11.1)]
+    expected = [k for k, (x, y) in enumerate(xy) if math.hypot(x, y) < 10 + math.sin(40 * math.atan2(y, x))]
+    assert covered(spark, [wkt], xy) == expected
+
+
+def test_more_areas_in_a_cell_than_a_row_holds(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "AREAS_IN_ROW", 3)
+    many = spark.createDataFrame([(n, 0, f"POLYGON((0 0,{2 + n / 8} 0,2 3,0 0))") for n in range(20)], AREAS)
+    pts = points(spark, *[(x / 7, y / 7) for x in range(35) for y in range(21)])
+    index = spatial.index_areas(many, cell=1.0)
+    stored = spatial.cell_sums(pts, index, {"n": "count(1)"}, keys=("vuid",)).cache()
+    assert spatial.once(stored).agg({"n": "sum"}).first()[0] == 35 * 21
+    got = {r.aoi_id: r.n for r in spatial.area_sums(stored, index, ["n"]).collect()}
+    pairs = spatial.points_by_area(pts, index).groupBy("aoi_id").count().collect()
+    assert len(got) == 20 and got == {r.aoi_id: r["count"] for r in pairs}
