@@ -252,6 +252,9 @@ def _url(url: str, part: str) -> str:
     return _LOWER.format(text=value) if part == "host" else value
 
 
+_TAG_ATTRIBUTES = ("rel", "http-equiv", "content", "href")
+
+
 def _tag_value(name: str) -> str:
     pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
     value = " || ".join(f"regexp_extract(tag, '{pattern}', {n})" for n in (1, 2, 3))
@@ -261,8 +264,8 @@ def _tag_value(name: str) -> str:
 _URLS = rf"""
 with recursive p as (select *, {_url("url", "host")} as host, {_url("url", "path")} as path, {_url("url", "node")} as node from pages),
 tags as (
-  select url, {", ".join(f'{_tag_value(n)} as a{k}' for k, n in enumerate(url_filter.TAG_ATTRIBUTES))}
-  from (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages where url is not null)
+  select url, {", ".join(f'{_tag_value(n)} as a{k}' for k, n in enumerate(_TAG_ATTRIBUTES))}
+  from (select url, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script', '', 'g'), '(?is)<style\b.*?</style', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages where url is not null)
 ), hrefs as (
   select url, trim(case when regexp_matches(lower(a0), '(^|\s)canonical(\s|$)') then a3
     when lower(a1) = 'refresh' then regexp_extract(a2, '(?is)url\s*=\s*[''"]?([^''"]*)', 1) end) as href,
@@ -270,7 +273,7 @@ tags as (
     regexp_extract({_url("url", "path")}, '(?s)^(.*/)', 1) as folder
   from tags
 ), targets as (
-  select url, case when contains(href, '://') then href when starts_with(href, '//') then scheme || ':' || href
+  select url, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') then href when starts_with(href, '//') then scheme || ':' || href
     when starts_with(href, '/') then scheme || '://' || host || href
     else scheme || '://' || host || case when folder = '' then '/' else folder end || href end as target
   from hrefs where href <> ''

@@ -1,19 +1,26 @@
 """Block and allow rules for URLs, carried over redirects and canonical links.
 
-A page names other addresses of its own: the canonical link and the target of a refresh. Such edges
-make URLs equivalent, so the components of their graph are the aliases of one page. A rule that fits
+A page names other addresses of its own: the canonical link and the target of a refresh, as seen from
+the page or the base it sets. Links in comments, scripts and the like are not its own. Such edges make
+URLs equivalent, so the components of their graph are the aliases of one page. A rule that fits
 a URL decides it. The others follow their aliases: allow if any alias is explicitly allowed, block
 if any is blocked and none allowed, else allow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from html import unescape
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandrisk.llm.components import connected_components
+from bandrisk.llm.dom import _ATTRIBUTE as ATTRIBUTE
+from bandrisk.llm.dom import _Ends as TagEnds
 from bandrisk.llm.text import lower_ascii
 from bandrisk.sources.store import Scratch
 
@@ -24,7 +31,6 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-TAG_ATTRIBUTES = ("rel", "http-equiv", "content", "href")
 
 
 def url_host(url: Column) -> Column:
@@ -51,38 +57,77 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return result
 
 
-def _attribute(name: str) -> Column:
-    """The value of an attribute in the text of a tag, character references for ``&`` decoded."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract("tag", pattern, n) for n in (1, 2, 3)])
-    return F.trim(F.regexp_replace(value, "(?i)&amp;", "&"))
-
-
-def _absolute(target: Column, url: Column) -> Column:
-    """A link's target as seen from a page."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    folder = F.regexp_extract(url_path(url), r"(?s)^(.*/)", 1)
-    base = F.concat(scheme, F.lit("://"), host)
-    return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(base, target))
-        .otherwise(F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), target))
-    )
+# What can hold a tag that is none, and the tags that name another address.
+_MARKED = re.compile(r"<!--|<(script|style|template|textarea|title|noscript|iframe|svg)\b|<(link|meta|base)(?=[\s/>])", re.I)
+_REFRESH = re.compile(r"url\s*=\s*(?:'([^']*)|\"([^\"]*)|(.*))", re.I | re.S)
+_BASE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+
+
+def _named_tags(html: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """The ``link``, ``meta`` and ``base`` tags of a page with their attributes, character references decoded.
+
+    Tags in comments, scripts, styles and other content that is no markup are not the page's. The first
+    of equal attributes counts.
+    """
+    at, ends = 0, TagEnds(html)
+    while found := _MARKED.search(html, at):
+        at = found.end()
+        if found[0] == "<!--":
+            over = html.find("-->", at)
+        elif found[1]:
+            closing = re.compile(rf"</{found[1]}\b", re.I).search(html, at)
+            over = closing.end() if closing else -1
+        else:
+            over = ends(at)
+        if over < 0:
+            return
+        if found[2]:
+            attributes: dict[str, str] = {}
+            for part in ATTRIBUTE.finditer(html, at, over):
+                attributes.setdefault(part[1].lower(), unescape(part[2] or part[3] or part[4] or "").strip())
+            yield found[2].lower(), attributes
+        at = over
+
+
+def named_addresses(url: str, html: str) -> list[str]:
+    """Absolute addresses of the canonical links and refreshes of a page; what is no address is left out."""
+    base, hrefs = "", []
+    for tag, attributes in _named_tags(html):
+        href = attributes.get("href", "")
+        if tag == "base":
+            base = base or href
+        elif tag == "link" and "canonical" in attributes.get("rel", "").lower().split():
+            hrefs.append(href)
+        elif tag == "meta" and attributes.get("http-equiv", "").lower() == "refresh":
+            target = _REFRESH.search(attributes.get("content", ""))
+            hrefs.append((target[1] or target[2] or target[3] or "").strip() if target else "")
+    addresses = []
+    for href in hrefs:
+        try:
+            address = urljoin(urljoin(url, base), href) if href else ""
+        except ValueError:
+            continue
+        if _BASE.match(address):
+            addresses.append(address)
+    return addresses
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())
+        found = [(url, address) for url, html in pairs for address in named_addresses(url, html)]
+        columns = [pa.array(values, pa.string()) for values in (zip(*found) if found else ([], []))]
+        yield pa.record_batch(columns, ["source", "target"])
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(source, target)`` URL nodes of the canonical links and refreshes of ``pages(url, html)``; NULL if without a host."""
-    found = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tags = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(found).alias("tag"))
-    parts = tags.select("url", *[_attribute(name).alias(f"_{n}") for n, name in enumerate(TAG_ATTRIBUTES)])
-    rel, equiv, content, href = (F.col(f"_{n}") for n in range(len(TAG_ATTRIBUTES)))
-    refreshed = F.regexp_extract(content, r"""(?is)url\s*=\s*['"]?([^'"]*)""", 1)
-    target = F.when(F.lower(rel).rlike(r"(^|\s)canonical(\s|$)"), href).when(F.lower(equiv) == "refresh", refreshed)
-    links = parts.select("url", F.trim(target).alias("href")).where("href <> ''")
-    absolute = links.select("url", _absolute(F.col("href"), F.col("url")).alias("href"))
-    return absolute.select(url_node(F.col("url")).alias("source"), url_node(F.col("href")).alias("target"))
+    """``(source, target)`` URL nodes of the canonical links and refreshes of ``pages(url, html)``; NULL if without a host.
+
+    Only pages that have the words for one are looked into.
+    """
+    worded = pages.where("url IS NOT NULL AND html IS NOT NULL").where(F.col("html").rlike("(?i)canonical|refresh"))
+    links = worded.select("url", "html").mapInArrow(_linked, "source string, target string")
+    return links.select(url_node(F.col("source")).alias("source"), url_node(F.col("target")).alias("target"))
 
 
 def judge_urls(

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pytest
+
 from bandrisk.llm import sharding
 from bandrisk.sources.store import Scratch
 from tests.llm.data import clashing, documents, odd_rows, text
@@ -30,6 +32,18 @@ def test_bytes_are_even_and_slots_gapless(spark, monkeypatch):
     laws(got, 8, longest + 600)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_a_repeated_row_that_is_a_third_of_all(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(sharding, "PART_BYTES", 3000)
+    rows = [(n, text(n, 60), "en", "a", 1) for n in range(2000)] + [(doc_id, text(3, 60), "en", "a", 1)] * 1000
+    with Scratch(spark) as scratch:
+        placed = sharding.shard_documents(documents(spark, rows).repartition(5), scratch)
+        got = placed.collect()
+    kept = ((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got)
+    assert sorted(map(repr, kept)) == sorted(map(repr, rows))
+    laws(got, 8, 1000)
+
+
 def test_few_rows_and_none(spark):
     with Scratch(spark) as scratch:
         three = documents(spark, [(1, "a", None, None, None), (2, None, None, None, None), (2, None, None, None, None)])

@@ -72,5 +72,45 @@ def test_block_reaches_aliases_and_allow_goes_first(spark):
     }
 
 
+def test_links_that_are_not_what_they_seem(spark):
+    link = '<link rel="canonical" href="{}">'
+    bad = link.format("http://bad.net/q")
+    pages = {
+        1: link.format("/login?next=http://bad.net/x"),
+        2: f"<!-- {bad} --> <p>x</p>",
+        3: f"<script>var a = '{bad}'; // canonical</script>",
+        4: '<link title="x href=http://bad.net/q" rel=canonical href="/own">',
+        5: link.format("http&#58;//bad&period;net/q"),
+        6: '<base href="http://bad.net/dir/">' + link.format("page"),
+        7: f"<style>{bad}</style><textarea>{bad}</textarea>",
+        8: '<link rel=canonical href=/a href="http://bad.net/">',
+        9: "<meta http-equiv=refresh content='5;url=http://bad.net/z'>",
+        10: "<meta http-equiv=refresh content=\"5; URL='http://bad.net/z'\">",
+        11: link.format("mailto:x@bad.net") + link.format("http://[bad"),
+        12: f"<!-- open {bad}",
+        13: "<link" + " x" * 50_000 + bad,  # one tag, by its closing sign
+        14: "<link rel='canonical\" + " * 3 + bad,
+        15: "<meta http-equiv=refresh content=5>" + link.format(""),
+    }
+    got = judge(spark, [(n, f"http://p{n}.com/d/x", html) for n, html in pages.items()])
+    assert {n for n, r in got.items() if r.verdict == "block"} == {5, 6, 9, 10, 13}
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    start = time.perf_counter()
+    for html in ("<link " * 100_000, "<link a='" * 50_000, "<!--" * 100_000, "<script>" * 100_000, "<base href=x>" * 50_000):
+        url_filter.named_addresses("http://a.com/", html)
+    assert time.perf_counter() - start < 10
+
+
+def test_a_component_of_a_third_of_all_pages(spark):
+    """A chain of aliases through a third of the pages carries one verdict to all of them."""
+    rows = [(n, f"http://h{n}.com/x", f'<link rel="canonical" href="http://h{n - 1}.com/x">' if 0 < n < 300 else "") for n in range(900)]
+    got = judge(spark, rows, redirects=[("http://h150.com/x", "http://bad.net/")])
+    assert {n for n, r in got.items() if r.verdict == "block"} == set(range(300))
+
+
 def test_no_rows(spark):
     assert judge(spark, []) == {}
