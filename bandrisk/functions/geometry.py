@@ -184,6 +184,26 @@ def covers(part: str, x: str, y: str, right: str, bottom: str) -> str:
     return f"transform(array({plainly}), found -> if(found = -2, {exactly}, found <> 0))[0]"
 
 
+# Bits of each coordinate in a place key: steps of 20 to 40 metres.
+PLACE_BITS = 20
+
+
+def place_key(lon: str, lat: str) -> str:
+    """A number that is near for near places: the bits of both coordinates in turn (Morton order). NULL without a place."""
+
+    def spread(coordinate: str, bounds: tuple[float, float]) -> str:
+        low, high = bounds
+        step = f"floor(({coordinate} - {low}) / {(high - low) / (1 << PLACE_BITS)!r}D)"
+        value = f"cast(least(greatest({step}, 0), {(1 << PLACE_BITS) - 1}) as bigint)"
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                            (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            value = f"transform(array({value}), v -> (v | shiftleft(v, {shift})) & {mask}L)[0]"
+        return value
+
+    there = f"{lon} is not null and {lat} is not null and not isnan({lon}) and not isnan({lat})"
+    return f"case when {there} then {spread(lon, LON_RANGE)} | shiftleft({spread(lat, LAT_RANGE)}, 1) end"
+
+
 def grid_cell(coordinate: str, size: float, bounds: tuple[float, float]) -> str:
     """Grid position of a coordinate. Never decreases as the coordinate grows; NULL for NULL or NaN."""
     low, high = (int(b // size) for b in bounds)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandrisk.functions.bands import AT_RISK_BANDS
-from bandrisk.operators.rollup import cell_names
+from bandrisk.operators.rollup import cell_names, named
 
 FEATURE_CELLS = tuple(cell_names(bands=AT_RISK_BANDS))
 # Number of map classes for a single scope and for child units.
@@ -14,14 +14,14 @@ CLASSES_OF_SCOPE = 1
 CLASSES_OF_CHILDREN = 7
 
 
-def last_name_wins(children: DataFrame) -> DataFrame:
+def last_name_wins(children: DataFrame, collation: str | None = None) -> DataFrame:
     """One child row per code: of several names the last in name order, no name coming last of all.
 
     An aggregate rather than a window: it combines on the map side, so a code with very many names
-    is not sorted in one task.
+    is not sorted in one task. Names are ordered by bytes, or first by a ``collation``.
     """
     rest = [c for c in children.columns if c != "code"]
-    order = F.struct(F.col("na_en").isNull(), F.col("na_en"))
+    order = F.struct(F.col("na_en").isNull(), named(collation), F.col("na_en"))
     return (
         children.groupBy("code")
         .agg(F.max_by(F.struct(*rest), order).alias("last"))

@@ -188,9 +188,14 @@ def district_children(cube: DataFrame) -> DataFrame:
     return round_cells(merge_cells(cube, by, cells), ("parent_code", "code", "na_en"), cells)
 
 
-def by_name(children: DataFrame) -> DataFrame:
-    """Child rows in name order, unnamed ones last."""
-    return children.orderBy(F.col("na_en").asc_nulls_last(), F.col("code").asc_nulls_last())
+def by_name(children: DataFrame, collation: str | None = None) -> DataFrame:
+    """Child rows in name order, unnamed ones last; by bytes, or by a ``collation`` such as ``UNICODE``."""
+    return children.orderBy(named(collation).asc_nulls_last(), F.col("code").asc_nulls_last(), F.col("na_en").asc_nulls_last())
+
+
+def named(collation: str | None = None) -> Column:
+    """The name to order child rows by. Equal names of a collation are told apart by what follows it in an order."""
+    return F.col("na_en") if collation is None else F.collate(F.col("na_en"), collation)
 
 
 def at_risk(index_key: str, bands: Sequence[Band] = AT_RISK_BANDS) -> Column:

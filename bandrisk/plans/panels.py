@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from bandrisk.functions.bands import AT_RISK_BANDS, NOT_AT_RISK_LABEL
 from bandrisk.functions.indexes import INDEXES
 from bandrisk.operators.rollup import at_risk, cell_name, cell_names, long_cells
+from bandrisk.sources.store import replace_partitions
 
 SCOPE_IDS = ("scope_level", "code")
 
@@ -261,5 +262,8 @@ def area_panel_documents(totals: DataFrame, label: str) -> DataFrame:
 
 
 def write_panels(documents: DataFrame, path: str) -> None:
-    """Write panel documents as JSON lines, a folder per scope level and panel."""
-    documents.write.mode("overwrite").partitionBy("scope_level", "panel").json(path)
+    """Write panel documents as JSON lines, a folder per scope level and panel.
+
+    Folders of levels and panels that ``documents`` has no row of stay as they are, and all do if the job fails.
+    """
+    replace_partitions(documents.write, ("scope_level", "panel")).json(path)

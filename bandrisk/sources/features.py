@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandrisk.sources.store import replace_partitions
+
 FEATURE = "feature"
 GEOMETRY = "geometry"
 
@@ -69,6 +71,14 @@ def feature_lines(features: DataFrame) -> DataFrame:
     return features.select(F.to_json(F.to_variant_object(whole)).alias("value"))
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """One GeoJSON feature per line."""
-    feature_lines(features).write.mode("overwrite").text(path)
+def write_features(features: DataFrame, path: str, request: str | None = None) -> None:
+    """One GeoJSON feature per line.
+
+    With a ``request``, the features go to the folder of that name below ``path`` and replace what it
+    had once all are written; those of other requests stay.
+    """
+    lines = feature_lines(features)
+    if request is None:
+        lines.write.mode("overwrite").text(path)
+    else:
+        replace_partitions(lines.withColumn("request", F.lit(request)).write, ("request",)).text(path)

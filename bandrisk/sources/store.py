@@ -5,9 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from bandrisk.functions.geometry import place_key
+
+
+# Rows of a file and of a row group in a layout by place.
+ROWS_IN_FILE = 4_000_000
+ROW_GROUP_BYTES = 16 << 20
+
 
 class Scratch:
     """Intermediate tables on storage that all executors share.
@@ -79,3 +86,26 @@ def write_by_region(df: DataFrame, path: str, keys: Sequence[str] = ("prov_code_
     measured size, and merge small ones.
     """
     df.hint("rebalance", *[F.col(key) for key in keys]).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def write_by_place(
+    df: DataFrame, path: str, tie: str = "vuid", rows_in_file: int = ROWS_IN_FILE, row_group_bytes: int = ROW_GROUP_BYTES
+) -> None:
+    """Write parquet along a curve that fills the plane, so that files and row groups hold rows of one neighbourhood.
+
+    The box filter of an area request then skips the others by their smallest and largest ``lon`` and
+    ``lat``. Rows are dealt by range of place and ``tie``, so a place with very many rows is cut too;
+    rows without a place come first.
+    """
+    files = max(1, -(-df.count() // rows_in_file))
+    placed = df.withColumn("_place", F.expr(place_key("lon", "lat")))
+    dealt = placed.repartitionByRange(files, "_place", tie).sortWithinPartitions("_place", tie).drop("_place")
+    dealt.write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+def replace_partitions(writer: DataFrameWriter, keys: Sequence[str]) -> DataFrameWriter:
+    """A writer that replaces only the folders (by ``keys``) it has rows for, when all of them are written.
+
+    A failed job leaves every folder as it was.
+    """
+    return writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)

@@ -429,3 +429,12 @@ ORACLE = {
         f"select * from (with tables as ({AREA_TABLES}) {_documents('area_based', 'tables')})", "area_based"
     ),
 }
+ORACLE |= {
+    "exposure_aoi_by_place": ORACLE["exposure_aoi"],
+    "exposure_levels_kept": ORACLE["exposure_all_levels"],
+    "exposure_by_province_collated": _with(
+        """select code, name as na_en, row_number() over (order by lower(name) nulls last, code nulls last, name) as position, lsi_ku_low
+        from (select *, case when code = '07' then lower(na_en) else na_en end as name from provinces)""",
+        "provinces",
+    ),
+}

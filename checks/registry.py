@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandrisk.functions.bands import AT_RISK_BANDS
 from bandrisk.operators import boundary, classify, rollup, spatial
 from bandrisk.operators.join import settlement_hazard
-from bandrisk.plans import dashboard, panels, scope
+from bandrisk.plans import dashboard, panels, scope, upkeep
 from bandrisk.sources.areas import request_areas
 from bandrisk.sources.features import read_features, write_features
-from bandrisk.sources.store import Scratch, materialise
+from bandrisk.sources.store import Scratch, materialise, write_by_place
 from checks.views import derived_view
 
 PROVINCE = "07"
@@ -76,6 +76,32 @@ def exposure_aoi(t: Inputs) -> DataFrame:
     return scope.scope_total(t.hazard, t.settlement, scope.Scope(scope.AREA_FLAG, areas=areas))
 
 
+def exposure_aoi_by_place(t: Inputs) -> DataFrame:
+    """One drawn area over settlements that are laid out by place."""
+    path = Scratch(t.spark).path()
+    write_by_place(t.settlement, path, rows_in_file=2000)
+    areas = spatial.index_areas(t.aoi.where(F.col("aoi_id") == DRAWN_AREA), union=True)
+    return scope.scope_total(t.hazard, t.spark.read.parquet(path), scope.Scope(scope.AREA_FLAG, areas=areas))
+
+
+def exposure_levels_kept(t: Inputs) -> DataFrame:
+    """All levels from a stored cube and two changes: settlements that came, and some that had been counted twice."""
+    path = Scratch(t.spark).path()
+    keys = rollup.LEVEL_KEYS
+    joined = settlement_hazard(t.hazard, t.settlement, ("vuid_population", *keys))
+    old, late, twice = joined.where("vuid % 4 <> 1"), joined.where("vuid % 4 = 1"), joined.where("vuid % 4 = 2")
+    upkeep.write_change(upkeep.change_of(old.unionByName(twice), None, keys), path, "base")
+    upkeep.write_change(upkeep.change_of(late, twice, keys), path, "day")
+    return rollup.level_totals(upkeep.current_cube(t.spark, path, keys))
+
+
+def exposure_by_province_collated(t: Inputs) -> DataFrame:
+    """Provinces in the order of a dictionary, numbered."""
+    children = t.provinces().withColumn("na_en", F.expr("if(code = '07', lower(na_en), na_en)"))
+    order = Window.orderBy(rollup.named("UNICODE_CI").asc_nulls_last(), F.col("code").asc_nulls_last(), "na_en")
+    return children.select("code", "na_en", F.row_number().over(order).alias("position"), "lsi_ku_low")
+
+
 def exposure_aoi_batch(t: Inputs) -> DataFrame:
     index = spatial.index_areas(t.aoi)
     return scope.area_totals(scope.scope_cells(t.hazard, t.settlement, index), t.aoi, index)
@@ -195,6 +221,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "aoi_settlements": aoi_settlements,
     "aoi_union_settlements": aoi_union_settlements,
     "exposure_aoi": exposure_aoi,
+    "exposure_aoi_by_place": exposure_aoi_by_place,
+    "exposure_levels_kept": exposure_levels_kept,
+    "exposure_by_province_collated": exposure_by_province_collated,
     "exposure_aoi_batch": exposure_aoi_batch,
     "baseline_aoi": baseline_aoi,
     "aoi_panel_list": aoi_panel_list,
