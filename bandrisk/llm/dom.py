@@ -122,6 +122,11 @@ class Page:
         self.elements = [Element("#root", -1, 0)]
         self.blocks: list[Block] = []
         self._stack = [0]
+        # Places in the stack of the open elements of a tag, and of the block-level ones, outermost first.
+        self._places: dict[str, list[int]] = {}
+        self._block_places = [0]
+        # Tags that are known to have no closing one any more.
+        self._unclosed: set[str] = set()
         self._block: Block | None = None
         self._links = 0
         self._parse(html)
@@ -133,10 +138,7 @@ class Page:
 
     def _owner(self) -> int:
         """The innermost open block-level element."""
-        for number in reversed(self._stack):
-            if self.elements[number].tag not in INLINE:
-                return number
-        return 0
+        return self._stack[self._block_places[-1]]
 
     def _add_text(self, text: str) -> None:
         if self._block is None:
@@ -148,21 +150,32 @@ class Page:
         if self._links:
             self._block.linked += len(text)
 
+    def _push(self, number: int) -> None:
+        tag, place = self.elements[number].tag, len(self._stack)
+        self._stack.append(number)
+        self._places.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self._block_places.append(place)
+        self._links += tag == "a"
+
     def _pop_to(self, place: int) -> None:
         for number in self._stack[place:]:
-            self._links -= self.elements[number].tag == "a"
+            tag = self.elements[number].tag
+            self._places[tag].pop()
+            self._links -= tag == "a"
+        while self._block_places[-1] >= place:
+            self._block_places.pop()
         del self._stack[place:]
 
+    def _innermost(self, tags: frozenset) -> int:
+        """The place of the innermost open element of one of the tags, or 0."""
+        return max((places[-1] for tag in tags if (places := self._places.get(tag))), default=0)
+
     def _close_open(self, ends: frozenset, stops: frozenset) -> None:
-        for place in range(len(self._stack) - 1, 0, -1):
-            tag = self.elements[self._stack[place]].tag
-            if tag in stops:
-                return
-            if tag in ends:
-                self._pop_to(place)
-                # Outer ones too: a new row ends its predecessor's cell and the row itself.
-                self._close_open(ends, stops)
-                return
+        stop = self._innermost(stops)
+        # Outer ones too: a new row ends its predecessor's cell and the row itself.
+        while (place := self._innermost(ends)) > stop:
+            self._pop_to(place)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -193,19 +206,15 @@ class Page:
         if tag == "br":
             self._add_text(" ")
         if tag not in VOID:
-            self._stack.append(len(self.elements) - 1)
-            self._links += tag == "a"
+            self._push(len(self.elements) - 1)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._block = None
-        for place in range(len(self._stack) - 1, 0, -1):
-            open_tag = self.elements[self._stack[place]].tag
-            if open_tag == tag:
-                self._pop_to(place)
-                return
-            if tag in INLINE and open_tag not in INLINE:
-                return
+        place = self._innermost(frozenset((tag,)))
+        # An inline element does not end the block-level ones within it.
+        if place and not (tag in INLINE and self._block_places[-1] > place):
+            self._pop_to(place)
 
     def _parse(self, html: str) -> None:
         at, end, ends = 0, len(html), _Ends(html)
@@ -235,8 +244,9 @@ class Page:
             if tag in OPAQUE:
                 if tag not in ("head", "svg", "object", "canvas", "annotation", "annotation-xml") or not attributes.rstrip().endswith("/"):
                     closing = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I)
-                    over = closing.search(html, at)
+                    over = None if tag in self._unclosed else closing.search(html, at)
                     if over is None:
+                        self._unclosed.add(tag)
                         at = end if tag in ("script", "style", "title", "textarea") else at
                     else:
                         at = over.start() if over[0].lower().startswith("<body") else over.end()

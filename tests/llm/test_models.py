@@ -1,6 +1,7 @@
 """The trained operators: language, toxicity and main text."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +12,17 @@ from bandrisk.llm import html_extract, langid, toxicity, trees
 from bandrisk.llm.dom import Page
 from tests.llm.data import clashing, documents, odd_rows, text
 
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 200_000, "<b>" * 100_000 + "</i>" * 100_000, "</i>" * 200_000, "<select>" * 200_000,
+     "<p><table><td>" + "<div>" * 100_000, "<ul><li>" * 60_000],
+)
+def test_parsing_time_grows_with_the_page(html):
+    start = time.perf_counter()
+    page = Page(html + "text")
+    assert time.perf_counter() - start < 5 and [b.text for b in page.blocks] == ["text"]
+
+
 LETTERS = {"aa": "abcdeé", "bb": "klmnoü", "cc": "uvwxyz"}
 
 
