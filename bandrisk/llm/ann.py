@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from bandrisk.sources.store import Scratch
 NEAREST = 10
 # Points in a shard, on average, and query points that visit a shard together.
 SHARD_POINTS = 8192
-BLOCK_QUERIES = 1024
+BLOCK_QUERIES = 16384
 # Links of a point above the ground and on it, and points kept in view while building and searching.
 LINKS = 12
 GROUND_LINKS = 24
@@ -30,6 +31,42 @@ BUILD_VIEW = 64
 SEARCH_VIEW = 160
 
 
+def _power(value: float) -> float:
+    """The power of two below a number, by which to divide exactly; one for zero."""
+    return math.ldexp(1.0, math.frexp(value)[1] - 1) if value else 1.0
+
+
+class Frame:
+    """Where the points of a shard lie: graphs are walked in coordinates of about one around zero.
+
+    Squares then neither overflow nor vanish, and points that are near each other far from zero stay apart.
+    """
+
+    def __init__(self, originals: np.ndarray):
+        self.size = _power(float(np.abs(originals).max(initial=0)))
+        inside = originals / self.size
+        self.middle = (inside.min(axis=0) + inside.max(axis=0)) / 2 if len(inside) else np.zeros(originals.shape[1])
+        self.spread = _power(float(np.abs(inside - self.middle).max(initial=0)))
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            # What lies far beyond all points is as far from each.
+            return np.clip((vectors / self.size - self.middle) / self.spread, -1e100, 1e100)
+
+
+def distances(points: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, also where squares overflow or vanish."""
+    with np.errstate(over="ignore"):
+        gaps = points - vector
+        plain = np.sqrt((gaps**2).sum(axis=1))
+        largest = np.abs(gaps).max(axis=1, initial=0)
+        odd = (largest > 1e150) | ((largest < 1e-150) & (largest > 0))
+        if odd.any():
+            few, top = gaps[odd], largest[odd]
+            plain[odd] = np.where(np.isinf(top), top, top * np.sqrt(((few / top[:, None]) ** 2).sum(axis=1)))
+    return plain
+
+
 @dataclass
 class Graph:
     """Points with flat arrays of neighbours, -1 for none. ``floors`` counts from the ground up."""
@@ -88,7 +125,7 @@ def _spread(vectors: np.ndarray, found: list[tuple[float, int]], links: int) ->
     squares = np.einsum("ij,ij->i", points, points)
     between = squares[:, None] + squares[None, :] - 2 * points @ points.T
     taken: list[int] = []
-    closest = np.full(len(found), np.inf, np.float32)
+    closest = np.full(len(found), np.inf)
     for n, (d, _) in enumerate(found):
         if d < closest[n]:
             taken.append(n)
@@ -110,7 +147,7 @@ def build(vectors: np.ndarray, seed: int) -> Graph:
     rng = np.random.default_rng(seed)
     tops = np.minimum((-np.log(1 - rng.random(count)) / np.log(LINKS)).astype(int), 8)
     floors = [np.full((count, GROUND_LINKS if f == 0 else LINKS), -1, np.int32) for f in range(int(tops.max()) + 1)]
-    lengths = [np.full(f.shape, np.inf, np.float32) for f in floors]
+    lengths = [np.full(f.shape, np.inf) for f in floors]
     graph = Graph(vectors, floors, 0)
     height = int(tops[0])
     for point in range(1, count):
@@ -145,7 +182,7 @@ def _packed(graph: Graph, names: np.ndarray, firsts: np.ndarray, originals: np.n
     return out.getvalue()
 
 
-def _unpacked(body: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(body: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, Frame]:
     arrays = np.load(io.BytesIO(body))
     originals = arrays["originals"]
     floors = []
@@ -155,8 +192,9 @@ def _unpacked(body: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
         floor = np.full((len(originals), links.shape[1]), -1, np.int32)
         floor[arrays[f"points{n}"]] = links
         floors.append(floor)
-    graph = Graph(originals.astype(np.float32), floors, int(arrays["entry"][0]))
-    return graph, arrays["names"], arrays["firsts"], originals
+    frame = Frame(originals)
+    graph = Graph(frame(originals), floors, int(arrays["entry"][0]))
+    return graph, arrays["names"], arrays["firsts"], originals, frame
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -169,7 +207,7 @@ def _build_shard(keys: tuple, table: pa.Table) -> pa.Table:
     order = np.argsort(table["point"].to_numpy())
     originals = _matrix(table["vector"])[order]
     names, firsts = (table[name].to_numpy()[order] for name in ("point", "first"))
-    body = _packed(build(originals.astype(np.float32), keys[0].as_py()), names, firsts, originals)
+    body = _packed(build(Frame(originals)(originals), keys[0].as_py()), names, firsts, originals)
     columns = [pa.array([keys[n].as_py()], pa.int32()) for n in (0, 1)]
     return pa.table([*columns, pa.array([body], pa.binary())], ["shard", "width", "graph"])
 
@@ -178,11 +216,11 @@ def _search_shard(keys: tuple, graphs: pa.Table, queries: pa.Table, nearest: int
     names = ["query", "point", "first", "score"]
     asked, points, smallest, scores = [], [], [], []
     if graphs.num_rows and queries.num_rows:
-        graph, numbers, firsts, originals = _unpacked(graphs["graph"][0].as_py())
+        graph, numbers, firsts, originals, frame = _unpacked(graphs["graph"][0].as_py())
         vectors = _matrix(queries["vector"])
-        for query, vector in zip(queries["query"].to_pylist(), vectors):
-            _, found = graph.search(vector.astype(np.float32), view)
-            exact = np.sqrt(((originals[found] - vector) ** 2).sum(axis=1))
+        for query, vector, placed in zip(queries["query"].to_pylist(), vectors, frame(vectors)):
+            _, found = graph.search(placed, view)
+            exact = distances(originals[found], vector)
             best = np.lexsort((numbers[found], firsts[found], exact))[:nearest]
             asked += [query] * len(best)
             points += numbers[found][best].tolist()
@@ -231,6 +269,8 @@ def nearest_neighbours(
         F.col("ids")[0].alias("first"),
         "vector",
     )
+    # A number of tasks is given, because the planner would merge shards by their bytes, which take long to build.
+    dealt = dealt.repartition(4 * shards, "shard", "width")
     graphs = scratch.keep(
         dealt.groupBy("shard", "width").applyInArrow(_build_shard, "shard int, width int, graph binary")
     )

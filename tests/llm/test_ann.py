@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from bandrisk.llm import ann
 from bandrisk.sources.store import Scratch
@@ -61,6 +64,36 @@ def test_many_vectors_at_one_distance(spark):
         assert search(spark, rows, shard_points=14)[100] == exact(rows, 100, 10)
 
 
+@pytest.mark.parametrize(
+    "kind,make",
+    [
+        ("float", lambda rng: 1e25 + 1e24 * rng.normal(0, 1, 8)),
+        ("double", lambda rng: 1e200 * rng.normal(0, 1, 8)),
+        ("double", lambda rng: 1e-200 * rng.normal(0, 1, 8)),
+        ("double", lambda rng: 1000 + 1e-6 * rng.normal(0, 1, 8)),
+        ("double", lambda rng: rng.choice((1e308, -1e308, 1.0), 8)),
+    ],
+)
+def test_numbers_of_any_size(spark, kind, make):
+    rng = np.random.default_rng(5)
+    rows = [(n, make(rng).tolist()) for n in range(300)]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    known = {r.vec_id: np.array(r.embedding) for r in frame.collect()}
+    with Scratch(spark) as scratch:
+        got = {}
+        for r in ann.nearest_neighbours(frame, scratch, shard_points=100).collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for query in (0, 100, 200):
+        with np.errstate(over="ignore"):
+            far = {n: math.hypot(*(v - known[query])) for n, v in known.items() if n != query}
+        best = sorted(far.items(), key=lambda p: (p[1], p[0]))[:10]
+        assert len(got[query]) == 10
+        assert all(math.isclose(s, far[n], rel_tol=1e-12) for n, s in got[query])
+        hits += sum(s <= best[-1][1] * (1 + 1e-12) for _, s in got[query])
+    assert hits >= 27
+
+
 def test_fewer_candidates_than_asked_for_and_none(spark):
     got = search(spark, [(0, [1.0, 2.0]), (1, [1.0, 3.0]), (7, [4.0, 2.0])])
     assert [i for i, _ in got[0]] == [1, 7]
