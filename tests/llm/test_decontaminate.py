@@ -60,3 +60,22 @@ def test_empty_tables(spark):
         assert decontaminate.contaminated(docs.limit(0), items, scratch).count() == 0
         assert decontaminate.contaminated(docs, items.limit(0), scratch).count() == 0
         assert decontaminate.drop_contaminated(docs, items.limit(0), scratch).count() == docs.count()
+
+
+def test_a_stock_phrase_of_many_items_brings_few_candidates(spark):
+    """500 items begin alike, and a third of the documents hold that beginning; a few hold a whole item."""
+    stock = "please answer the question below with one letter only and give no reason at all"
+    items = [(n, f"{stock} {text(n, 25)}") for n in range(500)]
+    docs = [(n, f"{text(5000 + n, 40)} {stock} {text(9000 + n, 40)}", None, None, None) for n in range(300)]
+    docs += [(1000 + n, f"{text(7000 + n, 60)}", None, None, None) for n in range(600)]
+    docs += [(2000 + n, f"{text(8000 + n, 30)} {items[n][1]} end", None, None, None) for n in range(0, 500, 50)]
+    docs.append((3000, stock, None, None, None))
+    frame = documents(spark, docs)
+    benchmark = spark.createDataFrame([*items, (900, stock), (901, None), (902, "")], "item_id long, text string")
+    with Scratch(spark) as scratch:
+        pairs = decontaminate.candidates(frame, benchmark, scratch).count()
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark, scratch).collect()}
+    expected = {(2000 + n, n) for n in range(0, 500, 50)}
+    expected |= {(d[0], 900) for d in docs if stock in d[1]}
+    assert got == expected
+    assert pairs < 2 * len(expected)
