@@ -27,7 +27,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+            local = base.startswith("file:") or "://" not in base
+            if local and not spark.conf.get("spark.master", "local").startswith("local"):
+                raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         self.folder = f"{base.rstrip('/')}/bandrisk-{uuid.uuid4().hex}"
         self._kept: list[tuple[DataFrame, str]] = []
 
