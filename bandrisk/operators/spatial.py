@@ -78,12 +78,13 @@ def cell_size(shapes: DataFrame) -> float:
     One small job over the shapes; counts for all candidate sizes, one row, come to the driver.
     """
     spans = {
-        size: F.sum(F.expr(f"least((edge.east - edge.west + edge.y2 - edge.y1) / {size}D + 1, {540 / size}D)"))
+        size: F.sum(F.expr(f"least((edge.east - edge.west + edge.y2 - edge.y1) / {size}D, {540 / size}D)"))
         for size in CELL_SIZES
     }
     polygons, *counts = shapes.agg(F.count_distinct("polygon"), *spans.values()).first()
     allowed = min(CELLS_PER_POLYGON * polygons, max(MAX_CELLS, MIN_CELLS_PER_POLYGON * polygons))
-    fitting = [size for size, cells in zip(CELL_SIZES, counts) if cells is not None and cells <= allowed]
+    # A border of that length enters so many cells, beside the few in which a polygon begins, whatever the number of its edges.
+    fitting = [size for size, cells in zip(CELL_SIZES, counts) if cells is not None and cells + 4 * polygons <= allowed]
     return min(fitting, default=CELL_SIZES[0])
 
 
