@@ -6,6 +6,8 @@ in the plan. Their arguments are SQL expressions too.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 # Degrees. Coordinates beyond belong to the outermost cells, so the number of cells is bounded.
 LON_RANGE = (-180.0, 180.0)
 LAT_RANGE = (-90.0, 90.0)
@@ -184,6 +186,54 @@ def covers(part: str, x: str, y: str, right: str, bottom: str) -> str:
     return f"transform(array({plainly}), found -> if(found = -2, {exactly}, found <> 0))[0]"
 
 
+def meets(edge: str, other: str) -> str:
+    """Whether two ``test_edge``s have a point in common, ends included; exact, as ``side`` is."""
+
+    def astride(line: str, ends: str) -> str:
+        known = sides(line, (f"{ends}.x1", f"{ends}.y1"), (f"{ends}.x2", f"{ends}.y2"))
+        return f"transform(array({known}), f -> f[0] * f[1] <= 0)[0]"
+
+    near = f"""{edge}.west <= {other}.east and {other}.west <= {edge}.east
+        and {edge}.y1 <= {other}.y2 and {other}.y1 <= {edge}.y2"""
+    return f"({near} and {astride(edge, other)} and {astride(other, edge)})"
+
+
+def _at_height(edge: str, y: str) -> str:
+    """Where a slanted or upright edge is at a height."""
+    return f"({edge}.x1 + ({edge}.x2 - {edge}.x1) * (({y} - {edge}.y1) / ({edge}.y2 - {edge}.y1)))"
+
+
+def area_within(edges: str, inside: Callable[[str, str], str], west: str, east: str, south: str, north: str) -> str:
+    """The area of a region in a box, in square units of the coordinates.
+
+    ``edges`` are the test edges of its outlines that touch the box, ``inside`` the test of a point. The box is cut
+    level at every height where an edge begins, ends, meets another or leaves the box: between two of them edges
+    neither meet nor end, so what lies inside is as wide half-way up as it is on average.
+    """
+
+    def height(x: str) -> str:
+        return f"if(e.x1 <> e.x2 and {x} > e.west and {x} < e.east, e.y1 + (e.y2 - e.y1) * (({x} - e.x1) / (e.x2 - e.x1)), null)"
+
+    turn = "((e.x2 - e.x1) * (o.y2 - o.y1) - (e.y2 - e.y1) * (o.x2 - o.x1))"
+    way = f"(((o.x1 - e.x1) * (o.y2 - o.y1) - (o.y1 - e.y1) * (o.x2 - o.x1)) / {turn})"
+    meeting = f"""if({turn} = 0D or e.west > o.east or o.west > e.east or e.y1 > o.y2 or o.y1 > e.y2, null,
+        e.y1 + (e.y2 - e.y1) * {way})"""
+    others = "slice(edges, i + 2, size(edges))"
+    heights = f"""flatten(transform(edges, (e, i) ->
+        concat(array(e.y1, e.y2, {height(west)}, {height(east)}), transform({others}, o -> {meeting}))))"""
+    levels = f"""array_sort(array_distinct(concat(array({south}, {north}),
+        filter({heights}, y -> y > {south} and y < {north}))))"""
+    marks = f"""array_sort(concat(array({west}, {east}), transform(filter(edges, e -> e.y1 < level and e.y2 > level),
+        e -> least(greatest({_at_height('e', 'level')}, {west}), {east}))))"""
+    middle = "((marks[n] + marks[n + 1]) / 2)"
+    width = f"""aggregate(sequence(0, size(marks) - 2), 0D, (sum, n) ->
+        if(marks[n + 1] > marks[n] and {inside(middle, 'level')}, sum + (marks[n + 1] - marks[n]), sum))"""
+    slab = f"""transform(array((levels[k] + levels[k + 1]) / 2), level ->
+        transform(array({marks}), marks -> {width})[0])[0] * (levels[k + 1] - levels[k])"""
+    return f"""transform(array({edges}), edges -> transform(array({levels}), levels ->
+        aggregate(sequence(0, size(levels) - 2), 0D, (total, k) -> total + {slab}))[0])[0]"""
+
+
 # Bits of each coordinate in a place key: steps of 20 to 40 metres.
 PLACE_BITS = 20
 

@@ -88,19 +88,19 @@ def cell_size(shapes: DataFrame) -> float:
     return min(fitting, default=CELL_SIZES[0])
 
 
-def _line(position: str, cell: float, bounds: tuple[float, float], upper: bool) -> str:
+def cell_line(position: str, cell: float, bounds: tuple[float, float], upper: bool) -> str:
     """The coordinate of a cell's upper or lower border, as SQL; NULL where the outermost cells are open."""
     low, high = (int(b // cell) for b in bounds)
     outer = f"{position} >= {high}" if upper else f"{position} <= {low}"
     return f"if({outer}, cast(null as double), ({position} + {int(upper)}) * {cell}D)"
 
 
-def _walked(edges: DataFrame, cell: float) -> DataFrame:
+def walked(edges: DataFrame, cell: float) -> DataFrame:
     """Every cell an edge touches: ``cx, cy`` beside the columns of ``edges``, and ``odd``, 1 if its lower border is crossed.
 
     Cells within a hair of a slanted edge count as touched too.
     """
-    bottom, top = (_line("cy", cell, LAT_RANGE, upper) for upper in (False, True))
+    bottom, top = (cell_line("cy", cell, LAT_RANGE, upper) for upper in (False, True))
 
     def at(line: str, end: str) -> str:
         """Where the edge meets a border of the row, or the end of the edge that lies within it."""
@@ -120,7 +120,7 @@ def _walked(edges: DataFrame, cell: float) -> DataFrame:
         grid_cell(f"(greatest(_a, _b) + {slack})", cell, LON_RANGE),
     ]
     cells = ends.selectExpr("*", f"explode(sequence({', '.join(across)})) as cx").drop("_a", "_b")
-    left, right = (_line(position, cell, LON_RANGE, True) for position in ("(cx - 1)", "cx"))
+    left, right = (cell_line(position, cell, LON_RANGE, True) for position in ("(cx - 1)", "cx"))
     low = int(LON_RANGE[0] // cell)
     # A corner on an edge's line counts as left of it, as it does for points.
     before, after = f"(cx > {low} and f[0] < 0)", f"({right} is null or f[1] < 0)"
@@ -152,8 +152,8 @@ def area_cells(shapes: DataFrame, cell: float, union: bool = False) -> DataFrame
     spread = 1 << FANOUT_BITS
     tasks = _tasks(shapes)
     # Dealt by row of cells once, for cells and rows alike.
-    walked = _walked(shapes, cell * spread).select(*_BY_ROW, "cx", "odd").repartition(tasks, *_BY_ROW)
-    coarse = materialise(_with_corners(walked.groupBy(*_BY_ROW, "cx").agg((F.sum("odd") % 2).alias("odd"))))
+    dealt = walked(shapes, cell * spread).select(*_BY_ROW, "cx", "odd").repartition(tasks, *_BY_ROW)
+    coarse = materialise(_with_corners(dealt.groupBy(*_BY_ROW, "cx").agg((F.sum("odd") % 2).alias("odd"))))
     columns = ("aoi_id", "step", "cx", "cy", "whole", "part")
     nothing = f"cast(null as struct<odd:int,edges:array<{EDGE}>>)"
     large = coarse.where("inner = 1 and left < cx - 1").selectExpr(
@@ -165,7 +165,7 @@ def area_cells(shapes: DataFrame, cell: float, union: bool = False) -> DataFrame
         f"explode(sequence(cy * {spread}, cy * {spread} + {spread - 1})) as cy", "0 as odd",
     )
     fine = (
-        _walked(shapes, cell)
+        walked(shapes, cell)
         .unionByName(starts, allowMissingColumns=True)
         .repartition(tasks, *_BY_ROW)
         .groupBy(*_BY_ROW, "cx")
@@ -279,12 +279,12 @@ def _located(points: DataFrame, index: AreaIndex) -> DataFrame:
         "*", f"{grid_cell('lon', index.cell, LON_RANGE)} as _cx", f"{grid_cell('lat', index.cell, LAT_RANGE)} as _cy"
     ).selectExpr(
         "*",
-        f"{_line('_cx', index.cell, LON_RANGE, True)} as _right",
-        f"{_line('_cy', index.cell, LAT_RANGE, False)} as _bottom",
+        f"{cell_line('_cx', index.cell, LON_RANGE, True)} as _right",
+        f"{cell_line('_cy', index.cell, LAT_RANGE, False)} as _bottom",
     )
 
 
-def _side_to_join(cells: DataFrame, index: AreaIndex) -> DataFrame:
+def side_to_join(cells: DataFrame, index: AreaIndex) -> DataFrame:
     return F.broadcast(cells) if index.small else cells.hint("merge")
 
 
@@ -354,7 +354,7 @@ def cell_sums(
     # Points without a cell meet none; where both sides are shuffled they are spread.
     looked_up = "_cx" if index.small else "coalesce(_cx, -1000000 - cast(pmod(xxhash64(lon, lat), 4096) as int))"
     joined = located.withColumn("_x", F.expr(looked_up)).join(
-        _side_to_join(touched, index), (F.col("_x") == F.col("cx")) & (F.col("_cy") == F.col("cy")), "left"
+        side_to_join(touched, index), (F.col("_x") == F.col("cx")) & (F.col("_cy") == F.col("cy")), "left"
     )
     tested = _TESTED.replace("parts", "n.parts")
     areas = F.expr(f"transform(filter(near, n -> {tested}), n -> n.aoi_id)").alias("areas")

@@ -115,12 +115,90 @@ from (select distinct aoi_id from aoi union select 99) a left join (
 ) s on a.aoi_id = s.aoi_id
 """
 
+SHAPE_EDGES = EDGES.replace("aoi_id", "vuid").replace("from aoi)", "from shape)")
+LAND_EDGES = EDGES.replace("aoi_id", "land_id").replace("from aoi)", "from land)")
+BLOCK_EDGES = EDGES.replace("from aoi)", "from block_area)")
+
+
+def _whole(source: str, ids: str) -> str:
+    """Edges in whole numbers of 1e-5 degrees."""
+    ends = ", ".join(f"cast(round({c} * 100000) as bigint) as {c}" for c in ("x1", "y1", "x2", "y2"))
+    return f"select {ids}, ring, pos, {ends} from {source}"
+
+
+def _holds(polygons: str, points: str) -> str:
+    """Polygons that hold the first corner of a ring, by the even-odd rule."""
+    return f"""
+select distinct aoi_id, vuid from (
+  select a.aoi_id, s.vuid, a.ord as ord, a.part as part, s.part as part2, {points}.ring as ring,
+         count_if(({polygons}.y1 > {points}.y1) <> ({polygons}.y2 > {points}.y1)
+           and (({polygons}.x2 - {polygons}.x1) * ({points}.y1 - {polygons}.y1)
+                - ({points}.x1 - {polygons}.x1) * ({polygons}.y2 - {polygons}.y1) > 0) = ({polygons}.y2 > {polygons}.y1)) as hits
+  from area_whole a, shape_whole s where {points}.pos = 0
+  group by all
+) where hits % 2 = 1"""
+
+
+# Every edge of a shape against every edge of an area, and a corner of each ring of one against the other.
+MEETING = f"""
+select distinct a.aoi_id, s.vuid from area_whole a, shape_whole s
+where least(a.x1, a.x2) <= greatest(s.x1, s.x2) and least(s.x1, s.x2) <= greatest(a.x1, a.x2)
+  and least(a.y1, a.y2) <= greatest(s.y1, s.y2) and least(s.y1, s.y2) <= greatest(a.y1, a.y2)
+  and sign((a.x2 - a.x1) * (s.y1 - a.y1) - (s.x1 - a.x1) * (a.y2 - a.y1))
+    * sign((a.x2 - a.x1) * (s.y2 - a.y1) - (s.x2 - a.x1) * (a.y2 - a.y1)) <= 0
+  and sign((s.x2 - s.x1) * (a.y1 - s.y1) - (a.x1 - s.x1) * (s.y2 - s.y1))
+    * sign((s.x2 - s.x1) * (a.y2 - s.y1) - (a.x2 - s.x1) * (s.y2 - s.y1)) <= 0
+union {_holds("a", "s")}
+union {_holds("s", "a")}
+"""
+
+# What two polygons share is the sum over pairs of their edges of the area below both, signed by the edges' ways: these
+# areas' outer rings run to the left, as their holes do, which count less. The lower of two lines is half of what
+# their sum is above their difference.
+_BELOW = """
+select {ids}, sum({sign} * (b - a) / 2 * ((ea + eb + fa + fb) / 2 - case
+    when (ea - fa) * (eb - fb) >= 0 then (abs(ea - fa) + abs(eb - fb)) / 2
+    else ((ea - fa) * (ea - fa) + (eb - fb) * (eb - fb)) / (abs(ea - fa) + abs(eb - fb)) / 2 end)) as surface
+from (
+  select *, ey1 + (ey2 - ey1) * (a - ex1) / (ex2 - ex1) as ea, ey1 + (ey2 - ey1) * (b - ex1) / (ex2 - ex1) as eb,
+         fy1 + (fy2 - fy1) * (a - fx1) / (fx2 - fx1) as fa, fy1 + (fy2 - fy1) * (b - fx1) / (fx2 - fx1) as fb
+  from (
+    select {ids}, e.ring as ering, f.ring as fring,
+           greatest(least(e.x1, e.x2), least(f.x1, f.x2)) as a, least(greatest(e.x1, e.x2), greatest(f.x1, f.x2)) as b,
+           e.x1 as ex1, e.x2 as ex2, e.y1 - 29 as ey1, e.y2 - 29 as ey2,
+           f.x1 as fx1, f.x2 as fx2, f.y1 - 29 as fy1, f.y2 - 29 as fy2
+    from land_edges e join {other} f on {on} e.x1 <> e.x2 and f.x1 <> f.x2
+      and least(e.x1, e.x2) < greatest(f.x1, f.x2) and least(f.x1, f.x2) < greatest(e.x1, e.x2)
+  )
+) group by {group}
+"""
+_SIGN = "(case when (ex2 > ex1) = (fx2 > fx1) then 1 else -1 end) * (case when (ering = 0) = (fring = 0) then 1 else -1 end)"
+SHARED = _BELOW.format(ids="e.land_id, f.aoi_id", group="land_id, aoi_id", sign=_SIGN, other="block_edges", on="").replace(
+    "select e.land_id, f.aoi_id, sum", "select land_id, aoi_id, sum"
+)
+OWN = _BELOW.format(
+    ids="e.land_id", group="land_id", sign=_SIGN, other="land_edges", on="e.land_id = f.land_id and"
+).replace("select e.land_id, sum", "select land_id, sum")
+LAND_SHARE = """
+select s.land_id, s.aoi_id, least(1, s.surface / o.surface) as share
+from shared s join own o using (land_id) where s.surface > 1e-9
+"""
+
 DERIVED = {
     "joined": (JOINED, ("hazard", "settlement")),
     "levels": (LEVELS, ("joined",)),
     "provinces": (PROVINCES, ("joined",)),
     "districts": (DISTRICTS, ("joined",)),
     "edges": (EDGES, ("aoi",)),
+    "shape_edges": (SHAPE_EDGES, ("shape",)),
+    "area_whole": (_whole("edges", "aoi_id, ord, part"), ("edges",)),
+    "shape_whole": (_whole("shape_edges", "vuid, ord, part"), ("shape_edges",)),
+    "meeting": (MEETING, ("area_whole", "shape_whole")),
+    "land_edges": (LAND_EDGES, ("land",)),
+    "block_edges": (BLOCK_EDGES, ("block_area",)),
+    "shared": (SHARED, ("land_edges", "block_edges")),
+    "own": (OWN, ("land_edges",)),
+    "land_share": (LAND_SHARE, ("shared", "own")),
     "inside": (INSIDE, ("edges", "settlement")),
     "areas": (AREAS, ("aoi", "inside", "joined")),
     "area_base": (AREA_BASE, ("aoi", "inside", "settlement")),
@@ -417,6 +495,33 @@ ORACLE = {
     "settlement_record": _with(f"{PROFILE} where p.vuid = {SETTLEMENT}", "hazard"),
     "aoi_edges": _with("select * from edges", "edges"),
     "aoi_settlements": _with("select aoi_id, vuid from inside", "inside"),
+    "aoi_settlement_shapes": _with("select aoi_id, vuid from meeting", "meeting"),
+    "exposure_aoi_shapes": _with(
+        f"""select a.aoi_id, {", ".join(f"coalesce(s.{c}, 0) as {c}" for c in CELLS)}
+from (select distinct aoi_id from aoi) a left join (
+  select m.aoi_id, {SUMS} from meeting m join joined j on m.vuid = j.vuid group by m.aoi_id
+) s on a.aoi_id = s.aoi_id""",
+        "aoi",
+        "meeting",
+        "joined",
+    ),
+    "baseline_land_cover": _with(
+        _union(
+            [
+                f"select '{level}' as scope_level, {code} as code, kind, round(sum(area_population)) as pop_total, "
+                f"cast(sum(area_buildings) as double) as building_total from land group by {code}, kind"
+                for level, code in (
+                    ("country", "cast(null as varchar)"), ("province", "prov_code"), ("district", "dist_code")
+                )
+            ]
+            + [
+                "select 'area', cast(aoi_id as varchar), kind, round(sum(area_population * share)), "
+                "round(sum(area_buildings * share)) from land_share join land using (land_id) group by 2, 3"
+            ]
+        ),
+        "land",
+        "land_share",
+    ),
     "aoi_union_settlements": _with("select distinct vuid from inside", "inside"),
     "exposure_aoi": _with(
         f"select {SUMS} from joined where vuid in (select vuid from inside where aoi_id = {DRAWN_AREA})",

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandrisk.functions.bands import AT_RISK_BANDS
-from bandrisk.operators import boundary, classify, rollup, spatial
+from bandrisk.operators import boundary, classify, overlay, rollup, spatial
 from bandrisk.operators.join import settlement_hazard
-from bandrisk.plans import dashboard, panels, scope, upkeep
+from bandrisk.plans import dashboard, land, panels, scope, upkeep
 from bandrisk.sources.areas import request_areas
 from bandrisk.sources.features import read_features, write_features
 from bandrisk.sources.store import Scratch, materialise, write_by_place
@@ -67,6 +67,20 @@ def aoi_settlements(t: Inputs) -> DataFrame:
     return spatial.points_by_area(_points(t), spatial.index_areas(t.aoi)).select("aoi_id", "vuid")
 
 
+def aoi_settlement_shapes(t: Inputs) -> DataFrame:
+    return overlay.shapes_by_area(t.shape, t.aoi, spatial.index_areas(t.aoi)).select("aoi_id", "vuid")
+
+
+def exposure_aoi_shapes(t: Inputs) -> DataFrame:
+    return scope.shape_totals(t.hazard, t.settlement, aoi_settlement_shapes(t), t.aoi)
+
+
+def baseline_land_cover(t: Inputs) -> DataFrame:
+    """Population and buildings by kind of land, of all admin units and the suppliers' areas."""
+    areas = land.land_areas(t.land, spatial.index_areas(t.block_area))
+    return land.land_levels(t.land).unionByName(areas)
+
+
 def aoi_union_settlements(t: Inputs) -> DataFrame:
     return spatial.points_in_areas(_points(t), spatial.index_areas(t.aoi, union=True)).select("vuid")
 
@@ -219,6 +233,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "aoi_edges": lambda t: spatial.area_edges(t.aoi),
     "aoi_settlements": aoi_settlements,
+    "aoi_settlement_shapes": aoi_settlement_shapes,
+    "exposure_aoi_shapes": exposure_aoi_shapes,
+    "baseline_land_cover": baseline_land_cover,
     "aoi_union_settlements": aoi_union_settlements,
     "exposure_aoi": exposure_aoi,
     "exposure_aoi_by_place": exposure_aoi_by_place,

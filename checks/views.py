@@ -111,6 +111,50 @@ select distinct dist_code as code, concat('district ', dist_code) as shape_name
 union all select '9999', 'district without settlements'
 """
 
+
+
+def _corner(x: str, y: str) -> str:
+    """A corner of a polygon text, from whole numbers of 1e-5 degrees."""
+    return ", ' ', ".join(f"cast(cast(cast({c} as double) / 100000 as decimal(9,5)) as string)" for c in (x, y))
+
+
+def _ring(*offsets: tuple[int, int], east: str = "") -> str:
+    """A ring about the row's place, ``k`` times the offsets."""
+    corners = [_corner(f"(x + {dx} * k{east})", f"(y + {dy} * k)") for dx, dy in (*offsets, offsets[0])]
+    return "concat('(', " + ", ',', ".join(corners) + ", ')')"
+
+
+_FOUR = ((0, 0), (210, 42), (280, 210), (-30, 180))
+_HOLE = ((60, 60), (150, 70), (120, 150))
+
+# Slanted quadrangles at the settlements' places; large ones with a hole, and some of two polygons.
+SHAPE = f"""
+select vuid, 0 as ord,
+       case when vuid % 40 = 0 then concat('POLYGON(', {_ring(*_FOUR)}, ',', {_ring(*_HOLE)}, ')')
+            when vuid % 7 = 0 then concat('MULTIPOLYGON((', {_ring(*_FOUR)}, '),(', {_ring(*_FOUR, east=" + 5000")}, '))')
+            else concat('POLYGON(', {_ring(*_FOUR)}, ')') end as wkt
+from (select vuid, case when vuid % 40 = 0 then 285 else 3 + vuid % 3 end as k,
+             6000037 + ((vuid * 7919) % 15000) * 100 as x, 2900011 + ((vuid * 6007) % 10000) * 100 as y
+      from {{settlement}}) as s
+"""
+
+# Land cover in the same outline, one polygon per customer.
+LAND = f"""
+select c_custkey as land_id, 0 as ord, lpad(cast(c_nationkey + 1 as string), 2, '0') as prov_code,
+       concat(lpad(cast(c_nationkey + 1 as string), 2, '0'), lpad(cast(1 + c_custkey % 5 as string), 2, '0')) as dist_code,
+       c_mktsegment as kind, cast((c_custkey * 37) % 5000 as double) / 7 as area_population,
+       cast((c_custkey * 53) % 300 as bigint) as area_buildings,
+       concat('POLYGON(', {_ring(*_FOUR)}, ')') as wkt
+from (select *, 100 + c_custkey % 90 as k, 6000037 + ((c_custkey * 7919) % 14000) * 100 as x,
+             2900011 + ((c_custkey * 6007) % 9000) * 100 as y
+      from {{customer}}) as c
+"""
+
+# The suppliers' texts, each an area of its own.
+BLOCK_AREA = """
+select aoi_id + 1000000 * ord as aoi_id, 0 as ord, wkt from {aoi} where aoi_id >= 1000
+"""
+
 # In order of dependence.
 VIEWS = {
     "settlement": (SETTLEMENT, ("orders", "customer", "nation")),
@@ -119,6 +163,9 @@ VIEWS = {
     "boundary": (BOUNDARY, ("nation",)),
     "block": (BLOCK, ("supplier",)),
     "aoi": (AOI, ("block",)),
+    "shape": (SHAPE, ("settlement",)),
+    "land": (LAND, ("customer",)),
+    "block_area": (BLOCK_AREA, ("aoi",)),
     "aoi_request": (AOI_REQUEST, ("aoi",)),
     "district_boundary": (DISTRICT_BOUNDARY, ("settlement",)),
     "scope_request": (SCOPE_REQUEST, ("customer", "aoi")),
