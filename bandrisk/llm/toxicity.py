@@ -185,15 +185,13 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: Sequence[str], docu
     named = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(documents)
     # Never more than `documents` short rows, so the texts stay where they are.
     found = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")
-    sample = (
-        found.select(
-            F.xxhash64("doc_id", text_key(F.col("text"))).alias("_order"), *categories, as_bytes(F.col("text")).alias("_bytes")
-        )
-        .orderBy("_order", *categories)
-        .limit(documents)
+    texts = found.select(
+        F.xxhash64("doc_id", text_key(F.col("text"))).alias("_order"), *categories, as_bytes(F.col("text")).alias("_bytes")
     )
     schema = "_order bigint, " + ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in categories)
-    rows = sample.mapInArrow(_featured, f"{schema}, _features array<int>").toArrow()
+    # Texts become numbers where they lie; only those are sorted.
+    sample = texts.mapInArrow(_featured, f"{schema}, _features array<int>").orderBy("_order", *categories).limit(documents)
+    rows = sample.toArrow()
     if not rows.num_rows:
         return []
     found = rows["_features"].combine_chunks()
