@@ -304,25 +304,15 @@ def _matched(points: DataFrame, index: AreaIndex, how: str) -> DataFrame:
     """Points that can lie in any cell joined to the cells that cover them."""
     located = _located(points.where(_in_box(index)), index)
     inside = f"whole or {_TESTED}"
-    if index.small:
-        # A point is looked up once per size of cells; it does not move.
-        steps = ", ".join(
-            f"named_struct('step', {s}, 'cx', shiftright(_cx, {FANOUT_BITS * s}), 'cy', shiftright(_cy, {FANOUT_BITS * s}))"
-            for s in range(STEPS + 1)
-        )
-        at = located.selectExpr("*", f"explode(array({steps})) as _at")
-        cells = F.broadcast(index.cells)
-        same = (F.col("_at.step") == cells["step"]) & (F.col("_at.cx") == cells["cx"]) & (F.col("_at.cy") == cells["cy"])
-        return at.join(cells, same & F.expr(inside), how)
-    # Shuffled by coarse cell, so that a point moves once.
-    at = located.selectExpr(
-        "*", *[f"shiftright({c}, {FANOUT_BITS * STEPS}) as _at{c[2]}" for c in ("_cx", "_cy")]
+    # A point is looked up once per size of cells, so that it meets the cells it lies in and no others.
+    steps = ", ".join(
+        f"named_struct('step', {s}, 'cx', shiftright(_cx, {FANOUT_BITS * s}), 'cy', shiftright(_cy, {FANOUT_BITS * s}))"
+        for s in range(STEPS + 1)
     )
-    shift = f"{FANOUT_BITS} * ({STEPS} - step)"
-    cells = index.cells.selectExpr("*", f"shiftright(cx, {shift}) as _of_x", f"shiftright(cy, {shift}) as _of_y")
-    same = (F.col("_atx") == F.col("_of_x")) & (F.col("_aty") == F.col("_of_y"))
-    within = f"shiftright(_cx, {FANOUT_BITS} * step) = cx and shiftright(_cy, {FANOUT_BITS} * step) = cy"
-    return at.join(cells.hint("merge"), same & F.expr(f"{within} and ({inside})"), how)
+    at = located.selectExpr("*", f"inline(array({steps})) as (_step, _atx, _aty)")
+    cells = index.cells
+    same = (F.col("_step") == cells["step"]) & (F.col("_atx") == cells["cx"]) & (F.col("_aty") == cells["cy"])
+    return at.join(side_to_join(cells, index), same & F.expr(inside), how)
 
 
 def points_by_area(points: DataFrame, index: AreaIndex) -> DataFrame:

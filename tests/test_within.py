@@ -1,6 +1,7 @@
 """Sums over areas where both sides are shuffled, and the numpy tests they are made by."""
 
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -45,3 +46,14 @@ def test_shuffled_sums_against_pairs_in_few_rows(spark, monkeypatch):
     pairs = spatial.points_by_area(points, spatial.index_areas(areas)).groupBy("aoi_id")
     told = pairs.agg(*[spatial.F.expr(f"sum(if({c or 'true'}, vuid_population, 0D))").alias(n) for n, c in CONDITIONS.items()])
     assert len(got) == len(wkts) and sorted(got) == sorted(told.select("aoi_id", *names).collect())
+
+
+def test_shuffled_points_meet_only_the_cells_they_lie_in(spark):
+    """By size and place of the cell, not by the larger cell around it, whose other cells they would be paired with too."""
+    areas = spark.createDataFrame([(n, 0, f"POLYGON((0 0,{n + 1} 0,2 3,0 0))") for n in range(3)], AREAS)
+    points = spark.createDataFrame([(x * 20 + y, x / 4, y / 4) for x in range(20) for y in range(20)], "vuid int, lon double, lat double")
+    told = spatial.points_by_area(points, spatial.index_areas(areas, cell=0.25))
+    found = spatial.points_by_area(points, spatial.index_areas(areas, cell=0.25, broadcast_limit=0))
+    keys = re.search(r"SortMergeJoin \[([^]]*)\]", found._jdf.queryExecution().executedPlan().toString())[1]
+    assert len(keys.split(",")) == 3
+    assert sorted(found.collect()) == sorted(told.collect())
