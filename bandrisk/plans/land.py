@@ -6,13 +6,11 @@ code; a drawn area has the part of each that it shares with the polygon, as if t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandrisk.functions import exact
-from bandrisk.operators.overlay import shared_areas
+from bandrisk.operators.overlay import shared_sums
 from bandrisk.operators.rollup import finish, with_parts
 from bandrisk.operators.spatial import AreaIndex
 from bandrisk.sources.store import materialise
@@ -20,11 +18,9 @@ from bandrisk.sources.store import materialise
 MEASURES = {"pop_total": "area_population", "building_total": "area_buildings"}
 
 
-def _sums(rows: DataFrame, keys: Sequence[str], by_kind: bool) -> DataFrame:
-    """Rounded exact sums of both measures by ``keys`` and kind, one pass over the rows."""
-    keys = [*keys, *(("kind",) if by_kind else ())]
-    listed = F.array(*[F.struct(F.lit(m).alias("_measure"), F.col(c).cast("double").alias("_value")) for m, c in MEASURES.items()])
-    long = with_parts(rows.select(*keys, F.inline(listed)), "_value")
+def _sums(long: DataFrame, by_kind: bool) -> DataFrame:
+    """Rounded exact sums of both measures by level, code and kind, from rows of a measure with parts."""
+    keys = ["scope_level", "code", *(("kind",) if by_kind else ())]
     # NULL measures leave a row of nothing, so a group of them counts as zero.
     raw = long.groupBy(*keys, "_measure", exact.BIN).agg(F.expr(f"{exact.summed()} as _sum"))
     sums = finish(raw, (*keys, "_measure"), ["_sum"], "round({})")
@@ -45,8 +41,9 @@ def land_levels(land: DataFrame, by_kind: bool = True) -> DataFrame:
             )
         ]
     )
-    rows = land.select("*", F.inline(level))
-    return _sums(rows, ("scope_level", "code"), by_kind)
+    listed = F.array(*[F.struct(F.lit(m).alias("_measure"), F.col(c).cast("double").alias("_value")) for m, c in MEASURES.items()])
+    rows = land.select("*", F.inline(level)).select("scope_level", "code", *(("kind",) if by_kind else ()), F.inline(listed))
+    return _sums(with_parts(rows, "_value"), by_kind)
 
 
 def land_areas(land: DataFrame, index: AreaIndex, by_kind: bool = True) -> DataFrame:
@@ -57,11 +54,6 @@ def land_areas(land: DataFrame, index: AreaIndex, by_kind: bool = True) -> DataF
     numbered = materialise(
         land.select("kind", *MEASURES.values(), "wkt").withColumn("_land", F.monotonically_increasing_id())
     )
-    shares = shared_areas(numbered, index, "_land")
-    rows = shares.join(numbered.drop("wkt"), "_land").select(
-        F.lit("area").alias("scope_level"),
-        F.col("aoi_id").cast("string").alias("code"),
-        "kind",
-        *[(F.col(c) * F.col("share")).alias(c) for c in MEASURES.values()],
-    )
-    return _sums(rows, ("scope_level", "code"), by_kind)
+    sums = shared_sums(numbered, index, "_land", "kind", MEASURES)
+    rows = sums.withColumns({"scope_level": F.lit("area"), "code": F.col("aoi_id").cast("string")})
+    return _sums(rows, by_kind)
