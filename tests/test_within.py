@@ -57,3 +57,21 @@ def test_shuffled_points_meet_only_the_cells_they_lie_in(spark):
     keys = re.search(r"SortMergeJoin \[([^]]*)\]", found._jdf.queryExecution().executedPlan().toString())[1]
     assert len(keys.split(",")) == 3
     assert sorted(found.collect()) == sorted(told.collect())
+
+
+def test_shuffled_points_come_out_with_lists_of_areas(spark, monkeypatch):
+    """As those of a broadcast do, in lots and with any columns; rows of a point and an area are made by nothing but lists."""
+    monkeypatch.setattr(spatial, "POINTS_IN_LOT", 20)
+    monkeypatch.setattr(spatial, "AREAS_IN_ROW", 3)
+    monkeypatch.setattr(within, "SUMS_OUT", 50)
+    wkts = [f"POLYGON((0 0,{n / 10} {n / 20},3 {n / 10},0 0))" for n in range(31, 51)]
+    wkts += ["MULTIPOLYGON(((-9 -9,9 -9,9 9,-9 9,-9 -9),(-1 -1,1 -1,1 1,-1 1,-1 -1)),((0 0,2 0,2 2,0 2,0 0)))"] * 5
+    areas = spark.createDataFrame([(n if n else None, 0, w) for n, w in enumerate(wkts)], AREAS)
+    rows = [(n % 90, (n * 37 % 90) / 10 - 1, (n * 53 % 70) / 10 - 1, [n]) for n in range(900)] + [(None, 1.0, 1.0, None), (7, None, 1.0, [])]
+    points = spark.createDataFrame(rows, "aoi int, lon double, lat double, `a list` array<int>")
+    told = spatial.points_by_area(points, spatial.index_areas(areas, cell=0.5)).collect()
+    found = spatial.points_by_area(points, spatial.index_areas(areas, cell=0.5, broadcast_limit=0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(areas") == 2 and "MapInArrow" in plan
+    assert found.columns == [*points.columns, "aoi_id"]
+    assert len(told) > 3000 and sorted(found.collect(), key=str) == sorted(told, key=str)
