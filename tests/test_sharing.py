@@ -68,3 +68,29 @@ def test_bins_are_those_of_the_sql(spark):
         number = (top * 2**20 + middle) * 2**20 + low
         told = (row._top * 2**20 + row._middle) * 2**20 + row._low
         assert int(number) * 16 ** int(bin_ + 300) == told * 16 ** (row._bin + 300)
+
+
+def test_tiles_get_packed_cells_once(spark, monkeypatch):
+    """A row for each area and coarse cell that shapes of a tile reach, its whole cells in one number; points of rings, no edges."""
+    monkeypatch.setattr(overlay, "SHAPES_IN_LOT", 4)
+    areas = spark.createDataFrame([(1, 0, wkt([[(0, 0), (15, 1), (8, 15)]])), (2, 0, wkt([[(1, 1), (15, 1), (3, 15)]]))], AREAS)
+    texts = spark.createDataFrame([(n, wkt([[(n % 8 + 0.5, 3), (n % 8 + 1, 3), (n % 8 + 1, 9)]])) for n in range(40)], "id bigint, wkt string")
+    index = spatial.index_areas(areas, cell=1.0)
+    near, sizes, others = overlay._in_tiles(texts, index, "id")
+    assert others is None and "struct" not in near.schema["polygons"].simpleString()
+    rows = overlay._streamed(near, sizes, None, index).collect()
+    cells = [(r.bits, r.tx, r.ty, r.aoi_id, r.cx, r.cy) for r in rows if r.side == 0]
+    assert len(cells) == len(set(cells)) <= 2 * 4 * len({(r.bits, r.tx, r.ty) for r in rows})
+    assert {r.lot for r in rows} == {0}
+    shapes = [r for r in rows if r.side == 2]
+    assert len(shapes) == 40 and all((len(r.points), list(r.starts), list(r.polygons)) == (6, [0], [3]) for r in shapes)
+    # The reach is three lines of cells of the coarse cells above, and all lines below.
+    whole = {(r.cx, r.cy, r.aoi_id): r.whole_cells for r in rows if r.side == 0 and r.whole_cells}
+    told = {}
+    for c in index.cells.where("whole").collect():
+        size = 8 if c.step else 1
+        for x in range(c.cx * size, c.cx * size + size):
+            for y in range(c.cy * size, c.cy * size + size):
+                if 0 <= x <= 8 and 3 <= y <= 9:
+                    told.setdefault((x >> 3, y >> 3, c.aoi_id), set()).add((y & 7) * 8 + (x & 7))
+    assert {k: {b for b in range(64) if v >> b & 1} for k, v in whole.items()} == told
